@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, and read it back."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/loomap-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/loomap-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    # what the job shuffled isn't needed any more; Spark removes it once the driver's garbage is collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomap.llm import decontaminate, mix, pack, quality_cnn, quality_rules, token_counts
+from loomap.llm import decontaminate, dedup_bytes, dedup_words, mix, pack, quality_cnn, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+def op8_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_words.dedup_words(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +54,10 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pack": op3_pack,
+    "op4_dedup_bytes": op4_dedup_bytes,
     "op5_token_counts": op5_token_counts,
     "op6_mix_sources": op6_mix_sources,
+    "op8_dedup_words": op8_dedup_words,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
 }
