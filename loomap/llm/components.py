@@ -1,0 +1,30 @@
+"""Connected components of an edge table by alternating large and small stars; nothing goes to the driver but two sums a round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomap.llm._spark import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that has an edge to another; root is the least node of its component.
+
+    ``edges``: columns a and b (long).  Self-edges and repeated edges don't matter.
+    """
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        # large star: the greater neighbours of a node go to its least neighbour (or itself)
+        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: a node and its lesser neighbours go to the least of these
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = written(small.where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomap.llm._spark import blob
 from loomap.llm._text import ALNUM, LOWER, U64, Poly, covered, find_words, left_in_document, pieces, spread, winnow
@@ -34,7 +35,6 @@ BLOCK_WINDOWS = 2_000_000
 #: One part in this many of a document's words must be hit for it to count as contaminated.
 SHARE = 20
 
-SPANS = "doc_id long, text string, n_words long, starts binary, ends binary, items array<string>"
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -101,14 +101,14 @@ def find_spans(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 out["items"].append((before[2][d] or []) + [index.ids[i] for i in np.unique(item_at[mine])])
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column(piece.schema.get_field_index("doc_id")),
+                    piece.column(piece.schema.get_field_index("key")),
                     piece.column(piece.schema.get_field_index("text")),
                     pa.array(np.diff(first).astype(np.int64)),
                     pa.array(out["starts"], pa.binary()),
                     pa.array(out["ends"], pa.binary()),
                     pa.array(out["items"], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "text", "n_words", "starts", "ends", "items"],
+                names=["key", "text", "n_words", "starts", "ends", "items"],
             )
 
 
@@ -137,14 +137,14 @@ def _hits(index, a, b, data, starts, ends, first):
     return doc, item, at - first[doc], at - first[doc] + n
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents (doc_id, text) with n_words, the word spans where benchmark windows occur (int64 blobs starts, ends), and the items."""
+def spans(docs: DataFrame, benchmark: DataFrame, key: Column, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """(key, text) of docs with n_words, the word spans where benchmark windows occur (int64 blobs starts, ends), and the items."""
     spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends"), F.lit(None).cast("array<string>").alias("items"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     for ids, texts in _blocks(items, block_windows):
         index = spark.sparkContext.broadcast(Index(ids, texts))
-        out = out.mapInArrow(lambda batches, index=index: find_spans(index.value, batches), SPANS)
+        out = out.mapInArrow(lambda batches, index=index: find_spans(index.value, batches), out.schema)
     return out
 
 
@@ -163,28 +163,41 @@ def _blocks(items: DataFrame, block_windows: int) -> Iterator[tuple[list[str], l
         yield ids, texts
 
 
+def _hit(row: dict) -> int:
+    starts, ends = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)
+    return int(covered(starts, ends - starts, row["n_words"]).sum()) if len(starts) else 0
+
+
 def _digest(share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {name: [] for name in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
-        for row in batch.to_pylist():
-            starts, ends = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)
-            hit = int(covered(starts, ends - starts, row["n_words"]).sum()) if len(starts) else 0
-            items = sorted(set(row["items"]))
-            for name, x in zip(out, (row["doc_id"], row["n_words"], hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and share * hit >= row["n_words"]), strict=True):
+        out = {name: [] for name in ("n_hit", "n_items", "items_sha256", "contaminated")}
+        for row in batch.select(["n_words", "starts", "ends", "items"]).to_pylist():
+            hit, items = _hit(row), sorted(set(row["items"]))
+            for name, x in zip(out, (hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and share * hit >= row["n_words"]), strict=True):
                 out[name].append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["n_items"], pa.int64()), pa.array(out["items_sha256"], pa.string()), pa.array(out["contaminated"], pa.bool_())], names=list(out))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("n_words")), *(pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True))], names=["doc_id", "n_words", *out])
+
+
+def _clean(share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.select(["n_words", "starts", "ends"]).to_pylist()
+        hits = [_hit(row) for row in rows]
+        ok = pa.array([not hit or share * hit < row["n_words"] for hit, row in zip(hits, rows, strict=True)], pa.bool_())
+        yield batch.select(["key"]).filter(ok)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.  Nothing is shuffled."""
-    found = spans(docs, benchmark, block_windows).drop("text")
+    found = spans(docs, benchmark, F.col("doc_id").cast("long"), block_windows).drop("text")
     return found.mapInArrow(lambda batches: _digest(share, batches), DIGEST)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of docs; a null doc_id can't be judged and stays."""
-    bad = contamination(docs, benchmark, share).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.distinct(), F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs that aren't contaminated.  Nothing is shuffled."""
+    found = spans(docs, benchmark, F.struct(*[F.col(c) for c in docs.columns]), block_windows).drop("text")
+    kept = found.mapInArrow(lambda batches: _clean(share, batches), T.StructType([found.schema["key"]]))
+    return kept.select("key.*")
 
 
 ORACLE = r"""

@@ -33,10 +33,10 @@ MAX_REPEATED_PERCENT = 50
 BROADCAST_GROUPS = 10_000
 #: metric: (expression over the base counts, width in its own unit that the fence has at least, lower fence too)
 METRICS = {
-    "word_len": ("100 * word_chars div n_words", 150, True),
-    "symbols": ("1000 * n_symbols div word_chars", 50, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 100, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 100, False),
+    "word_len": ("100 * word_chars div nullif(n_words, 0)", 150, True),
+    "symbols": ("1000 * n_symbols div nullif(word_chars, 0)", 50, False),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 100, False),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 100, False),
 }
 
 
@@ -120,7 +120,9 @@ def judge(docs: DataFrame, carry: list[str] | None = None, least: int = LEAST, r
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    counted = base_counts(docs.drop(*MADE)).select(*dict.fromkeys([*carry, "lang", "source"]), *MADE[:6])
+    # what is carried goes along in one struct, so that it clashes with no name used here
+    needed = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_row"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
+    counted = base_counts(needed).drop("text")
     measured = written(counted).withColumn("base_failed", failed)
     bounds = thresholds(sketches(measured), least, reach).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     few = measured.select("lang", "source").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
@@ -130,13 +132,13 @@ def judge(docs: DataFrame, carry: list[str] | None = None, least: int = LEAST, r
         inside &= F.coalesce(F.expr(e) <= F.col(f"hi_{m}"), F.lit(True))
         if lower:
             inside &= F.coalesce(F.expr(e) >= F.col(f"lo_{m}"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*carry, *MADE)
+    return joined.withColumn("kept", ~F.col("base_failed") & inside).select("_row.*", *MADE)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs; columns that judge() makes too are given back as they were."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in MADE}
-    return judge(docs.withColumnsRenamed(clash)).where("kept").select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    """The documents that the rules keep, with the columns of docs."""
+    whole = docs.select("text", "lang", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    return judge(whole, carry=["_whole"]).where("kept").select("_whole.*")
 
 
 ORACLE = r"""

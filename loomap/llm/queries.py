@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomap.llm import decontaminate, dedup_bytes, dedup_words, mix, pack, quality_cnn, quality_rules, token_counts
+from loomap.llm import decontaminate, dedup_bytes, dedup_words, jaccard, mix, pack, quality_cnn, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op4_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes.dedup_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words.dedup_words(table(spark, sf_dir, "documents"))
 
@@ -51,15 +55,23 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pack": op3_pack,
     "op4_dedup_bytes": op4_dedup_bytes,
     "op5_token_counts": op5_token_counts,
     "op6_mix_sources": op6_mix_sources,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_dedup_words": op8_dedup_words,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
