@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from loomap.plans import expressions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES}
+ORACLES: dict[str, str] = {**expressions.ORACLES}
