@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomap.plans import expressions
+from loomap.plans import expressions, maps
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES}
-ORACLES: dict[str, str] = {**expressions.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES, **maps.QUERIES}
+ORACLES: dict[str, str] = {**expressions.ORACLES, **maps.ORACLES}
