@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found is None and current.isDefined():
-        return current.get()
-    found = found or tempfile.mkdtemp(prefix="loomap-")
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, and read it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/loomap-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    # what the job shuffled isn't needed any more; Spark removes it once the driver's garbage is collected
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+from loomap.runtime import checkpoint_dir, written  # noqa: F401  used by the operators
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

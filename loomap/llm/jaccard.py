@@ -16,8 +16,10 @@ probe.  A set with too little weight for its bound (by bad luck of the hash) sen
 into another round with twice the segments, until there is none: the join is exact.
 
 Sets that are equal are one entity; entities are compared once.  In a group of equal signatures all are
-compared with one probing member first; only members that failed this are compared with the others, so
-a group of near copies costs its size, not its square.  Candidates are verified on their whole sets.
+compared with one member first, the one that meets most others; only members of different
+components of these links are compared further, so a group of near copies costs its size, not its
+square.  Most of those are ruled out by parities: each set keeps a bit or two a token, and sets differ in at least as many
+tokens as in bits.  Candidates are verified on their whole sets.
 
 Tokens are 64-bit hashes of shingles and entities 64-bit hashes of sets; verification uses 48 bits of a token, so a
 count could be off by one with odds of about size**2 / 2**48.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from loomap.llm._repeats import narrow, widen
 from loomap.llm._spark import blob, joined, parts_for, split_by, text_bytes, written
 from loomap.llm._text import LOWER, U64, Poly, find_words, left_in_document, mix, pieces, spread
-from loomap.llm.components import components
+from loomap.operators.graph import components
 
 SHINGLE = 5
 PERCENT = 75
@@ -48,7 +50,7 @@ BUCKET_BYTES = 16 << 20
 MARGIN = 6.0
 SETS = "doc_id long, n_shingles long, entity long"
 SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("entity", pa.int64())])
-TOKENS = "e long, n int, tokens binary"
+TOKENS = "e long, n int, sketch binary, tokens binary"
 SIGNATURES = "bucket int, signatures binary, which binary, entities binary, sizes binary, hard array<int>"
 SIGNATURE_SCHEMA = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("which", pa.binary()), ("entities", pa.binary()), ("sizes", pa.binary()), ("hard", pa.list_(pa.int32()))])
 GROUPS = "bucket int, entities binary, members binary, counts binary, sizes binary, hard array<int>"
@@ -151,17 +153,12 @@ def signatures_of(sets: Sets, docs: np.ndarray, ends: list[int], only: dict[int,
         soft = index < j[owner]
         weight = (count >= 1).astype(np.int64) + (soft & (count >= 2))
         need = bound(n, np.array(ends)[k], percent) + 1
-        level = np.zeros(len(some), np.int64)
-        for t in range(1, int(count.max()) + 1):
-            enough = np.add.reduceat(np.where(count >= t, weight, 0), base) >= need
-            if not enough.any():
-                break
-            level[enough] = t
-        hard |= set(k[level == 0].tolist())
-        probing = count >= np.maximum(level, 1)[owner]
         tag = (k[owner].astype(U64) << U64(32)) + index.astype(U64)
         full = count > 0
-        out.append((mix(content + tag * U64(0x2545F4914F6CDD1D))[full], some[owner[full]], probing[full]))
+        whole = mix(content + tag * U64(0x2545F4914F6CDD1D))
+        probing, short = _probes(whole, count, weight, owner, need)
+        hard |= set(k[short].tolist())
+        out.append((whole[full], some[owner[full]], probing[full]))
         lone = np.flatnonzero(soft[seg] & (count[seg] >= 2))
         if len(lone):
             s = seg[lone]
@@ -171,6 +168,24 @@ def signatures_of(sets: Sets, docs: np.ndarray, ends: list[int], only: dict[int,
     return *(np.concatenate(x) for x in zip(*out, strict=True)), hard
 
 
+def _probes(signature: np.ndarray, count: np.ndarray, weight: np.ndarray, owner: np.ndarray, need: np.ndarray):
+    """Which segments each set probes with, and which sets have too little weight.
+
+    The cheapest go first until their weight is enough: those that few sets of this piece of text have
+    (a common passage's are dear), and of these the fullest.
+    """
+    full = np.flatnonzero(count)
+    _, which, often = np.unique(signature[full], return_inverse=True, return_counts=True)
+    order = full[np.lexsort((-count[full], often[which] > 2, owner[full]))]
+    w = weight[order]
+    upto = np.cumsum(w)
+    first = np.searchsorted(owner[order], np.arange(len(need) + 1))
+    base = np.concatenate([[0], upto])[first]
+    probing = np.zeros(len(count), bool)
+    probing[order] = upto - w - base[:-1][owner[order]] < need[owner[order]]
+    return probing, np.flatnonzero(np.diff(base) < need)
+
+
 def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece, data, offsets in pieces(batch, "text"):
@@ -218,21 +233,14 @@ def _group(group: pa.Table) -> pa.Table:
 
 
 def _close(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
 def _unpack(row: dict):
-    entity, size = np.frombuffer(row["entities"], np.int64), np.frombuffer(row["sizes"], np.int32)
+    """entities, their sizes, and for the groups: members (indices of entities), which of them probe, counts."""
     member = np.frombuffer(row["members"], np.uint32)
     count = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
-    who, probing = (member >> np.uint32(1)).astype(np.int64), (member & np.uint32(1)).astype(bool)
-    # the centre of a group: its first probing member
-    start = np.cumsum(count) - count
-    group = np.repeat(np.arange(len(count)), count)
-    centre = np.full(len(count), -1)
-    at = np.flatnonzero(probing)[::-1]
-    centre[group[at]] = at
-    return entity, size, who, probing, start, count, group, centre
+    return np.frombuffer(row["entities"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64), (member >> np.uint32(1)).astype(np.int64), (member & np.uint32(1)).astype(bool), count
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -241,36 +249,81 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _stars(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each group's centre with its other members (sizes permitting)."""
+    """Each group's centre, the member that meets most others in the bucket, with the other members (sizes permitting)."""
     for batch in batches:
         for row in batch.to_pylist():
-            entity, size, who, _, _, _, group, centre = _unpack(row)
-            c = who[centre][group] if len(group) else group
-            ok = (c != who) & _close(size[c], size[who], percent)
-            yield _edges(entity[c[ok]], entity[who[ok]])
+            entity, size, who, _, count = _unpack(row)
+            if not len(who):
+                continue
+            group = np.repeat(np.arange(len(count)), count)
+            meets = np.bincount(who, count[group] - 1, len(entity))
+            centre = who[np.lexsort((who, -meets[who], group))[np.cumsum(count) - count]][group]
+            ok = (centre != who) & _close(size[centre], size[who], percent)
+            yield _edges(entity[centre[ok]], entity[who[ok]])
 
 
-def _rest(percent: int, groups: pa.Table, linked: pa.Table) -> pa.Table:
-    """The pairs still to be compared: members that aren't linked with their centre, with the others."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            entity, _, who, _, _ = _unpack(row)
+            used = entity[np.unique(who)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), row["bucket"], np.int32)), pa.array(used)], names=["bucket", "e"])
+
+
+def _rest(percent: int, groups: pa.Table, info: pa.Table) -> pa.Table:
+    """The pairs of a bucket's groups still to be compared: in different components so far, and not ruled out by their parities."""
+    known = info["e"].to_numpy()
+    order = np.argsort(known)
+    known, root = known[order], info["root"].to_numpy()[order]
+    cells = info["sketch"].to_pylist()
+    sketch = [cells[k] for k in order]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     out = []
-    a, b = linked["a"].to_numpy(), linked["b"].to_numpy()
     for row in groups.to_pylist():
-        entity, size, who, probing, start, count, group, centre = _unpack(row)
-        n = len(entity)
+        entity, size, who, probing, count = _unpack(row)
         if not len(who):
             continue
-        x, y = np.searchsorted(entity, a), np.searchsorted(entity, b)
-        c = who[centre][group]
-        apart = ~np.isin(np.minimum(c, who) * n + np.maximum(c, who), np.minimum(x, y) * n + np.maximum(x, y)) & (c != who)
-        keys = [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(apart).tolist():
-            others = np.arange(start[group[i]], start[group[i]] + count[group[i]])
-            x = who[others if probing[i] else others[probing[others]]]
-            x = x[(x != who[i]) & (x != c[i]) & _close(size[x], size[who[i]], percent)]
-            keys.append(np.unique(np.minimum(x, who[i]) * n + np.maximum(x, who[i])))
-        keys = np.unique(np.concatenate(keys))
-        out.append(_edges(entity[keys // n], entity[keys % n]))
-    return pa.Table.from_batches(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        at = np.minimum(np.searchsorted(known, entity), len(known) - 1)  # right for all that are in a group
+        for first, n in zip((np.cumsum(count) - count).tolist(), count.tolist(), strict=True):
+            part = slice(first, first + n)
+            r = root[at[who[part]]]
+            if (r == r[0]).all():
+                continue
+            found = _apart(percent, r, probing[part], size[who[part]], [sketch[k] for k in at[who[part]].tolist()])
+            if len(found):
+                ids = entity[who[part]]
+                out.append(_edges(ids[found[:, 0]], ids[found[:, 1]]))
+    table = pa.Table.from_batches(out, schema)
+    return table.group_by(["a", "b"]).aggregate([]) if len(table) else table
+
+
+def _apart(percent: int, root: np.ndarray, probing: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Pairs of a group's members with different roots that may be similar; in blocks, so memory doesn't follow the group's square."""
+    short = min(map(len, sketches))
+    bits = np.stack([_folded(x, short) for x in sketches])
+    n, found = len(root), []
+    step = max(1, (1 << 18) // n)
+    for i in range(0, n, step):
+        j = np.arange(i, n)
+        some = (root[i : i + step, None] != root[None, j]) & (probing[i : i + step, None] | probing[None, j]) & _close(size[i : i + step, None], size[None, j], percent)
+        x, y = np.nonzero(some)
+        x, y = x + i, j[y]
+        ok = x < y
+        x, y = x[ok], y[ok]
+        for k in range(0, len(x), 1 << 16):
+            u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            apart = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
+            may = apart * (100 + percent) <= (size[u] + size[v]) * (100 - percent)
+            found.append(np.stack([u[may], v[may]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _folded(sketch: bytes, n: int) -> np.ndarray:
+    """A sketch of n bytes: parities of parities."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > n:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def _tokens(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +332,14 @@ def _tokens(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             s = Sets(data, offsets, shingle)
             short = np.sort(((s.doc.astype(U64) << U64(48)) | (s.tokens >> U64(16))))
             six = np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            # parities: bit (token mod bits) is set if an odd number of tokens falls on it
+            bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(s.size, 1))).astype(np.int64))
+            base = np.cumsum(bits) - bits
+            odd = np.bincount(base[s.doc] + (s.tokens >> U64(8)).astype(np.int64) % bits[s.doc], minlength=int(bits.sum())).astype(np.uint8) & 1
+            packed = np.packbits(odd, bitorder="little")
+            sketches = [packed[a : a + n].tobytes() for a, n in zip((base // 8).tolist(), (bits // 8).tolist(), strict=True)]
             cells = [six[a:b].tobytes() for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.entity), pa.array(s.size.astype(np.int32)), pa.array(cells, pa.binary())], names=["e", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.entity), pa.array(s.size.astype(np.int32)), pa.array(sketches, pa.binary()), pa.array(cells, pa.binary())], names=["e", "n", "sketch", "tokens"])
 
 
 def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +348,7 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             sides = []
-            for k in ("ta", "tb"):
+            for k in ("tokens_a", "tokens_b"):
                 raw, n = joined(pa.chunked_array([part.column(part.schema.get_field_index(k))]), np.uint8)
                 sides.append((widen(raw) | (np.repeat(np.arange(part.num_rows), n // 6).astype(U64) << U64(48)), n // 6))
             (x, nx), (y, ny) = sides
@@ -299,12 +358,34 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
+def _possible(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose parities don't differ in more places than similar sets may in tokens."""
+    for batch in batches:
+        ok = []
+        for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            short, long = sorted((x, y), key=len)
+            at, size = int.from_bytes(long, "little"), len(long) * 8
+            while size > len(short) * 8:
+                size //= 2
+                at = (at >> size) ^ (at & ((1 << size) - 1))
+            ok.append((at ^ int.from_bytes(short, "little")).bit_count() * (100 + percent) <= (na + nb) * (100 - percent))
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def verified(edges: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The edges (a, b) that hold on the whole sets; a centre with many edges is a skewed join key, which AQE splits."""
-    left = tokens.select(F.col("e").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("e").alias("b"), F.col("tokens").alias("tb"))
-    pairs = edges.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return pairs.mapInArrow(lambda batches: _verify(percent, batches), "a long, b long")
+    """The edges (a, b) that hold on the whole sets.
+
+    Most that don't are ruled out by the sets' parities, which take a bit or two a token; tokens are sent for the rest.
+    A centre with many edges is a skewed join key, which AQE splits.
+    """
+
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in "ba":
+            pairs = pairs.join(tokens.select(F.col("e").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
+
+    near = with_both(edges, "n", "sketch").mapInArrow(lambda batches: _possible(percent, batches), "a long, b long")
+    return with_both(written(near), "tokens").mapInArrow(lambda batches: _verify(percent, batches), "a long, b long")
 
 
 def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
@@ -328,31 +409,20 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucke
         only = {k: doubled for k in hard}
     groups = groups.select("bucket", "entities", "members", "counts", "sizes")
     stars = written(groups.mapInArrow(lambda batches: _stars(percent, batches), "a long, b long").distinct())
-    # the whole sets of the entities that are in some pair, from one document of each
-    in_pairs = stars.select(F.col("a").alias("entity")).unionByName(stars.select(F.col("b").alias("entity"))).distinct()
+    # the whole sets of the entities that are in some group, from one document of each
+    members = written(groups.mapInArrow(_members, "bucket int, e long").distinct())
+    in_pairs = members.select(F.col("e").alias("entity")).distinct()
     chosen = sets.groupBy("entity").agg(F.min("doc_id").alias("doc_id")).join(in_pairs, "entity")
     # rows with the same id may have different texts: the entity is checked again
     some = texts.join(chosen.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
     tokens = written(some.mapInArrow(lambda batches: _tokens(shingle, batches), TOKENS).join(in_pairs, F.col("e") == F.col("entity"), "left_semi").dropDuplicates(["e"]))
     first = written(verified(stars, tokens, percent))
-    # every bucket looks up which of its centres' pairs hold
-    back = _stars_by_bucket(groups, percent).join(first, ["a", "b"])
-    rest = groups.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(lambda g, x: _rest(percent, g, x), "a long, b long")
-    rest = rest.distinct().join(first, ["a", "b"], "left_anti")
-    return sets, first.unionByName(verified(rest, tokens, percent))
-
-
-def _stars_by_bucket(groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs of the buckets' centres, with the bucket."""
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                bucket = batch.column(0)[k].as_py()
-                for edges in _stars(percent, iter([batch.slice(k, 1)])):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(edges.num_rows, bucket, np.int32)), *edges.columns], names=["bucket", "a", "b"])
-
-    return groups.mapInArrow(stars, "bucket int, a long, b long")
+    # the buckets compare what isn't in one component yet, by parities; what may be similar is verified
+    roots = components(first)
+    info = members.join(tokens.select("e", "sketch"), "e").join(roots, F.col("e") == F.col("node"), "left")
+    info = info.select("bucket", "e", "sketch", F.coalesce("root", "e").alias("root"))
+    rest = groups.groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(lambda g, x: _rest(percent, g, x), "a long, b long")
+    return sets, first.unionByName(verified(rest.distinct(), tokens, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, margin: float = MARGIN) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from loomap.llm import jaccard
-from loomap.llm.components import components
+from loomap.operators.graph import components
 
 
 def shingles(text, k):
