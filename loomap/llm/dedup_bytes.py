@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 
 from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, alive_set, among, batch_of, entries, narrow, packed, survivors, widen
 from loomap.llm._spark import blob, joined, parts_for, split_by, written
-from loomap.llm._text import U64, Poly, covered, pieces, spread, winnow
+from loomap.llm._text import U64, Poly, covered, mix, pieces, spread, winnow
 
 SPAN = 50
-GRAM = 16
+GRAM = 20
 #: Never a byte of UTF-8: stands between fragments.
 STOP = 0xFF
-FRAGMENTS = "bucket int, pack int, anchors binary, high binary, low binary, docs binary, several binary, sizes binary, bytes binary"
-FRAGMENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), *[(k, pa.binary()) for k in ("anchors", "high", "low", "docs", "several", "sizes", "bytes")]])
+FRAGMENTS = "bucket int, pack int, anchors binary, high binary, low binary, docs binary, several binary, sizes binary, places binary, bytes binary"
+FRAGMENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), *[(k, pa.binary()) for k in ("anchors", "high", "low", "docs", "several", "sizes", "places", "bytes")]])
 ANSWERS = "pack int, fragments binary, firsts binary, in_fragments binary, places binary, earlier binary"
 ANSWER_SCHEMA = pa.schema([("pack", pa.int32()), *[(k, pa.binary()) for k in ("fragments", "firsts", "in_fragments", "places", "earlier")]])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -137,31 +137,58 @@ class Anchors:
     """Anchors of a piece of text and the fragments around them."""
 
     def __init__(self, piece: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, span: int, gram: int):
-        self.data, self.offsets, self.span = data, offsets, span
+        self.data, self.offsets, self.span, self.reach = data, offsets, span, span - gram + 1
         self.poly = Poly(21), Poly(22)
         ids = piece.column(piece.schema.get_field_index("doc_id"))
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         self.prefix = self.poly[0].prefix(self.poly[0].table[data])
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
         h = np.zeros(0, U64)
         if len(data) >= gram:
             h = (self.prefix[gram:] - self.prefix[:-gram]) * self.poly[0].down[: len(data) - gram + 1]
             h ^= h >> U64(32)
             h *= U64(0xD6E8FEB86659FD93)
-            h ^= h >> U64(32)
-            h = np.where(left[: len(h)] >= gram, h | U64(1), ~U64(0))
-        self.at = winnow(h, left >= span, span - gram + 1)
+        order = (h >> U64(32)).astype(np.uint32) | np.uint32(1)
+        order[self._last(gram - 1, len(h))] = ~np.uint32(0)
+        inside = np.ones(len(data), bool)
+        inside[self._last(span - 1, len(data))] = False
+        self.at = winnow(order, inside, self.reach)
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
         ok = self.known[self.doc]
         self.at, self.doc = self.at[ok], self.doc[ok]
-        self.hash = h[self.at]
-        self.start = np.maximum(offsets[self.doc], self.at - (span - gram))
-        self.end = np.minimum(offsets[self.doc + 1], self.at + span)
+        self.hash, self.order = h[self.at], order[self.at]
+        self.hash ^= self.hash >> U64(32)
+        self.some = np.arange(len(self.at))
+
+    def _last(self, n: int, most: int) -> np.ndarray:
+        """The last n places of every text."""
+        count = np.minimum(np.diff(self.offsets), n)
+        at = spread(self.offsets[1:] - count, count)
+        return at[at < most]
 
     def keep(self, mask: np.ndarray) -> None:
-        for k in ("at", "doc", "hash", "start", "end"):
-            setattr(self, k, getattr(self, k)[mask])
+        """Looks at some of the anchors only."""
+        self.some = self.some[mask]
+
+    def cut(self) -> None:
+        """start and end of the fragments: from the first string whose leftmost least gram is the anchor to the end of the last."""
+        at, order, doc, i = self.at, self.order, self.doc, self.some
+        lo = np.maximum(self.offsets[doc[i]], at[i] - self.reach + 1)
+        hi = np.minimum(at[i], self.offsets[doc[i] + 1] - self.span)
+        for step, limit in ((-1, lo), (1, hi)):
+            open_, k = np.arange(len(i)), step
+            while len(open_):
+                other = i[open_] + k
+                near = (other >= 0) & (other < len(at))
+                open_, other = open_[near], other[near]
+                near = (doc[other] == doc[i[open_]]) & (np.abs(at[other] - at[i[open_]]) < self.reach)
+                open_, other = open_[near], other[near]
+                less = order[other] <= order[i[open_]] if step < 0 else order[other] < order[i[open_]]
+                stop = open_[less]
+                limit[stop] = np.maximum(limit[stop], at[other[less]] + 1) if step < 0 else np.minimum(limit[stop], at[other[less]] - self.reach)
+                open_, k = open_[~less], k + step
+        full = hi >= lo
+        self.some, self.start, self.end = i[full], lo[full], hi[full] + self.span
 
     def high(self) -> np.ndarray:
         x = (self.prefix[self.end] - self.prefix[self.start]) * self.poly[0].down[self.start] + (self.end - self.start).astype(U64)
@@ -173,15 +200,19 @@ class Anchors:
         return self.poly[1].of_slices(self.data, self.start, self.end).astype(np.uint32)
 
 
+#: Smaller pieces than elsewhere: there are eight bytes of hashes for each byte of text.
+PIECE = 1 << 19
+
+
 def _by_piece(group: pa.Table, span: int, gram: int) -> Iterator[tuple[pa.RecordBatch, Anchors]]:
     for batch in group.to_batches():
-        for piece, data, offsets in pieces(batch, "text"):
+        for piece, data, offsets in pieces(batch, "text", PIECE):
             yield piece, Anchors(piece, data, offsets, span, gram)
 
 
 def _propose(span: int, gram: int, n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece, data, offsets in pieces(batch, "text"):
+        for piece, data, offsets in pieces(batch, "text", PIECE):
             a = Anchors(piece, data, offsets, span, gram)
             packs = piece.column(piece.schema.get_field_index("pack")).to_numpy(zero_copy_only=False)
             yield batch_of(list(entries(n_buckets, a.hash, a.ids[a.doc], packs[a.doc])), ENTRY_SCHEMA)
@@ -189,31 +220,36 @@ def _propose(span: int, gram: int, n_buckets: int, batches: Iterator[pa.RecordBa
 
 def _fragments(span: int, gram: int, n_buckets: int, texts: pa.Table, alive: pa.Table) -> pa.Table:
     """The distinct fragments of a pack around anchors that several documents have."""
-    found, rows = alive_set(alive), []
-    pack = texts["pack"][0].as_py() if len(texts) else 0
+    found, parts = alive_set(alive), []
     for _, a in _by_piece(texts, span, gram) if len(found) else ():
         a.keep(among(a.hash, found))
-        high, low, ids = a.high(), a.low(), a.ids[a.doc]
-        order = np.lexsort((ids, low, high))
-        h, s, d = high[order], low[order], ids[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
-        last = np.append(new[1:], len(h))[: len(new)] - 1
-        one = order[new]
-        several = (d[new] != d[last]).astype(np.uint8)
-        size = a.end[one] - a.start[one]
-        for b, at in split_by((a.hash[one] % U64(n_buckets)).astype(np.int64), n_buckets):
-            i = one[at]
-            rows.append({"bucket": b, "pack": pack, "anchors": narrow(a.hash[i]), "high": blob(high[i]), "low": blob(low[i]), "docs": blob(ids[i].astype(np.int64)), "several": blob(several[at]), "sizes": blob(size[at].astype(np.uint8 if span < 100 else np.uint16)), "bytes": blob(a.data[spread(a.start[i], size[at])])})
+        a.cut()
+        high, low, ids, size = a.high(), a.low(), a.ids[a.doc[a.some]], a.end - a.start
+        parts.append((high, low, ids, a.hash[a.some], size, a.at[a.some] - a.start, a.data[spread(a.start, size)]))
+    if not parts:
+        return pa.Table.from_pylist([], schema=FRAGMENT_SCHEMA)
+    high, low, ids, anchor, size, place, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    start = np.cumsum(size) - size
+    order = np.lexsort((ids, low, high))
+    h, s, d = high[order], low[order], ids[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
+    several = (d[new] != d[np.append(new[1:], len(h))[: len(new)] - 1]).astype(np.uint8)
+    one, rows = order[new], []
+    for b, at in split_by((anchor[one] % U64(n_buckets)).astype(np.int64), n_buckets):
+        i = one[at]
+        rows.append({"bucket": b, "pack": texts["pack"][0].as_py(), "anchors": narrow(anchor[i]), "high": blob(high[i]), "low": blob(low[i]), "docs": blob(ids[i].astype(np.int64)), "several": blob(several[at]), "sizes": blob(size[i].astype(np.uint8 if span < 128 else np.uint16)), "places": blob(place[i].astype(np.uint8 if span < 128 else np.uint16)), "bytes": blob(data[spread(start[i], size[i])])})
     return pa.Table.from_pylist(rows, schema=FRAGMENT_SCHEMA)
 
 
-def _answers(span: int, group: pa.Table) -> pa.Table:
+def _answers(span: int, gram: int, group: pa.Table) -> pa.Table:
     """First documents of a bucket's fragments and of the strings in them."""
     high, count = joined(group["high"], U64)
     pack = np.repeat(group["pack"].to_numpy(), count)
     anchor, low = widen(joined(group["anchors"], np.uint8)[0]), joined(group["low"], np.uint32)[0]
     doc, several = joined(group["docs"], np.int64)[0], joined(group["several"], np.uint8)[0]
-    size, data = joined(group["sizes"], np.uint8 if span < 100 else np.uint16)[0].astype(np.int64), joined(group["bytes"], np.uint8)[0]
+    size, data = joined(group["sizes"], np.uint8 if span < 128 else np.uint16)[0].astype(np.int64), joined(group["bytes"], np.uint8)[0]
+    place = joined(group["places"], np.uint8 if span < 128 else np.uint16)[0].astype(np.int64)
     start = np.cumsum(size) - size
     order = np.lexsort((doc, low, high))
     new = np.flatnonzero(np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])[: len(order)])
@@ -229,9 +265,8 @@ def _answers(span: int, group: pa.Table) -> pa.Table:
 
     told = shared[of]
     answer(pack[order][told], fragments=high[order][told], firsts=first[of][told])
-    # anchors with several distinct fragments
-    _, which, n = np.unique(anchor[one], return_inverse=True, return_counts=True)
-    many = np.flatnonzero(n[which] > 1)
+    # A string is in two fragments only if one of its halves is: fragments none of whose halves is shared are out.
+    many = _alike((span - gram) // 2, gram, anchor[one], start[one], size[one], place[one], data)
     if len(many):
         i = one[many]
         width = size[i] + 1
@@ -241,8 +276,8 @@ def _answers(span: int, group: pa.Table) -> pa.Table:
         owner = np.repeat(np.arange(len(i)), width)
         whole = base[owner] + size[i][owner] - np.arange(len(t)) >= span  # a string of the span starts here
         sa = suffix_array(t, span)
-        same = common_prefixes(t, sa, span) >= span
-        sa, run = sa[whole[sa]], np.cumsum(~same)[whole[sa]]
+        sa = sa[whole[sa]]
+        run = np.cumsum(common_prefixes(t, sa, span) < span)
         if len(sa):
             cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             least = np.repeat(np.minimum.reduceat(first[many][owner[sa]], cut), np.diff(np.append(cut, len(sa))))
@@ -253,6 +288,23 @@ def _answers(span: int, group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(list(rows.values()), schema=ANSWER_SCHEMA)
 
 
+def _alike(half: int, gram: int, anchor: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The fragments that can share a string with another one of the same anchor.
+
+    A string holds at least ``half`` bytes before its anchor or as many after it, so one of these must
+    be found in another fragment too.
+    """
+    poly = Poly(23)
+    prefix = poly.prefix(poly.table[data])
+    out = np.zeros(len(anchor), bool)
+    for begin, fits in ((start + place - half, place >= half), (start + place + gram, size - place - gram >= half)):
+        some = np.flatnonzero(fits)
+        x = mix((prefix[begin[some] + half] - prefix[begin[some]]) * poly.down[begin[some]] + anchor[some])
+        _, which, n = np.unique(x, return_inverse=True, return_counts=True)
+        out[some[n[which] > 1]] = True
+    return np.flatnonzero(out)
+
+
 def _remove(span: int, gram: int, texts: pa.Table, answers: pa.Table) -> pa.Table:
     fragments, firsts = joined(answers["fragments"], U64)[0], joined(answers["firsts"], np.int64)[0]
     order = np.lexsort((firsts, fragments))
@@ -262,11 +314,12 @@ def _remove(span: int, gram: int, texts: pa.Table, answers: pa.Table) -> pa.Tabl
     inside, places, earlier = inside[order], places[order], earlier[order]
     out = []
     for piece, a in _by_piece(texts, span, gram):
-        h, ids = a.high(), a.ids[a.doc]
+        a.cut()
+        h, ids = a.high(), a.ids[a.doc[a.some]]
         gone = np.zeros(len(h), bool)
         if len(fragments):
             at = np.minimum(np.searchsorted(fragments, h), len(fragments) - 1)
-            gone = (fragments[at] == h) & (firsts[at] < ids) & (a.end - a.start >= span)
+            gone = (fragments[at] == h) & (firsts[at] < ids)
         lo, hi = np.searchsorted(inside, h, "left"), np.searchsorted(inside, h, "right")
         row = spread(lo, hi - lo)
         by = np.repeat(np.arange(len(h)), hi - lo)
@@ -286,11 +339,11 @@ def _remove(span: int, gram: int, texts: pa.Table, answers: pa.Table) -> pa.Tabl
     return pa.Table.from_batches(out, RESULT_SCHEMA)
 
 
-def dedup_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES // 2) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, _, n_bytes = packed(docs, pack_bytes)
     n_buckets = parts_for(n_bytes, bucket_bytes)
     alive = written(texts.mapInArrow(functools.partial(_propose, span, gram, n_buckets), ENTRIES).groupBy("bucket").applyInArrow(survivors, ALIVE))
     fragments = texts.groupBy("pack").cogroup(alive.groupBy("pack")).applyInArrow(functools.partial(_fragments, span, gram, n_buckets), FRAGMENTS)
-    answers = written(fragments.groupBy("bucket").applyInArrow(lambda group: _answers(span, group), ANSWERS))
+    answers = written(fragments.groupBy("bucket").applyInArrow(lambda group: _answers(span, gram, group), ANSWERS))
     return texts.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(functools.partial(_remove, span, gram), RESULT)
