@@ -9,8 +9,9 @@ size follows the number of patterns (meant for up to some thousands), not of doc
 A pattern that gets k times its words and a part of another round gives every document k times,
 and the part to documents in the order of a seeded hash of the id.  The place where that order is
 cut is found by histograms of the hash, refined until at most ``ZONE`` documents lie around the
-cut; only these are looked at one by one (largest first while they fit), so no source is sorted as a whole
-and the taken words miss the quota by less than the smallest document of the zone that is left.
+cut; only these are looked at one by one, so no source is sorted as a whole.  Of the ``AROUND`` documents on either side of the
+cut those are taken whose sizes fill what is left best, so a source of some dozens of documents meets its
+quota to the word as a rule.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its own, the
 last; repeated rows (same id) share their hash and are chosen in the order of their content's hash;
@@ -39,6 +40,7 @@ SEED = 17
 BINS = 1024
 ZONE = 20_000
 LEAST_ZONE = 64
+AROUND = 32
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,18 +162,35 @@ def choose(sized: DataFrame, need: dict[str, tuple[int, int]]) -> DataFrame:
 
 
 def _fit(zone):
-    """Of a zone of at most some ZONE documents, the largest first while they fit."""
+    """Of a zone of at most some ZONE documents in order of their hash, the first ones, and of those around the cut the set that fills what is left best."""
     zone = zone.groupby(["_p", "_left", "_hash", "_tie"], as_index=False)["_size"].sum()  # rows that agree in everything go together
-    zone = zone.sort_values(["_size", "_hash", "_tie"], ascending=[False, True, True])
-    left, more = int(zone["_left"].iloc[0]), []
-    for size in zone["_size"]:
-        more.append(int(size <= left))
-        left -= size if size <= left else 0
+    zone = zone.sort_values(["_hash", "_tie"])
+    left, size = int(zone["_left"].iloc[0]), zone["_size"].to_numpy()
+    whole = int(np.searchsorted(np.cumsum(size), left, "right"))
+    first, last = max(0, whole - AROUND), min(len(size), whole + AROUND)
+    more = np.zeros(len(size), np.int64)
+    more[:first] = 1
+    more[[first + k for k in fullest(size[first:last].tolist(), left - int(size[:first].sum()))]] = 1
     out = zone[["_p", "_hash", "_tie"]].assign(_more=more)
     out.columns = ["_zp", "_zh", "_zt", "_more"]
     return out[out["_more"] > 0]
 
 
+def fullest(sizes: list[int], room: int) -> list[int]:
+    """Indices of the set with the greatest sum up to ``room``: reachable sums as bits of a number, one for each item."""
+    unit = max(1, room // 4_000_000)
+    steps = [-(-n // unit) for n in sizes]
+    reach = [1]
+    for n in steps:
+        reach.append((reach[-1] | reach[-1] << n) & ((1 << room // unit + 1) - 1))
+    at, out = reach[-1].bit_length() - 1, []
+    for k in range(len(steps) - 1, -1, -1):
+        if not reach[k] >> at & 1:
+            out.append(k)
+            at -= steps[k]
+    return out
+
+
 def mix(docs: DataFrame, sources: str = "source", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MAX_REPEATS, carry: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all of docs; none may be named as what is added) with _size, _source_size, _target and _copies.
 

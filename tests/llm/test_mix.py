@@ -74,6 +74,13 @@ def test_refined_zone(docs, monkeypatch):
         assert abs(sum(r._copies * r._size for r in own) - own[0]._target) <= 30
 
 
+def test_fullest():
+    for sizes, room in (([3, 5, 8], 10), ([], 4), ([7], 6), ([2, 2, 2], 6), ([10**7, 3 * 10**6], 10**7 + 5), ([4, 9], 0)):
+        best = max(s for k in range(1 << len(sizes)) if (s := sum(x for i, x in enumerate(sizes) if k >> i & 1)) <= room)
+        got = sum(sizes[i] for i in mix.fullest(sizes, room))
+        assert got <= room and best - got <= max(1, room // 4_000_000) * len(sizes) * (room >= 8_000_000)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix.mix(empty).count() == 0 and mix.repeated(empty).count() == 0
