@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomap.plans import expressions, maps, more
+from loomap.plans import expressions, extra, maps, more
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES, **maps.QUERIES, **more.QUERIES}
-ORACLES: dict[str, str] = {**expressions.ORACLES, **maps.ORACLES, **more.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES, **maps.QUERIES, **more.QUERIES, **extra.QUERIES}
+ORACLES: dict[str, str] = {**expressions.ORACLES, **maps.ORACLES, **more.ORACLES, **extra.ORACLES}

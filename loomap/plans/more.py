@@ -116,7 +116,7 @@ def j24_frame_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk that holds each frame: the last whose start is not after it (an as-of join on a short list)."""
     k = table(spark, sf_dir, "nation").select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).alias("i"), (F.col("n_nationkey") * 7).alias("lo"))
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 180).alias("f"))
-    return e.join(F.broadcast(k), F.col("lo") <= F.col("f")).groupBy("event_id").agg(F.max("i").cast("long").alias("chunk"))
+    return e.join(k, F.col("lo") <= F.col("f")).groupBy("event_id").agg(F.max("i").cast("long").alias("chunk"))
 
 
 @query(f"""WITH {OBJECTS_SQL}, d AS (SELECT p.object_idx, min({DIST.format('p', 'q')}) AS d FROM o p, o q WHERE p.object_idx % 2 = 0 AND q.object_idx % 2 = 1 GROUP BY 1)
