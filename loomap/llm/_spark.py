@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomap.runtime import checkpoint_dir, written  # noqa: F401  used by the operators
+from loomap.runtime import checkpoint_dir, discard, written  # noqa: F401  used by the operators
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -16,8 +16,8 @@ probe.  A set with too little weight for its bound (by bad luck of the hash) sen
 into another round with twice the segments, until there is none: the join is exact.
 
 Sets that are equal are one entity; entities are compared once.  In a group of equal signatures all are
-compared with one member first, the one that meets most others; only members of different
-components of these links are compared further, so a group of near copies costs its size, not its
+compared with one member first, the one that meets most others; then of every two components of
+these links that meet the likeliest pair, and at last all pairs of members that are still apart, so a group of near copies costs its size, not its
 square.  Most of those are ruled out by parities: each set keeps a bit or two a token, and sets differ in at least as many
 tokens as in bits.  Candidates are verified on their whole sets.
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomap.llm._repeats import narrow, widen
-from loomap.llm._spark import blob, joined, parts_for, split_by, text_bytes, written
+from loomap.llm._spark import blob, discard, joined, parts_for, split_by, text_bytes, written
 from loomap.llm._text import LOWER, U64, Poly, find_words, left_in_document, mix, pieces, spread
 from loomap.operators.graph import components
 
@@ -262,21 +262,49 @@ def _stars(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield _edges(entity[centre[ok]], entity[who[ok]])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+MEMBERS = "part int, bucket int, entities binary"
+MEMBER_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("entities", pa.binary())])
+
+
+def _members(n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entities of each bucket's groups, in one row for each part of the entities."""
     for batch in batches:
         for row in batch.to_pylist():
             entity, _, who, _, _ = _unpack(row)
             used = entity[np.unique(who)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), row["bucket"], np.int32)), pa.array(used)], names=["bucket", "e"])
+            rows = [{"part": p, "bucket": row["bucket"], "entities": blob(used[at])} for p, at in split_by(used % n_parts, n_parts)]
+            yield pa.RecordBatch.from_pylist(rows, schema=MEMBER_SCHEMA)
+
+
+def _distinct(group: pa.Table) -> pa.Table:
+    return pa.table({"entity": np.unique(joined(group["entities"], np.int64)[0])})
+
+
+INFO = "bucket int, entities binary, roots binary, sizes binary, sketches binary"
+INFO_SCHEMA = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("entities", "roots", "sizes", "sketches")]])
+
+
+def _info(members: pa.Table, labels: pa.Table) -> pa.Table:
+    """What each bucket is told of a part of the entities: component so far and parities; in one row."""
+    known = labels["e"].to_numpy()
+    order = np.argsort(known)
+    known, root, sketch = known[order], labels["root"].to_numpy()[order], labels["sketch"].to_pylist()
+    rows = []
+    for bucket, cell in zip(members["bucket"].to_pylist(), members["entities"].to_pylist(), strict=True):
+        at = np.searchsorted(known, np.frombuffer(cell, np.int64))
+        cells = [sketch[k] for k in order[at].tolist()]
+        rows.append({"bucket": bucket, "entities": cell, "roots": blob(root[at]), "sizes": blob(np.array(list(map(len, cells)), np.int64)), "sketches": b"".join(cells)})
+    return pa.Table.from_pylist(rows, schema=INFO_SCHEMA)
 
 
-def _rest(percent: int, groups: pa.Table, info: pa.Table) -> pa.Table:
+def _rest(percent: int, best: bool, groups: pa.Table, info: pa.Table) -> pa.Table:
     """The pairs of a bucket's groups still to be compared: in different components so far, and not ruled out by their parities."""
-    known = info["e"].to_numpy()
+    known, root = joined(info["entities"], np.int64)[0], joined(info["roots"], np.int64)[0]
+    ends = np.cumsum(joined(info["sizes"], np.int64)[0])
+    raw = joined(info["sketches"], np.uint8)[0]
     order = np.argsort(known)
-    known, root = known[order], info["root"].to_numpy()[order]
-    cells = info["sketch"].to_pylist()
-    sketch = [cells[k] for k in order]
+    sketch = [raw[0 if k == 0 else ends[k - 1] : ends[k]].tobytes() for k in order.tolist()]
+    known, root = known[order], root[order]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     out = []
     for row in groups.to_pylist():
@@ -289,7 +317,7 @@ def _rest(percent: int, groups: pa.Table, info: pa.Table) -> pa.Table:
             r = root[at[who[part]]]
             if (r == r[0]).all():
                 continue
-            found = _apart(percent, r, probing[part], size[who[part]], [sketch[k] for k in at[who[part]].tolist()])
+            found = _apart(percent, best, r, probing[part], size[who[part]], [sketch[k] for k in at[who[part]].tolist()])
             if len(found):
                 ids = entity[who[part]]
                 out.append(_edges(ids[found[:, 0]], ids[found[:, 1]]))
@@ -297,7 +325,7 @@ def _rest(percent: int, groups: pa.Table, info: pa.Table) -> pa.Table:
     return table.group_by(["a", "b"]).aggregate([]) if len(table) else table
 
 
-def _apart(percent: int, root: np.ndarray, probing: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+def _apart(percent: int, best: bool, root: np.ndarray, probing: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> np.ndarray:
     """Pairs of a group's members with different roots that may be similar; in blocks, so memory doesn't follow the group's square."""
     short = min(map(len, sketches))
     bits = np.stack([_folded(x, short) for x in sketches])
@@ -314,8 +342,14 @@ def _apart(percent: int, root: np.ndarray, probing: np.ndarray, size: np.ndarray
             u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
             apart = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
             may = apart * (100 + percent) <= (size[u] + size[v]) * (100 - percent)
-            found.append(np.stack([u[may], v[may]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            found.append(np.stack([u[may], v[may], apart[may]], axis=1))
+            if best:  # so far, of each two components the pair that differs least
+                pair = np.concatenate(found)
+                one, two = np.minimum(root[pair[:, 0]], root[pair[:, 1]]), np.maximum(root[pair[:, 0]], root[pair[:, 1]])
+                pair = pair[np.lexsort((pair[:, 2], two, one))]
+                one, two = np.minimum(root[pair[:, 0]], root[pair[:, 1]]), np.maximum(root[pair[:, 0]], root[pair[:, 1]])
+                found = [pair[np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(pair)]]]
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 def _folded(sketch: bytes, n: int) -> np.ndarray:
@@ -372,7 +406,7 @@ def _possible(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(edges: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(edges: DataFrame, tokens: DataFrame, percent: int = PERCENT, ruled_out: bool = False) -> DataFrame:
     """The edges (a, b) that hold on the whole sets.
 
     Most that don't are ruled out by the sets' parities, which take a bit or two a token; tokens are sent for the rest.
@@ -384,7 +418,10 @@ def verified(edges: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> Dat
             pairs = pairs.join(tokens.select(F.col("e").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
 
-    near = with_both(edges, "n", "sketch").mapInArrow(lambda batches: _possible(percent, batches), "a long, b long")
+    if ruled_out:  # by parities, already
+        near = edges
+    else:
+        near = with_both(edges, "n", "sketch").mapInArrow(lambda batches: _possible(percent, batches), "a long, b long")
     return with_both(written(near), "tokens").mapInArrow(lambda batches: _verify(percent, batches), "a long, b long")
 
 
@@ -397,32 +434,40 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucke
     n_buckets = parts_for(text_bytes(texts), bucket_bytes)
     sets = written(texts.mapInArrow(lambda batches: _sets(shingle, batches), SETS))
     most = sets.agg(F.max("n_shingles").alias("n")).first()["n"] or 1
-    only, doubled, groups = None, 0, None
+    only, doubled, rounds = None, 0, []
     while True:
         found = texts.mapInArrow(functools.partial(_signatures, shingle, percent, margin, n_buckets, most, only), SIGNATURES)
-        one = written(found.groupBy("bucket").applyInArrow(_group, GROUPS))
-        groups = one if groups is None else groups.unionByName(one)
-        hard = [r["k"] for r in one.select(F.explode("hard").alias("k")).distinct().collect()]
+        rounds.append(written(found.groupBy("bucket").applyInArrow(_group, GROUPS)))
+        hard = [r["k"] for r in rounds[-1].select(F.explode("hard").alias("k")).distinct().collect()]
         if not hard:
             break
         doubled += 1
         only = {k: doubled for k in hard}
-    groups = groups.select("bucket", "entities", "members", "counts", "sizes")
+    groups = functools.reduce(DataFrame.unionByName, rounds).select("bucket", "entities", "members", "counts", "sizes")
     stars = written(groups.mapInArrow(lambda batches: _stars(percent, batches), "a long, b long").distinct())
     # the whole sets of the entities that are in some group, from one document of each
-    members = written(groups.mapInArrow(_members, "bucket int, e long").distinct())
-    in_pairs = members.select(F.col("e").alias("entity")).distinct()
+    members = written(groups.mapInArrow(functools.partial(_members, n_buckets), MEMBERS))
+    in_pairs = members.groupBy("part").applyInArrow(lambda group: _distinct(group), "entity long")
     chosen = sets.groupBy("entity").agg(F.min("doc_id").alias("doc_id")).join(in_pairs, "entity")
     # rows with the same id may have different texts: the entity is checked again
     some = texts.join(chosen.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    tokens = written(some.mapInArrow(lambda batches: _tokens(shingle, batches), TOKENS).join(in_pairs, F.col("e") == F.col("entity"), "left_semi").dropDuplicates(["e"]))
+    tokens = written(some.mapInArrow(lambda batches: _tokens(shingle, batches), TOKENS))
+    if tokens.count() > tokens.select("e").distinct().count():  # repeated rows
+        repeated, tokens = tokens, written(tokens.dropDuplicates(["e"]))
+        discard(repeated)
     first = written(verified(stars, tokens, percent))
-    # the buckets compare what isn't in one component yet, by parities; what may be similar is verified
-    roots = components(first)
-    info = members.join(tokens.select("e", "sketch"), "e").join(roots, F.col("e") == F.col("node"), "left")
-    info = info.select("bucket", "e", "sketch", F.coalesce("root", "e").alias("root"))
-    rest = groups.groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(lambda g, x: _rest(percent, g, x), "a long, b long")
-    return sets, first.unionByName(verified(rest.distinct(), tokens, percent))
+    # the buckets compare what isn't in one component yet, by parities; what may be similar is verified:
+    # at first only the likeliest pair of every two components that meet, then all that are still apart
+    done = [first]
+    for best in (True, False):
+        roots = components(functools.reduce(DataFrame.unionByName, done))
+        labels = tokens.join(roots, F.col("e") == F.col("node"), "left").select("e", F.coalesce("root", "e").alias("root"), "sketch", F.pmod("e", F.lit(n_buckets)).cast("int").alias("part"))
+        info = members.groupBy("part").cogroup(labels.groupBy("part")).applyInArrow(lambda a, b: _info(a, b), INFO)
+        rest = groups.groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(functools.partial(_rest, percent, best), "a long, b long")
+        done.append(written(verified(rest.distinct(), tokens, percent, ruled_out=True)))
+    found = written(functools.reduce(DataFrame.unionByName, done))
+    discard(*rounds, stars, members, tokens, *done)
+    return sets, found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, margin: float = MARGIN) -> DataFrame:
