@@ -7,8 +7,11 @@ class.  A text is read in windows of WINDOW ids, STEP apart; every id is scored
 at least WINDOW - STEP ids before it unless the text begins later.  Windows of many texts are
 scored together, with the causal mask.
 
-Training runs on the driver on at most TRAIN_DOCS documents (those with the least hash of their id outside
-the held-out fold) and TRAIN_WINDOWS windows; both are parameters.  The base score needs every word's count in
+Id counts (for shares, prior and known ids) come from all documents outside the held-out fold, and the model
+is trained on all of their windows: these are dealt to ROUNDS rounds of shards of SHARD_BYTES of text.  In a round
+each shard takes steps from the model of the round before, over each of its windows once at least; the shards' changes are averaged,
+a row of the embedding over the shards that used it.  STEPS is the least number of steps, for which the windows of small inputs
+are repeated; there is no greatest number.  The base score needs every word's count in
 all training documents: each piece of text sends the buckets of words its distinct words with
 their documents, the buckets count and send back each document's sum, so no word or document is a hot key.
 
@@ -18,16 +21,18 @@ in training); a null doc_id is held out.  With no training documents the model i
 
 from __future__ import annotations
 
+import copy
 import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomap.llm._spark import blob, joined, parts_for, split_by, text_bytes, written
-from loomap.llm._text import LOWER, U64, Poly, find_words, pieces, spread
+from loomap.llm._spark import blob, discard, joined, parts_for, split_by, text_bytes, written
+from loomap.llm._text import LOWER, U64, Poly, find_words, mix, pieces, spread
 from loomap.llm._tokens import Encoder
 from loomap.llm._vocab import TOKENIZERS
 
@@ -37,7 +42,13 @@ WIDTH, CLASSES, OWN = 16, 96, 80
 BLOCK = 256
 END = 50256
 IDS = END + 1
-TRAIN_DOCS, TRAIN_WINDOWS, STEPS = 1500, 60_000, 700
+BATCH, STEPS, ROUNDS = 128, 700, 4
+SHARD_BYTES = 16 << 20
+#: A window in a cell: the id before it, its ids, its first scored place and its number of ids.
+CELL = WINDOW + 3
+#: Windows of a piece that go to one shard together.
+DEALT = 2500
+SLICES = 64
 #: Larger than elsewhere: each bucket is sent the keys of all documents of a piece.
 BUCKET_BYTES = 32 << 20
 SMOOTH = 0.1
@@ -46,6 +57,12 @@ WORDS = "bucket int, words binary, trained binary, docs_of binary, docs binary,
 WORD_SCHEMA = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "trained", "docs_of", "docs", "times", "keys")]])
 SUMS = "part int, keys binary, tokens binary, known binary, logs binary"
 SUM_SCHEMA = pa.schema([("part", pa.int32()), *[(k, pa.binary()) for k in ("keys", "tokens", "known", "logs")]])
+WINDOWS = "round int, shard int, windows binary, ids binary, counts binary"
+WINDOW_SCHEMA = pa.schema([("round", pa.int32()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("windows", "ids", "counts")]])
+COUNTS = "ids binary, counts binary"
+COUNT_SCHEMA = pa.schema([("ids", pa.binary()), ("counts", pa.binary())])
+CHANGES = "part int, shard int, rows binary, weights binary, changes binary"
+CHANGE_SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("rows", "weights", "changes")]])
 BASE_SCHEMA = pa.schema([("row_key", pa.int64()), ("total", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
 
 
@@ -63,7 +80,7 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 class Model:
     def __init__(self, counts: np.ndarray, seed: int = 3):
-        """counts: of every id in the training sample."""
+        """counts: of every id in the training documents."""
         order = np.argsort(-counts, kind="stable")
         self.group = np.zeros(IDS, np.int32)
         self.group[order] = np.minimum(np.arange(IDS), OWN)
@@ -109,6 +126,13 @@ class Model:
 
     def gradients(self, inputs: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean class loss over the scored places, and its gradients."""
+        loss, g, rows, of_rows = self.sparse_gradients(inputs, ids, scored)
+        g["embed"] = np.zeros_like(self.p["embed"])
+        g["embed"][rows] = of_rows
+        return loss, g
+
+    def sparse_gradients(self, inputs: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """The loss, its gradients but for the embedding, the rows of the embedding that are used, and their gradients."""
         p = self.p
         x, q, k, v, a, m, h, z = self.forward(inputs)
         target, n = self.group[ids].ravel(), scored.sum()
@@ -129,9 +153,10 @@ class Model:
         g["qkv"] = flat.T @ d
         dx = (d @ p["qkv"].T + dh @ p["direct"].T).reshape(x.shape)
         g["place"] = dx.sum(0)
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], inputs.ravel(), dx.reshape(-1, WIDTH))
-        return loss, g
+        used = inputs.ravel()
+        order = np.argsort(used, kind="stable")
+        new = np.flatnonzero(np.diff(used[order], prepend=-1))
+        return loss, g, used[order[new]], np.add.reduceat(dx.reshape(-1, WIDTH)[order], new)
 
 
 def rows_of(model: Model, ids: np.ndarray, first: np.ndarray):
@@ -144,25 +169,20 @@ def rows_of(model: Model, ids: np.ndarray, first: np.ndarray):
     return inputs, ids[at], (place >= since[:, None]) & (place < n[:, None]), text
 
 
-def train(texts: list[str], vocabulary: str, folder: str, steps: int = STEPS, seed: int = 3) -> Model:
-    """Adam on windows drawn from the sample."""
-    data = b"".join(t.encode() for t in texts)
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    ids, first = with_ends(Encoder(vocabulary, folder), LOWER[np.frombuffer(data, np.uint8)], offsets)
-    model = Model(np.bincount(ids, minlength=IDS).astype(np.float64), seed)
-    if not texts:
-        return model
-    rng, m, s = np.random.default_rng(seed), {}, {}
-    inputs, target, scored, _ = rows_of(model, ids, first)
-    some = rng.permutation(len(inputs))[:TRAIN_WINDOWS]
-    for step in range(1, steps + 1):
-        batch = rng.choice(some, 128)
-        rate = np.float32(0.01 * min(1, step / 20) * (1 - 0.9 * step / steps))
-        for k, d in model.gradients(inputs[batch], target[batch], scored[batch])[1].items():
-            m[k] = 0.9 * m.get(k, 0) + 0.1 * d
-            s[k] = 0.99 * s.get(k, 0) + 0.01 * d * d
-            model.p[k] = (model.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return model
+class Adam:
+    """Steps of a model; rows of the embedding that a batch doesn't use stay as they are."""
+
+    def __init__(self, model: Model):
+        self.model, self.step = model, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+
+    def take(self, rate: float, inputs: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> None:
+        self.step += 1
+        _, g, rows, of_rows = self.model.sparse_gradients(inputs, ids, scored)
+        for k, at, d in [*((k, slice(None), d) for k, d in g.items()), ("embed", rows, of_rows)]:
+            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * d
+            s = self.s[k][at] = 0.99 * self.s[k][at] + 0.01 * d * d
+            self.model.p[k][at] -= np.float32(rate) * (m / np.float32(1 - 0.9**self.step)) / (np.sqrt(s / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
 
 
 def with_ends(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +201,121 @@ def score_ids(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+# --- training
+
+
+def cells_of(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One row of CELL numbers for each window of the texts."""
+    text, start, n, since = windows_of(first)
+    begin = first[text] + start
+    out = np.empty((len(text), CELL), np.uint16)
+    out[:, 0] = np.where(start == 0, END, ids[np.maximum(begin - 1, 0)])
+    out[:, 1 : WINDOW + 1] = ids[begin[:, None] + np.minimum(np.arange(WINDOW), n[:, None] - 1)]
+    out[:, WINDOW + 1], out[:, WINDOW + 2] = since, n
+    return out
+
+
+def from_cells(model: Model, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compact inputs, ids and which places are scored."""
+    cells, place = cells.astype(np.int64), np.arange(WINDOW)
+    return model.known[cells[:, :WINDOW]], cells[:, 1 : WINDOW + 1], (place >= cells[:, -2:-1]) & (place < cells[:, -1:])
+
+
+def _windows(n_shards: int, rounds: int, vocabulary: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows, dealt at random to rounds and shards; at the end (in round -1) the task's count of each id."""
+    encoder, counts = Encoder(vocabulary, folder), np.zeros(IDS, np.int64)
+    rng = np.random.default_rng(TaskContext.get().partitionId())  # a task that is run again deals as before
+    for batch in batches:
+        for _, raw, offsets in pieces(batch, "text", 1 << 20):
+            ids, first = with_ends(encoder, LOWER[raw], offsets)
+            counts += np.bincount(ids, minlength=IDS)
+            cells = cells_of(ids, first)
+            rows = [
+                {"round": int(rng.integers(rounds)), "shard": int(rng.integers(n_shards)), "windows": blob(cells[at])}
+                for at in np.array_split(rng.permutation(len(cells)), -(-len(cells) // DEALT))
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=WINDOW_SCHEMA)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_pylist([{"round": -1, "shard": k, "ids": blob(seen[at]), "counts": blob(counts[seen[at]])} for k, at in split_by(seen % SLICES, SLICES)], schema=WINDOW_SCHEMA)
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    ids, which = np.unique(joined(group["ids"], np.int64)[0], return_inverse=True)
+    counts = np.zeros(len(ids), np.int64)
+    np.add.at(counts, which, joined(group["counts"], np.int64)[0])
+    return pa.Table.from_pylist([{"ids": blob(ids), "counts": blob(counts)}], schema=COUNT_SCHEMA)
+
+
+def learn(model: Model, cells: np.ndarray, turn: int, rounds: int, steps: int) -> Model:
+    """The model after a round's steps over the windows of a shard, each of which is used at least once."""
+    h = np.zeros(len(cells), U64)
+    for k, times in enumerate(np.random.default_rng(turn).integers(0, 2**63, CELL, dtype=U64) * U64(2) + U64(1)):
+        h += cells[:, k] * times
+    cells = cells[np.argsort(mix(h), kind="stable")]  # in an order of their own, whichever way they came
+    after = copy.copy(model)
+    after.p = {k: v.copy() for k, v in model.p.items()}
+    adam, each = Adam(after), min(BATCH, len(cells))
+    total = max(-(-len(cells) // each), -(-steps // rounds))
+    for step in range(total):
+        batch = from_cells(after, cells[(step * each + np.arange(each)) % len(cells)])
+        adam.take(0.01 * min(1, (step + 1) / 20) * (1 - 0.9 * (turn + (step + 1) / total) / rounds), *batch)
+    return after
+
+
+def _learn(shared, turn: int, rounds: int, steps: int, group: pa.Table) -> pa.Table:
+    """A shard's changes times their weights: of the embedding by slices of its rows, of all else in part -1."""
+    before, shard = shared.value, group["shard"][0].as_py()
+    cells = joined(group["windows"], np.uint16)[0].reshape(-1, CELL)
+    after = learn(before, cells, turn, rounds, steps)
+    weight = np.bincount(before.known[cells[:, :WINDOW]].ravel(), minlength=len(before.p["embed"])).astype(np.float32)
+    used = np.flatnonzero(weight)
+    change = (after.p["embed"][used] - before.p["embed"][used]) * weight[used, None]
+    rows = [{"part": k, "shard": shard, "rows": blob(used[at].astype(np.int32)), "weights": blob(weight[used[at]]), "changes": blob(change[at])} for k, at in split_by(used % SLICES, SLICES)]
+    rest = np.concatenate([(after.p[k] - before.p[k]).ravel() for k in before.p if k != "embed"]) * np.float32(len(cells))
+    rows.append({"part": -1, "shard": shard, "rows": blob(np.arange(len(rest), dtype=np.int32)), "weights": blob(np.full(len(rest), len(cells), np.float32)), "changes": blob(rest)})
+    return pa.Table.from_pylist(rows, schema=CHANGE_SCHEMA)
+
+
+def _learner(*args):
+    return lambda group: _learn(*args, group)
+
+
+def _averaged(group: pa.Table) -> pa.Table:
+    """The mean change of each row that some shard used."""
+    group, part = group.sort_by("shard"), group["part"][0].as_py()
+    rows, which = np.unique(joined(group["rows"], np.int32)[0], return_inverse=True)
+    weights = np.bincount(which, joined(group["weights"], np.float32)[0], len(rows))
+    changes = joined(group["changes"], np.float32)[0].reshape(len(which), -1)
+    mean = np.stack([np.bincount(which, c, len(rows)) / weights for c in changes.T], axis=1).astype(np.float32)
+    return pa.Table.from_pylist([{"part": part, "shard": 0, "rows": blob(rows), "weights": b"", "changes": blob(mean)}], schema=CHANGE_SCHEMA)
+
+
+def trained(texts: DataFrame, n_bytes: int, vocabulary: str, folder: str, steps: int = STEPS, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> Model:
+    """A model of all windows of the texts."""
+    context, n_shards = texts.sparkSession.sparkContext, parts_for(n_bytes, shard_bytes)
+    cells = written(texts.select("text").mapInArrow(functools.partial(_windows, n_shards, rounds, vocabulary, folder), WINDOWS))
+    counts = np.zeros(IDS)
+    for row in cells.where("round < 0").groupBy("shard").applyInArrow(lambda group: _counted(group), COUNTS).collect():
+        counts[np.frombuffer(row["ids"], np.int64)] = np.frombuffer(row["counts"], np.int64)
+    model = Model(counts)
+    for turn in range(rounds):
+        shared = context.broadcast(model)
+        changes = written(cells.where(F.col("round") == turn).groupBy("shard").applyInArrow(_learner(shared, turn, rounds, steps), CHANGES))
+        for row in changes.groupBy("part").applyInArrow(lambda group: _averaged(group), CHANGES).collect():
+            rows, change = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["changes"], np.float32)
+            if row["part"] >= 0:
+                model.p["embed"][rows] += change.reshape(-1, WIDTH)
+                continue
+            for k in model.p:
+                if k != "embed":
+                    model.p[k] += change[: model.p[k].size].reshape(model.p[k].shape)
+                    change = change[model.p[k].size :]
+        discard(changes)
+        shared.destroy()
+    discard(cells)
+    return model
+
+
 # --- the jobs
 
 
@@ -256,7 +391,7 @@ def _totals(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(distinct), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], schema=BASE_SCHEMA)
 
 
-def scores(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, train_docs: int = TRAIN_DOCS, steps: int = STEPS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def scores(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, steps: int = STEPS, bucket_bytes: int = BUCKET_BYTES, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.coalesce(fold() == HELD_OUT, F.lit(True))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -270,9 +405,7 @@ def scores(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", folder: s
     for row in sums.where("part < 0").select("keys").collect():
         a, b = np.frombuffer(row["keys"], np.int64)
         n, v = n + int(a), v + int(b)
-    chosen = texts.where("not held_out").select("row_key", "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "row_key").limit(train_docs)
-    sample = texts.join(F.broadcast(chosen.select("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text").collect()
-    model = docs.sparkSession.sparkContext.broadcast(train([r["text"] for r in sorted(sample, key=lambda r: r["row_key"])], vocabulary, folder, steps))
+    model = docs.sparkSession.sparkContext.broadcast(trained(texts.where("not held_out"), n_bytes, vocabulary, folder, steps, rounds, shard_bytes))
     scored = texts.mapInArrow(lambda batches: _score(model.value, vocabulary, folder, batches), SCORES)
     words = F.col("n_tokens") - 1
     # a row that is there k times has k times its sums

@@ -93,3 +93,32 @@ def test_gradients():
             down = m.gradients(inputs, ids, scored)[0]
             flat[i] = old
             assert abs((up - down) / 2e-4 - g.reshape(-1)[i]) < 1e-5
+
+
+def test_all_training_rows_are_learnt_from(spark, monkeypatch):
+    """All training rows are counted and all of their windows are learnt from, however many documents there are."""
+    texts = spark.createDataFrame([(f"w{i} " + "some words of a text " * 9,) for i in range(4000)] + [("zyzzyva",)], "text string")
+    tables, written = [], lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df: (tables.append(written(df)), tables[-1])[1])
+    monkeypatch.setattr(lm_score, "discard", lambda *_: None)
+    model = lm_score.trained(texts, 1 << 20, "byte_bpe_50k.tiktoken", lm_score.TOKENIZERS, steps=4, rounds=2, shard_bytes=1 << 18)
+    data = [r.text.encode() for r in texts.collect()]
+    encoder = lm_score.Encoder("byte_bpe_50k.tiktoken", lm_score.TOKENIZERS)
+    ids, first = lm_score.with_ends(encoder, np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    counts = np.bincount(ids, minlength=lm_score.IDS).astype(float)
+    before = lm_score.Model(counts)
+    assert model.known.tolist() == before.known.tolist() and model.share.tolist() == before.share.tolist()
+    cells = [np.frombuffer(r.windows, np.uint16).reshape(-1, lm_score.CELL) for r in tables[0].where("round >= 0").collect()]
+    assert sorted(map(tuple, np.concatenate(cells).tolist())) == sorted(map(tuple, lm_score.cells_of(ids, first).tolist()))
+    learnt = sum(np.frombuffer(r.weights, np.float32)[0] for t in tables[1:] for r in t.where("part = -1").collect())
+    assert learnt == len(lm_score.windows_of(first)[0])
+    loss = [m.gradients(*lm_score.from_cells(m, cells[0]))[0] for m in (before, model)]
+    assert loss[1] < loss[0] - 0.5
+
+
+def test_cells_are_the_windows():
+    m = model()
+    first = np.concatenate([[0], np.cumsum([1, 2, 23, 24, 25, 42, 43, 100])])
+    ids = np.random.default_rng(1).choice([5, 6, 7, 300, 9999], first[-1])
+    want, got = lm_score.rows_of(m, ids, first)[:3], lm_score.from_cells(m, lm_score.cells_of(ids, first))
+    assert (want[2] == got[2]).all() and all((w[want[2]] == g[want[2]]).all() for w, g in zip(want[:2], got[:2], strict=True))
