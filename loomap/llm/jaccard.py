@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomap.llm._repeats import narrow, widen
@@ -48,8 +48,8 @@ SHINGLE = 5
 PERCENT = 75
 BUCKET_BYTES = 16 << 20
 MARGIN = 6.0
-SETS = "doc_id long, n_shingles long, entity long"
-SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("entity", pa.int64())])
+SETS = "doc_id long, row_key long, n_shingles long, entity long"
+SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("entity", pa.int64())])
 TOKENS = "e long, n int, sketch binary, tokens binary"
 SIGNATURES = "bucket int, signatures binary, which binary, entities binary, sizes binary, hard array<int>"
 SIGNATURE_SCHEMA = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("which", pa.binary()), ("entities", pa.binary()), ("sizes", pa.binary()), ("hard", pa.list_(pa.int32()))])
@@ -190,7 +190,8 @@ def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         for piece, data, offsets in pieces(batch, "text"):
             s = Sets(data, offsets, shingle)
-            yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("doc_id")), pa.array(s.size), pa.array(s.entity)], schema=SETS_SCHEMA)
+            keep = [piece.column(piece.schema.get_field_index(k)) for k in ("doc_id", "row_key")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(s.size), pa.array(s.entity)], schema=SETS_SCHEMA)
 
 
 def _signatures(shingle: int, percent: int, margin: float, n_buckets: int, most: int, only: dict | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,14 +426,15 @@ def verified(edges: DataFrame, tokens: DataFrame, percent: int = PERCENT, ruled_
     return with_both(written(near), "tokens").mapInArrow(lambda batches: _verify(percent, batches), "a long, b long")
 
 
-def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): each document's (doc_id, n_shingles, entity), and linked entities (a, b) that connect all that are connected.
+def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, margin: float = MARGIN, row_key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sets, links): each document's (doc_id, row_key, n_shingles, entity), and linked entities (a, b) that connect all that are connected.
 
     Every pair of similar entities is linked or joined by a path of links.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = parts_for(text_bytes(texts), bucket_bytes)
-    sets = written(texts.mapInArrow(lambda batches: _sets(shingle, batches), SETS))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None) if row_key is None else row_key).cast("long").alias("row_key"), F.col("text").cast("string").alias("text"))
+    sets = written(keyed.mapInArrow(lambda batches: _sets(shingle, batches), SETS))
     most = sets.agg(F.max("n_shingles").alias("n")).first()["n"] or 1
     only, doubled, rounds = None, 0, []
     while True:
@@ -481,10 +483,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component (that of the least doc_id), with the columns of docs.
+    """One document of each component, with the columns of docs: of the least doc_id (nulls last), then entity, then row key.
 
-    Documents with empty sets and null ids stay; rows with the same id and equal text are one document.
+    Rows are told apart by a hash of all their columns and not by doc_id, so an id may stand for several texts; of rows that are
+    equal in all columns one is kept.  Documents with empty sets are in no component and stay, each.
     """
-    groups = near_duplicates(docs, shingle, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])  # nulls alone leave a hash as it is
+    sets, found = links(docs, shingle, percent, row_key=key)
+    root = F.coalesce("root", "entity").alias("_root")
+    rows = sets.where("n_shingles > 0").groupBy("doc_id", "entity", "row_key").count().join(components(found), F.col("entity") == F.col("node"), "left").select("doc_id", "entity", "row_key", "count", root)
+    rows = written(rows)
+    least = rows.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "entity", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key"), F.lit(True).alias("_kept"))
+    rows = written(rows.join(least, "row_key", "left").select(F.col("row_key").alias("_row"), "_kept", "count").where("_kept is null or count > 1"))
+    keyed = docs.withColumn("_row", key)
+    once = keyed.join(rows.select("_row"), "_row", "left_anti")
+    repeated = keyed.join(rows.where("_kept").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -98,3 +98,14 @@ def test_components(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one(none).count() == 0
+
+
+def test_keep_one_of_each_group(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = a + " end"
+    rows = [(1, a, None), (1, a, None), (1, a, "x"), (None, b, None), (None, b, None), (None, b, "y"), (2, near, None), (2, c, None), (3, c + " end", None), (4, "", None), (None, None, None), (None, None, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = [tuple(r) for r in got.collect()]
+    texts = sorted((r[0] or 0, r[1]) for r in got if r[1])
+    assert texts == [(0, b), (1, a), (2, c)]
+    assert sum(not r[1] for r in got) == 3  # empty sets are in no group
