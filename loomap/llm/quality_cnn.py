@@ -6,7 +6,9 @@ combined by the greatest and the mean pooled value of each filter, from which a
 gives one probability.  Only the text is an input.
 
 Training runs on the driver over at most ``TRAIN_ROWS`` labelled rows (those with the least hash of
-the id) of at most ``TRAIN_CHUNKS`` chunks in all; both are parameters.  Scoring reads the whole of every text once, in
+the id), with at most ``TRAIN_CHUNKS`` chunks in all; both are parameters of ``fit``.  A row of more than ``TRAIN_CHUNKS / LARGEST``
+chunks is learnt from that many of them, spread over its text; in the order of the hash, a row that no longer fits is skipped
+and the ones after it are still tried.  Only what is chosen is sent to the driver.  Equal rows are learnt from once.  Scoring reads the whole of every text once, in
 blocks of chunks, so memory doesn't grow with a text; nothing is shuffled.
 
 Defined results: null and empty texts are one chunk of padding and get its score; with no label rows
@@ -22,16 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomap.llm._text import buffers, pieces, spread
+from loomap.llm._text import pieces, spread
 
 CHUNK, STEP = 512, 448
 EMBED, TAPS, FILTERS = 6, 5, 16
 BLOCK = 128
 TRAIN_ROWS = 4000
 TRAIN_CHUNKS = 60_000
+LARGEST = 16
 EPOCHS = 6
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+CHOSEN = "doc_id long, label int, text_key long"
+DRAWN = CHOSEN + ", chunks binary"
+DRAWN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text_key", pa.int64()), ("chunks", pa.binary())])
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 PAD = 0
 
@@ -102,23 +108,18 @@ class Network:
         return g
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """Adam over shuffled documents; chunks of very long texts beyond TRAIN_CHUNKS in all are left to scoring."""
+def train(chunks: np.ndarray, n: np.ndarray, labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
+    """Adam over shuffled documents of n chunks each."""
     net = Network(seed)
-    if not texts:
+    if not len(n):
         return net
-    data, offsets = buffers(pa.array(texts, pa.large_string()))
-    chunks, n = chunks_of(data, offsets)
-    use = np.flatnonzero(np.cumsum(n) <= TRAIN_CHUNKS) if n.sum() > TRAIN_CHUNKS else np.arange(len(n))
-    at = np.cumsum(n) - n
+    at, use = np.cumsum(n) - n, np.arange(len(n))
     y = np.asarray(labels, np.float32)
-    share = float(np.clip(y[use].mean() if len(use) else 0.5, 0.01, 0.99))
+    share = float(np.clip(y.mean(), 0.01, 0.99))
     net.p["prior"][0] = np.log(share / (1 - share))
     rng, m, s, step = np.random.default_rng(seed), {}, {}, 0
     for epoch in range(epochs):
         for batch in np.array_split(rng.permutation(use), max(1, len(use) // 16)):
-            if not len(batch):
-                continue
             step += 1
             g = net.gradients(chunks[spread(at[batch], n[batch])], n[batch], y[batch])
             rate = 0.01 * (1 - 0.8 * epoch / epochs)
@@ -141,14 +142,42 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Network:
-    """Trains on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.where(F.col(label).isNotNull() & (fold() != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).distinct()
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "_label", "text").limit(2 * rows).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["_label"], r["text"]))
-    return train([r["text"] for r in found], [r["_label"] for r in found])
+def _drawn(each: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's chunks, or that many of them at even distances."""
+    for batch in batches:
+        for piece, data, offsets in pieces(batch, "text"):
+            chunks, n = chunks_of(data, offsets)
+            at = np.cumsum(n) - n
+            cells = [chunks[a + (np.arange(min(k, each)) * k) // min(k, each)].tobytes() for a, k in zip(at, n, strict=True)]
+            keep = [piece.column(piece.schema.get_field_index(k)) for k in DRAWN_SCHEMA.names[:3]]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(cells, pa.binary())], schema=DRAWN_SCHEMA)
+
+
+def fitting(sizes: list[int], room: int) -> list[int]:
+    """The places of the sizes that fit into the room, taken in order; those that don't are skipped."""
+    taken = []
+    for i, size in enumerate(sizes):
+        if size <= room:
+            taken.append(i)
+            room -= size
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, chunks: int = TRAIN_CHUNKS) -> Network:
+    """Trains on a bounded sample of the labelled rows outside the held-out fold: of at most ``rows`` rows and ``chunks`` chunks."""
+    known = labels.where(F.col(label).isNotNull() & (fold() != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    count = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - (CHUNK - STEP)) / STEP)).cast("long")
+    each = max(1, chunks // LARGEST)
+    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text_key", F.least(count, F.lit(each)).alias("n")).distinct()
+    sizes = found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text_key").limit(2 * rows).collect()
+    chosen = docs.sparkSession.createDataFrame([tuple(sizes[i])[:3] for i in fitting([r["n"] for r in sizes], chunks)], CHOSEN)
+    cells = texts.join(F.broadcast(chosen), ["doc_id", "text_key"]).select(*DRAWN_SCHEMA.names[:3], "text").mapInArrow(lambda batches: _drawn(each, batches), DRAWN)
+    drawn = sorted(cells.dropDuplicates(["doc_id", "label", "text_key"]).collect(), key=lambda r: (r["doc_id"], r["label"], r["text_key"]))
+    n = np.array([len(r["chunks"]) // CHUNK for r in drawn], np.int64)
+    return train(np.frombuffer(b"".join(r["chunks"] for r in drawn), np.uint8).reshape(-1, CHUNK), n, [r["label"] for r in drawn])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -135,3 +136,17 @@ def test_quality_cnn_odd(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_cnn.score(docs, quality_cnn.fit(docs, labels)).collect()
     assert len(got) == 4 and all(r.score == 0.5 and r.predicted == 1 for r in got)
+
+
+def test_quality_cnn_long_texts(spark, monkeypatch):
+    """A long text neither ends the sample nor drops out of it, and the bound on chunks holds."""
+    seen, train = [], quality_cnn.train
+    monkeypatch.setattr(quality_cnn, "train", lambda chunks, n, y: (seen.append((len(chunks), n.tolist(), y)), train(chunks, n, y, epochs=1))[1])
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % quality_cnn.FOLDS != quality_cnn.HELD_OUT][:41]
+    docs = spark.createDataFrame([(ids[0], "long " * 20000), *[(i, f"short text {i}") for i in ids[1:]], (ids[5], f"short text {ids[5]}")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    quality_cnn.fit(docs, labels, chunks=64)
+    assert sorted(seen[0][1]) == [1] * 40 + [4] and seen[0][0] == 44 and sum(seen[0][2]) == 20
+    quality_cnn.fit(docs, labels, chunks=16)
+    assert seen[1][0] == sum(seen[1][1]) == 16
+    assert quality_cnn.fitting([3, 9, 2, 4], 6) == [0, 2]
