@@ -25,14 +25,14 @@ ENTRIES = "bucket int, hashes binary, packs binary, several binary"
 ALIVE = "pack int, hashes binary"
 
 
-def narrow(x: np.ndarray) -> bytes:
-    """The upper six bytes of 64-bit hashes: enough to propose candidates."""
-    return np.ascontiguousarray((x >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def narrow(x: np.ndarray, size: int = 6, drop: int = 2) -> bytes:
+    """``size`` bytes of each number above its lowest ``drop``: of a hash, enough to propose candidates."""
+    return np.ascontiguousarray((x >> U64(8 * drop)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def widen(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
+def widen(raw: np.ndarray, size: int = 6) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(-1, size)
     return out.view("<u8").ravel().astype(U64)
 
 
@@ -67,7 +67,7 @@ def entries(n_buckets: int, hashes: np.ndarray, docs: np.ndarray, packs: np.ndar
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]))
     last = np.append(new[1:], len(h)) - 1
     h, p, several = h[new], p[new], (d[new] != d[last]).astype(np.uint8)
-    for b, at in split_by((h % U64(n_buckets)).astype(np.int64), n_buckets):
+    for b, at in split_by((h % U64(n_buckets)).astype(np.int64)):
         yield {"bucket": b, "hashes": narrow(h[at]), "packs": blob(p[at].astype(np.int32)), "several": blob(several[at])}
 
 

@@ -31,12 +31,10 @@ def joined(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(cells) if cells else np.zeros(0, dtype)), np.array([len(x) for x in cells], np.int64)
 
 
-def split_by(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each key from 0 to n-1 that occurs, the positions that hold it, in order."""
+def split_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each key that occurs, in order, the positions that hold it; the cost follows the keys that are there."""
     order = np.argsort(key, kind="stable")
-    ends = np.cumsum(np.bincount(key, minlength=n))
-    start = 0
-    for k, end in enumerate(ends):
-        if end > start:
-            yield k, order[start:end]
-        start = end
+    x = key[order]
+    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(x)).tolist(), strict=True):
+        yield int(x[a]), order[a:b]

@@ -60,7 +60,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     smaller = after > t
     direct = np.flatnonzero(smaller)
     direct = direct[_by_words(_words(t, depth), direct, depth)]
-    b_part = dict(split_by(t[direct], 256))
+    b_part = dict(split_by(t[direct]))
     a_part: list[list[np.ndarray]] = [[] for _ in range(256)]
     if not smaller[n - 1]:
         a_part[t[n - 1]].append(np.array([n - 1]))  # the last suffix is the least of its bucket
@@ -80,7 +80,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         before = before[t[before] > c]
-        for b, at in split_by(t[before], 256):
+        for b, at in split_by(t[before]):
             a_part[b].append(before[at])
     return np.concatenate(out)
 
@@ -236,7 +236,7 @@ def _fragments(span: int, gram: int, n_buckets: int, texts: pa.Table, alive: pa.
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
     several = (d[new] != d[np.append(new[1:], len(h))[: len(new)] - 1]).astype(np.uint8)
     one, rows = order[new], []
-    for b, at in split_by((anchor[one] % U64(n_buckets)).astype(np.int64), n_buckets):
+    for b, at in split_by((anchor[one] % U64(n_buckets)).astype(np.int64)):
         i = one[at]
         rows.append({"bucket": b, "pack": texts["pack"][0].as_py(), "anchors": narrow(anchor[i]), "high": blob(high[i]), "low": blob(low[i]), "docs": blob(ids[i].astype(np.int64)), "several": blob(several[at]), "sizes": blob(size[i].astype(np.uint8 if span < 128 else np.uint16)), "places": blob(place[i].astype(np.uint8 if span < 128 else np.uint16)), "bytes": blob(data[spread(start[i], size[i])])})
     return pa.Table.from_pylist(rows, schema=FRAGMENT_SCHEMA)
@@ -260,7 +260,7 @@ def _answers(span: int, gram: int, group: pa.Table) -> pa.Table:
     rows: dict[int, dict] = {}
 
     def answer(packs, **values):
-        for p, at in split_by(packs, int(packs.max()) + 1) if len(packs) else ():
+        for p, at in split_by(packs):
             rows.setdefault(p, {"pack": p}).update({k: blob(v[at]) for k, v in values.items()})
 
     told = shared[of]

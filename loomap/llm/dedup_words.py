@@ -126,7 +126,7 @@ def _last_level(window: int, first: int, before: int, n_buckets: int, texts: pa.
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]
     h, s = h[new], s[new]
     pack = texts["pack"][0].as_py()
-    rows = [{"bucket": b, "pack": pack, "high": blob(h[at]), "low": blob(s[at])} for b, at in split_by((h % U64(n_buckets)).astype(np.int64), n_buckets)]
+    rows = [{"bucket": b, "pack": pack, "high": blob(h[at]), "low": blob(s[at])} for b, at in split_by((h % U64(n_buckets)).astype(np.int64))]
     return pa.Table.from_pylist(rows, schema=LAST_SCHEMA)
 
 
@@ -140,7 +140,7 @@ def _seen_earlier(group: pa.Table) -> pa.Table:
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]
     least = p[new][np.cumsum(new) - 1]
     h, p = h[p > least], p[p > least]
-    rows = [{"pack": k, "high": blob(h[at])} for k, at in split_by(p, int(p.max()) + 1)] if len(p) else []
+    rows = [{"pack": k, "high": blob(h[at])} for k, at in split_by(p)]
     return pa.Table.from_pylist(rows, schema=pa.schema([("pack", pa.int32()), ("high", pa.binary())]))
 
 

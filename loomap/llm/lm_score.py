@@ -236,7 +236,7 @@ def _windows(n_shards: int, rounds: int, vocabulary: str, folder: str, batches:
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=WINDOW_SCHEMA)
     seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pylist([{"round": -1, "shard": k, "ids": blob(seen[at]), "counts": blob(counts[seen[at]])} for k, at in split_by(seen % SLICES, SLICES)], schema=WINDOW_SCHEMA)
+    yield pa.RecordBatch.from_pylist([{"round": -1, "shard": k, "ids": blob(seen[at]), "counts": blob(counts[seen[at]])} for k, at in split_by(seen % SLICES)], schema=WINDOW_SCHEMA)
 
 
 def _counted(group: pa.Table) -> pa.Table:
@@ -270,7 +270,7 @@ def _learn(shared, turn: int, rounds: int, steps: int, group: pa.Table) -> pa.Ta
     weight = np.bincount(before.known[cells[:, :WINDOW]].ravel(), minlength=len(before.p["embed"])).astype(np.float32)
     used = np.flatnonzero(weight)
     change = (after.p["embed"][used] - before.p["embed"][used]) * weight[used, None]
-    rows = [{"part": k, "shard": shard, "rows": blob(used[at].astype(np.int32)), "weights": blob(weight[used[at]]), "changes": blob(change[at])} for k, at in split_by(used % SLICES, SLICES)]
+    rows = [{"part": k, "shard": shard, "rows": blob(used[at].astype(np.int32)), "weights": blob(weight[used[at]]), "changes": blob(change[at])} for k, at in split_by(used % SLICES)]
     rest = np.concatenate([(after.p[k] - before.p[k]).ravel() for k in before.p if k != "embed"]) * np.float32(len(cells))
     rows.append({"part": -1, "shard": shard, "rows": blob(np.arange(len(rest), dtype=np.int32)), "weights": blob(np.full(len(rest), len(cells), np.float32)), "changes": blob(rest)})
     return pa.Table.from_pylist(rows, schema=CHANGE_SCHEMA)
@@ -356,7 +356,7 @@ def _words(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             docs_of = np.bincount(word, minlength=len(distinct))
             begin = np.cumsum(docs_of) - docs_of
             rows = []
-            for b, at in split_by((distinct % U64(n_buckets)).astype(np.int64), n_buckets):
+            for b, at in split_by((distinct % U64(n_buckets)).astype(np.int64)):
                 i = spread(begin[at], docs_of[at])
                 rows.append({"bucket": b, "words": blob(distinct[at]), "trained": blob(trained[at]), "docs_of": blob(docs_of[at].astype(np.uint32)), "docs": blob(doc[i]), "times": blob(times[i].astype(np.uint32)), "keys": blob(keys)})
             yield pa.RecordBatch.from_pylist(rows, schema=WORD_SCHEMA)
@@ -379,7 +379,7 @@ def _sums(n_parts: int, group: pa.Table) -> pa.Table:
     known = np.bincount(text, times * (count[of] > 0), len(used)).astype(np.int64)
     logs = np.bincount(text, times * np.log10(count[of] + SMOOTH), len(used))
     key = keys[used]
-    rows = [{"part": p, "keys": blob(key[at]), "tokens": blob(tokens[at]), "known": blob(known[at]), "logs": blob(logs[at])} for p, at in split_by((key.view(U64) % U64(n_parts)).astype(np.int64), n_parts)]
+    rows = [{"part": p, "keys": blob(key[at]), "tokens": blob(tokens[at]), "known": blob(known[at]), "logs": blob(logs[at])} for p, at in split_by((key.view(U64) % U64(n_parts)).astype(np.int64))]
     totals = np.array([int(count.sum()), int((count > 0).sum())], np.int64)
     return pa.Table.from_pylist([*rows, {"part": -1, "keys": blob(totals), "tokens": b"", "known": b"", "logs": b""}], schema=SUM_SCHEMA)
 

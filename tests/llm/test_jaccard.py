@@ -63,15 +63,13 @@ def test_near_duplicates(spark, seed, margin):
 
 
 def test_every_similar_pair_is_a_candidate():
-    """In every instance and for many sizes, similar sets share a signature of which one probes, or are told to be hard."""
+    """In every instance and for many sizes, similar sets share a signature with which the larger probes, however its slack is used, or are told to be hard."""
     rng = np.random.default_rng(3)
-    ends = jaccard.band_ends(600)
     for size in [*range(1, 40), 60, 100, 150, 333]:
         for _ in range(6):
             a = rng.integers(0, 2**64, size, dtype=np.uint64)
-            most = int(jaccard.bound(size, 10**9))
-            gone = int(rng.integers(0, most + 1))
-            new = int(rng.integers(0, most - gone + 1))
+            gone = int(rng.integers(0, size // 3 + 1))
+            new = int(rng.integers(0, size // 3 + 1 - gone))
             b = np.concatenate([a[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)])
             both = len(a) - gone
             if not len(b) or 100 * both < 75 * (len(a) + len(b) - both):
@@ -79,9 +77,22 @@ def test_every_similar_pair_is_a_candidate():
             s = object.__new__(jaccard.Sets)
             s.tokens, s.size = np.concatenate([a, b]), np.array([len(a), len(b)])
             s.first = np.array([0, len(a), len(a) + len(b)])
-            h, which, probing, hard = jaccard.signatures_of(s, np.array([0, 1]), ends, None, 75)
-            x, y = ({k: p for k, p in zip(h[which == w].tolist(), probing[which == w].tolist(), strict=True)} for w in (0, 1))
-            assert hard or any(x[k] or y[k] for k in x.keys() & y.keys())
+            h, which, flag, hard = jaccard.signatures_of(s, np.array([0, 1]), None, 75)
+            x, y = ({k: f for k, f in zip(h[which == w].tolist(), flag[which == w].tolist(), strict=True)} for w in ((0, 1) if len(a) >= len(b) else (1, 0)))
+            probing = [k for k, f in x.items() if f >= jaccard.PROBES]
+            common = [k for k in probing if k in y]
+            weight = sum(1 + (x[k] & jaccard.WEIGHT_2 > 0) for k in common)
+            assert hard or weight > jaccard.LADDER[x[probing[0]] & 63]
+
+
+def test_slack_drops_the_largest_groups():
+    names, flags = np.array([7, 7, 7, 9], np.uint64), np.array([jaccard.PROBES + 2, jaccard.PROBES + 2, jaccard.PROBES + 2, 0], np.uint8)
+    import pyarrow as pa
+
+    appeal = {"part": 0, "bucket": 4, "names": jaccard.narrow(names, 5, 0), "flags": flags.tobytes(), "counts": np.array([3, 9, 5, 9], np.uint32).tobytes(), "places": np.array([0, 1, 2, 3], np.uint32).tobytes()}
+    reply = jaccard._replies(pa.Table.from_pylist([appeal], schema=jaccard.APPEAL_SCHEMA)).to_pylist()[0]
+    got = dict(zip(np.frombuffer(reply["places"], np.uint32).tolist(), np.frombuffer(reply["dropped"], bool).tolist(), strict=True))
+    assert got == {0: False, 1: True, 2: True, 3: False}
 
 
 def test_components(spark):
