@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet
 and read again as the next stage's docs.  All but the last return the columns of documents.
+
+Defined results: null and empty texts have too few words and go in the first stage.  Of rows that are equal in all columns one
+stays (second stage); an id may stand for several texts, each is judged by itself.  A null source is a source of its own.  Empty
+tables give empty results.  Columns besides doc_id, text, lang and source are carried along to the last stage but one, whatever
+their names.
 """
 
 from __future__ import annotations

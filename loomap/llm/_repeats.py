@@ -1,9 +1,10 @@
 """What the two substring operators share: packs of documents, and finding hashes that several documents have.
 
-A pack is a range of document ids that holds some megabytes of text, so the order of packs follows
-the order of ids.  Documents go to tasks by pack.  Hashes go to tasks by bucket (their value modulo
+A pack holds some megabytes of text: documents are dealt to packs by a hash of id and text, so neither null ids
+nor ids that cluster make a large one.  Rows that are repeated so often that their pack is too large are dealt on, at random, and what is
+told to such a pack is told to each part of it.  Hashes go to tasks by bucket (their value modulo
 the number of buckets); each task sends a bucket the distinct hashes of what it has read, as one
-binary cell, so a string that a third of all documents hold costs one entry for each piece of text.
+binary cell, so a string that a third of all documents hold costs one entry for each piece of text and pack.
 """
 
 from __future__ import annotations
@@ -12,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from loomap.llm._spark import blob, joined, split_by, text_bytes
+from loomap.llm._spark import blob, joined, parts_for, split_by, text_bytes
 from loomap.llm._text import U64
 
 PACK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
-RANGES = 64
 ENTRIES = "bucket int, hashes binary, packs binary, several binary"
 ALIVE = "pack int, hashes binary"
 
@@ -36,26 +37,34 @@ def widen(raw: np.ndarray, size: int = 6) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
-def packed(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, pack) of docs, the number of packs, and the bytes of text.
-
-    Quantiles of the ids cut them into at most RANGES ranges, each divided evenly.  Rows with a null id
-    are in pack 0.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_bytes = text_bytes(docs)
-    n = max(1, -(-n_bytes // pack_bytes))
-    ranges = min(n, RANGES)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges + 1)], 10_000).alias("q")).first()["q"] or [0]
-    cuts = sorted(set(cuts))
-    lows, highs = cuts[:-1] or cuts, cuts[1:] or [cuts[0] + 1]
-    each = -(-n // len(lows))
-    at = F.expr(f"greatest(1, size(filter(array({','.join(f'{x}L' for x in lows)}), b -> b <= doc_id)))")
-    low = F.element_at(F.array(*[F.lit(float(x)) for x in lows]), at)
-    high = F.element_at(F.array(*[F.lit(float(x)) for x in highs]), at)
-    part = F.least(F.lit(each - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low) / (high - low) * each)))
-    pack = F.coalesce(((at - 1) * each + part).cast("int"), F.lit(0))
-    return docs.withColumn("pack", pack), each * len(lows), n_bytes
+class Packs:
+    """(doc_id, text, pack and other columns) of docs, the number of packs, and the bytes of text."""
+
+    def __init__(self, docs: DataFrame, pack_bytes: int = PACK_BYTES, *others: Column):
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+        self.n_bytes = text_bytes(docs)
+        n = parts_for(self.n_bytes, pack_bytes)
+        self.texts = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+        size = F.sum(F.octet_length("text")).alias("size")
+        large = self.texts.groupBy("pack").agg(size).where(F.col("size") > 2 * pack_bytes).collect()  # less than half of the packs; as a rule none
+        self.parts = {r["pack"]: int(-(-r["size"] // pack_bytes)) for r in large}
+
+    def _parts(self) -> Column:
+        if not self.parts:
+            return F.lit(1)
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in self.parts.items() for x in pair]), F.col("pack")), F.lit(1))
+
+    def groups(self) -> GroupedData:
+        """The rows by pack, and by part of it."""
+        return self.texts.withColumn("part", F.floor(F.rand(5) * self._parts()).cast("int")).groupBy("pack", "part")
+
+    def told(self, replies: DataFrame) -> PandasCogroupedOps:
+        """The rows with what is told to their packs."""
+        if self.parts:
+            replies = replies.withColumn("part", F.explode(F.sequence(F.lit(0), self._parts() - 1)))
+        else:
+            replies = replies.withColumn("part", F.lit(0))
+        return self.groups().cogroup(replies.groupBy("pack", "part"))
 
 
 def entries(n_buckets: int, hashes: np.ndarray, docs: np.ndarray, packs: np.ndarray) -> Iterator[dict]:
@@ -87,11 +96,7 @@ def survivors(group: pa.Table) -> pa.Table:
     alive = (count >= 2) | (np.bincount(which, several, len(count)) > 0)
     keep = alive[which]
     h, p = h[keep], p[keep]
-    order = np.argsort(p, kind="stable")
-    h, p = h[order], p[order]
-    cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(p))
-    rows = [{"pack": int(p[a]), "hashes": narrow(np.unique(h[a:b]) << U64(16))} for a, b in zip(cuts, ends, strict=True)]
+    rows = [{"pack": k, "hashes": narrow(np.unique(h[at]) << U64(16))} for k, at in split_by(p)]
     return pa.Table.from_pylist(rows, schema=ALIVE_SCHEMA)
 
 

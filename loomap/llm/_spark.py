@@ -36,5 +36,5 @@ def split_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(key, kind="stable")
     x = key[order]
     cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(x)).tolist(), strict=True):
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(x))[: len(cuts)].tolist(), strict=True):
         yield int(x[a]), order[a:b]

@@ -6,17 +6,18 @@ The fingerprints of the benchmark are joined with those of the documents, and ea
 extended to the windows around it, which are compared by two independent 64-bit hashes.
 
 The benchmark is a stated query set: it goes to the tasks as sorted arrays in blocks of at most
-``BLOCK_WINDOWS`` windows, whatever its size; one block is the usual case.  The documents are read
-once a block and not shuffled.
+``BLOCK_WINDOWS`` windows (or of one item that has more), whatever its size; one block is the usual case.  Of several blocks only one
+is with the tasks at a time: what one finds is written before the next is sent.  The documents are read once a block and not shuffled.
 
 Defined results: null and empty texts have no words and no hits; an item without words never
 occurs; repeated rows are judged one by one; items with equal texts are all reported; a null
-item_id is not reported.  Only the id and text columns are read, so other columns don't matter.
+item_id is not reported, but the words in its windows are hit.  Only the id and text columns are read, so other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomap.llm._spark import blob
+from loomap.llm._spark import blob, discard, written
 from loomap.llm._text import ALNUM, LOWER, U64, Poly, covered, find_words, left_in_document, pieces, spread, winnow
 
 WINDOW = 13
@@ -34,6 +35,7 @@ GRAM = 7
 BLOCK_WINDOWS = 2_000_000
 #: One part in this many of a document's words must be hit for it to count as contaminated.
 SHARE = 20
+_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -41,7 +43,7 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 class Index:
     """Windows and fingerprints of a block of benchmark items, as sorted arrays."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         self.ids = ids
         a, b = Poly(101), Poly(202)
@@ -98,7 +100,7 @@ def find_spans(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 pair = np.unique(np.stack([from_at[mine], to_at[mine]]), axis=1) if len(mine) else np.zeros((2, 0), np.int64)
                 out["starts"].append((before[0][d] or b"") + blob(pair[0].astype(np.int64)))
                 out["ends"].append((before[1][d] or b"") + blob(pair[1].astype(np.int64)))
-                out["items"].append((before[2][d] or []) + [index.ids[i] for i in np.unique(item_at[mine])])
+                out["items"].append((before[2][d] or []) + [index.ids[i] for i in np.unique(item_at[mine]) if index.ids[i] is not None])
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(piece.schema.get_field_index("key")),
@@ -141,18 +143,25 @@ def spans(docs: DataFrame, benchmark: DataFrame, key: Column, block_windows: int
     """(key, text) of docs with n_words, the word spans where benchmark windows occur (int64 blobs starts, ends), and the items."""
     spark = docs.sparkSession
     out = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends"), F.lit(None).cast("array<string>").alias("items"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    before, index = None, None
     for ids, texts in _blocks(items, block_windows):
+        if index is not None:
+            out, done = written(out), before
+            index.destroy()
+            if done is not None:
+                discard(done)
+            before = out
         index = spark.sparkContext.broadcast(Index(ids, texts))
         out = out.mapInArrow(lambda batches, index=index: find_spans(index.value, batches), out.schema)
     return out
 
 
-def _blocks(items: DataFrame, block_windows: int) -> Iterator[tuple[list[str], list[str]]]:
+def _blocks(items: DataFrame, block_windows: int) -> Iterator[tuple[list[str | None], list[str]]]:
     """The benchmark's rows, fetched a partition at a time and cut where a block is full."""
     ids, texts, size, some = [], [], 0, False
     for row in items.orderBy("item_id").toLocalIterator():
-        here = len((row["text"] or "").split()) + 1
+        here = len(_WORDS.findall((row["text"] or "").encode())) + 1
         if ids and size + here > block_windows:
             yield ids, texts
             ids, texts, size, some = [], [], 0, True

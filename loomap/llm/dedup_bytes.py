@@ -7,15 +7,16 @@ smaller doc_id; strings are judged on the input and never cross documents.
    only one document has can't lie in a repeated string; a first exchange (see _repeats) drops them.
 2. Around each other anchor lies a fragment: all strings of SPAN bytes that hold the anchor.  The packs send
    each bucket of anchors the distinct fragments with the least document that has each.
-3. A bucket builds a suffix array over the fragments of those anchors that have several, by two-stage sorting:
+3. A bucket builds a suffix array over the fragments that several documents have or that may share a part with another, by two-stage sorting:
    only suffixes smaller than their successors are sorted directly, the rest is induced by scans over
    the buckets of first bytes.  Neighbours whose common prefix has SPAN bytes are the same string, and
    the least document of such a run is the first to have it.
 4. The answers go back to the packs: for a fragment its first document, and for the document that has it
    first the strings in it that came even earlier.
 
-Skew: equal fragments are merged in each pack before they are sent, so a passage that a third of all documents
-share costs one entry for each pack; no pairs are formed.  Fragments are equal if 96 bits of two hashes are.
+Skew: equal fragments are merged (by 96 bits of two hashes) in each piece of text and each pack before they are sent, so a passage that a third of all documents
+share costs one entry for each pack; no pairs are formed.  A text of one repeated byte has an anchor
+at each place; its fragments are merged before their bytes are copied.
 
 Defined results: null and empty texts have 0 bytes; rows with the same doc_id don't remove from
 each other; a null doc_id neither removes nor is removed from; texts below SPAN bytes stay whole.
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, alive_set, among, batch_of, entries, narrow, packed, survivors, widen
+from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, batch_of, entries, narrow, survivors, widen
 from loomap.llm._spark import blob, joined, parts_for, split_by, written
 from loomap.llm._text import U64, Poly, covered, mix, pieces, spread, winnow
 
@@ -218,27 +219,35 @@ def _propose(span: int, gram: int, n_buckets: int, batches: Iterator[pa.RecordBa
             yield batch_of(list(entries(n_buckets, a.hash, a.ids[a.doc], packs[a.doc])), ENTRY_SCHEMA)
 
 
+def _merged(high: np.ndarray, low: np.ndarray, ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct fragment, that of its least document, and whether several documents have it."""
+    order = np.lexsort((ids, low, high))
+    h, s, d = high[order], low[order], ids[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
+    last = np.append(new[1:], len(h))[: len(new)] - 1
+    return order[new], ((d[new] != d[last]) | (np.maximum.reduceat(several[order], new) > 0 if len(new) else False)).astype(np.uint8)
+
+
 def _fragments(span: int, gram: int, n_buckets: int, texts: pa.Table, alive: pa.Table) -> pa.Table:
     """The distinct fragments of a pack around anchors that several documents have."""
     found, parts = alive_set(alive), []
     for _, a in _by_piece(texts, span, gram) if len(found) else ():
         a.keep(among(a.hash, found))
         a.cut()
-        high, low, ids, size = a.high(), a.low(), a.ids[a.doc[a.some]], a.end - a.start
-        parts.append((high, low, ids, a.hash[a.some], size, a.at[a.some] - a.start, a.data[spread(a.start, size)]))
+        high, low, ids = a.high(), a.low(), a.ids[a.doc[a.some]]
+        one, several = _merged(high, low, ids, np.zeros(len(ids), np.uint8))
+        some, start, size = a.some[one], a.start[one], (a.end - a.start)[one]
+        parts.append((high[one], low[one], ids[one], several, a.hash[some], size, a.at[some] - start, a.data[spread(start, size)]))
     if not parts:
         return pa.Table.from_pylist([], schema=FRAGMENT_SCHEMA)
-    high, low, ids, anchor, size, place, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    high, low, ids, several, anchor, size, place, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     start = np.cumsum(size) - size
-    order = np.lexsort((ids, low, high))
-    h, s, d = high[order], low[order], ids[order]
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
-    several = (d[new] != d[np.append(new[1:], len(h))[: len(new)] - 1]).astype(np.uint8)
-    one, rows = order[new], []
+    one, several = _merged(high, low, ids, several)
+    rows, kind = [], np.uint8 if span < 128 else np.uint16
     for b, at in split_by((anchor[one] % U64(n_buckets)).astype(np.int64)):
         i = one[at]
-        rows.append({"bucket": b, "pack": texts["pack"][0].as_py(), "anchors": narrow(anchor[i]), "high": blob(high[i]), "low": blob(low[i]), "docs": blob(ids[i].astype(np.int64)), "several": blob(several[at]), "sizes": blob(size[i].astype(np.uint8 if span < 128 else np.uint16)), "places": blob(place[i].astype(np.uint8 if span < 128 else np.uint16)), "bytes": blob(data[spread(start[i], size[i])])})
+        rows.append({"bucket": b, "pack": texts["pack"][0].as_py(), "anchors": narrow(anchor[i]), "high": blob(high[i]), "low": blob(low[i]), "docs": blob(ids[i].astype(np.int64)), "several": blob(several[at]), "sizes": blob(size[i].astype(kind)), "places": blob(place[i].astype(kind)), "bytes": blob(data[spread(start[i], size[i])])})
     return pa.Table.from_pylist(rows, schema=FRAGMENT_SCHEMA)
 
 
@@ -255,18 +264,18 @@ def _answers(span: int, gram: int, group: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])[: len(order)])
     of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))  # the distinct fragment of each entry, in that order
     one = order[new]
+    # one entry of each fragment stands for all of them; a string's first document is the least of all fragments that hold the string
     first = doc[one]
-    shared = (np.bincount(of, minlength=len(new)) > 1) | (np.bincount(of, several[order], len(new)) > 0)
+    look = (np.bincount(of, minlength=len(new)) > 1) | (np.bincount(of, several[order], len(new)) > 0)
+    # A string is in two fragments only if one of its halves is: fragments none of whose halves is shared are out.
+    look[_alike((span - gram) // 2, gram, anchor[one], start[one], size[one], place[one], data)] = True
+    many = np.flatnonzero(look)
     rows: dict[int, dict] = {}
 
     def answer(packs, **values):
         for p, at in split_by(packs):
             rows.setdefault(p, {"pack": p}).update({k: blob(v[at]) for k, v in values.items()})
 
-    told = shared[of]
-    answer(pack[order][told], fragments=high[order][told], firsts=first[of][told])
-    # A string is in two fragments only if one of its halves is: fragments none of whose halves is shared are out.
-    many = _alike((span - gram) // 2, gram, anchor[one], start[one], size[one], place[one], data)
     if len(many):
         i = one[many]
         width = size[i] + 1
@@ -278,13 +287,17 @@ def _answers(span: int, gram: int, group: pa.Table) -> pa.Table:
         sa = suffix_array(t, span)
         sa = sa[whole[sa]]
         run = np.cumsum(common_prefixes(t, sa, span) < span)
-        if len(sa):
-            cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            least = np.repeat(np.minimum.reduceat(first[many][owner[sa]], cut), np.diff(np.append(cut, len(sa))))
-            early = least < first[many][owner[sa]]
-            sa, least = sa[early], least[early]
-            j = many[owner[sa]]
-            answer(pack[one[j]], in_fragments=high[one[j]], places=(sa - base[owner[sa]]).astype(np.int32), earlier=least)
+        cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        least = np.repeat(np.minimum.reduceat(first[many][owner[sa]], cut), np.diff(np.append(cut, len(sa))))
+        # all strings of a fragment are in documents up to the latest of these: what comes after loses the whole fragment
+        latest = np.full(len(new), np.iinfo(np.int64).min)
+        np.maximum.at(latest, many[owner[sa]], least)
+        told = look[of] & ((doc[order] > latest[of]) | (several[order] > 0))
+        answer(pack[order][told], fragments=high[order][told], firsts=latest[of][told])
+        early = least < latest[many[owner[sa]]]
+        sa, least = sa[early], least[early]
+        j = one[many[owner[sa]]]
+        answer(pack[j], in_fragments=high[j], places=(sa - base[owner[sa]]).astype(np.int32), earlier=least)
     return pa.Table.from_pylist(list(rows.values()), schema=ANSWER_SCHEMA)
 
 
@@ -341,9 +354,9 @@ def _remove(span: int, gram: int, texts: pa.Table, answers: pa.Table) -> pa.Tabl
 
 def dedup_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES // 2) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts, _, n_bytes = packed(docs, pack_bytes)
-    n_buckets = parts_for(n_bytes, bucket_bytes)
-    alive = written(texts.mapInArrow(functools.partial(_propose, span, gram, n_buckets), ENTRIES).groupBy("bucket").applyInArrow(survivors, ALIVE))
-    fragments = texts.groupBy("pack").cogroup(alive.groupBy("pack")).applyInArrow(functools.partial(_fragments, span, gram, n_buckets), FRAGMENTS)
+    packs = Packs(docs, pack_bytes)
+    n_buckets = parts_for(packs.n_bytes, bucket_bytes)
+    alive = written(packs.texts.mapInArrow(functools.partial(_propose, span, gram, n_buckets), ENTRIES).groupBy("bucket").applyInArrow(survivors, ALIVE))
+    fragments = packs.told(alive).applyInArrow(functools.partial(_fragments, span, gram, n_buckets), FRAGMENTS)
     answers = written(fragments.groupBy("bucket").applyInArrow(lambda group: _answers(span, gram, group), ANSWERS))
-    return texts.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(functools.partial(_remove, span, gram), RESULT)
+    return packs.told(answers).applyInArrow(functools.partial(_remove, span, gram), RESULT)

@@ -12,8 +12,8 @@ Lower levels propose by 48-bit hashes; at the last level windows are equal if 96
 independent hashes are.
 
 Each level sends distinct hashes to buckets (see _repeats) and the survivors back to the packs.  At
-the last level a bucket tells a pack which windows an earlier pack holds; what repeats within a
-pack is decided there.  No pair of documents is ever formed, so groups of copies cost their size.
+the last level a pack sends the surviving windows with the least document that has each, and a bucket tells it the least of
+all; what is removed follows from these answers alone.  No pair of documents is ever formed, so groups of copies cost their size.
 
 Defined results: null and empty texts have no words (kept_sha256 of nothing); rows with the same doc_id don't
 remove from each other; a null doc_id neither removes nor is removed from; fewer than WINDOW words keep all.
@@ -29,16 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomap.llm._repeats import ALIVE, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, BUCKET_BYTES, alive_set, among, batch_of, entries, packed, run_argmin, survivors
+from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, batch_of, entries, run_argmin, survivors
 from loomap.llm._spark import blob, joined, parts_for, split_by, written
 from loomap.llm._text import U64, Poly, covered, find_words, left_in_document, pieces, spread
 
 WINDOW = 13
-FIRST = 7
-LAST = "bucket int, pack int, high binary, low binary"
-EARLIER = "pack int, high binary"
+FIRST = 4
+CELLS = ("high", "low", "docs", "several")
+LAST = "bucket int, pack int, high binary, low binary, docs binary, several binary"
+FIRSTS = "pack int, high binary, low binary, firsts binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-LAST_SCHEMA = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("high", pa.binary()), ("low", pa.binary())])
+LAST_SCHEMA = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), *[(k, pa.binary()) for k in CELLS]])
+FIRST_SCHEMA = pa.schema([("pack", pa.int32()), *[(k, pa.binary()) for k in ("high", "low", "firsts")]])
 RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -112,64 +114,55 @@ def _middle_level(window: int, first: int, before: int, length: int, n_buckets:
 
 
 def _last_level(window: int, first: int, before: int, n_buckets: int, texts: pa.Table, alive: pa.Table) -> pa.Table:
-    """The distinct whole windows of a pack whose shorter window survived."""
-    found, high, low = alive_set(alive), [], []
+    """The distinct whole windows of a pack whose shorter window survived, with the least document that has each."""
+    found, parts = alive_set(alive), []
     for _, w in _by_piece(texts, window, first) if len(found) else ():
         w.keep(among(w.level(before)[1], found))
-        high.append(w.level(window)[1])
-        low.append(w.second())
-    if not high:
+        parts.append((w.level(window)[1], w.second().astype(np.uint32), w.ids[w.doc_of_word[w.at]]))
+    if not parts:
         return pa.Table.from_pylist([], schema=LAST_SCHEMA)
-    h, s = np.concatenate(high), np.concatenate(low).astype(np.uint32)
-    order = np.lexsort((s, h))
-    h, s = h[order], s[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]
-    h, s = h[new], s[new]
-    pack = texts["pack"][0].as_py()
-    rows = [{"bucket": b, "pack": pack, "high": blob(h[at]), "low": blob(s[at])} for b, at in split_by((h % U64(n_buckets)).astype(np.int64))]
+    h, s, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((d, s, h))
+    h, s, d = h[order], s[order], d[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
+    several = (d[new] != d[np.append(new[1:], len(h))[: len(new)] - 1]).astype(np.uint8)
+    h, s, d, pack = h[new], s[new], d[new], texts["pack"][0].as_py()
+    rows = [{"bucket": b, "pack": pack, "high": blob(h[at]), "low": blob(s[at]), "docs": blob(d[at].astype(np.int64)), "several": blob(several[at])} for b, at in split_by((h % U64(n_buckets)).astype(np.int64))]
     return pa.Table.from_pylist(rows, schema=LAST_SCHEMA)
 
 
-def _seen_earlier(group: pa.Table) -> pa.Table:
-    """For each pack the windows that a pack before it holds."""
-    h, n = joined(group["high"], U64)
-    s, _ = joined(group["low"], np.uint32)
+def _firsts(group: pa.Table) -> pa.Table:
+    """For each pack the windows of which it holds one that isn't the first, and the document that has them first."""
+    (h, n), s, d, several = joined(group["high"], U64), *(joined(group[k], t)[0] for k, t in (("low", np.uint32), ("docs", np.int64), ("several", np.uint8)))
     p = np.repeat(group["pack"].to_numpy(), n)
-    order = np.lexsort((p, s, h))
-    h, s, p = h[order], s[order], p[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]
-    least = p[new][np.cumsum(new) - 1]
-    h, p = h[p > least], p[p > least]
-    rows = [{"pack": k, "high": blob(h[at])} for k, at in split_by(p)]
-    return pa.Table.from_pylist(rows, schema=pa.schema([("pack", pa.int32()), ("high", pa.binary())]))
-
-
-def _remove(window: int, first: int, texts: pa.Table, earlier: pa.Table) -> pa.Table:
-    """Decides and digests the documents of a pack."""
-    seen = np.unique(joined(earlier["high"], U64)[0])
-    cut, ids, high, low, at = [], [], [], [], []
-    for k, (_, w) in enumerate(_by_piece(texts, window, first)):
-        high.append(w.level(window)[1])
-        low.append(w.second())
-        ids.append(w.ids[w.doc_of_word[w.at]])
-        at.append(w.at)
-        cut.append(len(w.at))
-    out = []
-    h, s, d = (np.concatenate(x) if x else np.zeros(0, U64) for x in (high, low, ids))
     order = np.lexsort((d, s, h))
-    hs, ss, ds = h[order], s[order], d[order]
-    new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])])[: len(hs)]
-    bad = np.zeros(len(h), bool)
-    if len(h):
-        bad[order] = ds > ds[new][np.cumsum(new) - 1]
-        if len(seen):
-            bad |= seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] == h
-    bounds = np.concatenate([[0], np.cumsum(cut)])
-    k = 0
+    h, s, d, p, several = h[order], s[order], d[order], p[order], several[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]
+    first = d[new][np.cumsum(new) - 1]
+    told = np.flatnonzero((d > first) | (several > 0))
+    rows = [{"pack": k, "high": blob(h[told[at]]), "low": blob(s[told[at]]), "firsts": blob(first[told[at]])} for k, at in split_by(p[told])]
+    return pa.Table.from_pylist(rows, schema=FIRST_SCHEMA)
+
+
+def _remove(window: int, first: int, texts: pa.Table, firsts: pa.Table) -> pa.Table:
+    """Digests the documents of a pack without the words of windows that an earlier document has."""
+    high, low, earliest = (joined(firsts[k], t)[0] for k, t in (("high", U64), ("low", np.uint32), ("firsts", np.int64)))
+    order = np.argsort(high, kind="stable")
+    high, low, earliest = high[order], low[order], earliest[order]
+    at = []
+    for _, w in _by_piece(texts, window, first):
+        h = w.level(window)[1]
+        lo, hi = np.searchsorted(high, h, "left"), np.searchsorted(high, h, "right")
+        row, by = spread(lo, hi - lo), np.repeat(np.arange(len(h)), hi - lo)
+        bad = np.zeros(len(h), bool)
+        if len(row):
+            bad[by[(low[row] == w.second().astype(np.uint32)[by]) & (earliest[row] < w.ids[w.doc_of_word[w.at]][by])]] = True
+        at.append(w.at[bad])
+    out, k = [], 0
     for batch in texts.to_batches():
         for piece, data, offsets in pieces(batch, "text"):
             starts, ends, first_word = find_words(data, offsets)
-            removed = covered(at[k][bad[bounds[k] : bounds[k + 1]]], window, len(starts))
+            removed = covered(at[k], window, len(starts))
             k += 1
             size = ends - starts
             keep = ~removed
@@ -187,25 +180,20 @@ def _remove(window: int, first: int, texts: pa.Table, earlier: pa.Table) -> pa.T
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, first: int = FIRST, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
-    texts, _, n_bytes = packed(docs, pack_bytes)
-    n_buckets = parts_for(n_bytes, bucket_bytes)
-    alive, before = None, 0
-    for length in lengths(window, first):
-        if length == window:
-            break
-        if alive is None:
-            found = texts.mapInArrow(functools.partial(_first_level, window, length, n_buckets), ENTRIES)
-        else:
-            found = texts.groupBy("pack").cogroup(alive.groupBy("pack")).applyInArrow(functools.partial(_middle_level, window, first, before, length, n_buckets), ENTRIES)
-        alive, before = written(found.groupBy("bucket").applyInArrow(survivors, ALIVE)), length
+    if first >= window:
+        raise ValueError("first must be less than window")
+    packs = Packs(docs, pack_bytes)
+    n_buckets = parts_for(packs.n_bytes, bucket_bytes)
+    *lower, last = lengths(window, first)
+    found = packs.texts.mapInArrow(functools.partial(_first_level, window, first, n_buckets), ENTRIES)
+    for before, length in zip(lower, [*lower[1:], last], strict=True):
+        alive = written(found.groupBy("bucket").applyInArrow(survivors, ALIVE))
         if alive.isEmpty():
+            firsts = docs.sparkSession.createDataFrame([], FIRSTS)
             break
-    spark = docs.sparkSession
-    if alive is None:
-        raise ValueError("first must be less than window")
-    if alive.isEmpty():
-        earlier = spark.createDataFrame([], EARLIER)
-    else:
-        windows = texts.groupBy("pack").cogroup(alive.groupBy("pack")).applyInArrow(functools.partial(_last_level, window, first, before, n_buckets), LAST)
-        earlier = written(windows.groupBy("bucket").applyInArrow(_seen_earlier, EARLIER))
-    return texts.groupBy("pack").cogroup(earlier.groupBy("pack")).applyInArrow(functools.partial(_remove, window, first), RESULT)
+        if length < last:
+            found = packs.told(alive).applyInArrow(functools.partial(_middle_level, window, first, before, length, n_buckets), ENTRIES)
+        else:
+            windows = packs.told(alive).applyInArrow(functools.partial(_last_level, window, first, before, n_buckets), LAST)
+            firsts = written(windows.groupBy("bucket").applyInArrow(lambda group: _firsts(group), FIRSTS))
+    return packs.told(firsts).applyInArrow(functools.partial(_remove, window, first), RESULT)

@@ -1,19 +1,21 @@
 """Language-model scores of documents: a causal self-attention model in numpy over subword ids.
 
-Texts are lower-cased (A-Z) and cut into ids of a public vocabulary, with one end id.  The model has one attention layer over the
-last ids; its output is a distribution over classes of ids (frequent ids are classes of their
-own, the others share classes by frequency and by whether they start a word), times the id's share in its
-class.  A text is read in windows of WINDOW ids, STEP apart; every id is scored in one window, with
-at least WINDOW - STEP ids before it unless the text begins later.  Windows of many texts are
-scored together, with the causal mask.
-
-Id counts (for shares, prior and known ids) come from all documents outside the held-out fold, and the model
-is trained on all of their windows: these are dealt to ROUNDS rounds of shards of SHARD_BYTES of text.  In a round
-each shard takes steps from the model of the round before, over each of its windows once at least; the shards' changes are averaged,
-a row of the embedding over the shards that used it.  STEPS is the least number of steps, for which the windows of small inputs
-are repeated; there is no greatest number.  The base score needs every word's count in
-all training documents: each piece of text sends the buckets of words its distinct words with
-their documents, the buckets count and send back each document's sum, so no word or document is a hot key.
+Texts are lower-cased (A-Z) and cut into ids of a public vocabulary, with one end id.  The distribution of the next id has two levels.
+Classes of ids (the OWN most frequent ids are classes of their own, the others share classes by frequency) come from
+a softmax; an id's share in its class depends on the class of the id before.  The softmax starts from the counts of classes after the id before;
+one attention layer over the last ids adds to it.  Its inputs, the vectors of the ids, are the principal components of
+these counts.  A text is read in windows of WINDOW ids, STEP apart; every id is scored in one window, with
+at least WINDOW - STEP ids before it unless the text begins later.  Windows of many texts are scored together, with the
+causal mask.
+
+Counts (of ids, of classes after ids, of ids after classes) come from all documents outside the held-out fold, and the layer
+is trained on all of their windows: documents are dealt to ROUNDS rounds of shards of SHARD_BYTES of text.  In a round
+each shard takes steps from the layer of the round before, over each of its windows once at least; the shards' changes are averaged by their windows.
+STEPS is the least number of steps, for which the windows of small inputs are repeated; there is no greatest number.
+
+The base score needs every word's count in all training documents: each pack of texts (see _repeats) sends the buckets of words its distinct words
+with their counts, and is told the counts in all packs.  What is sent follows the distinct words of the packs, never the
+number of buckets or of documents.
 
 Defined results: null and empty texts are an end alone; repeated rows are scored each (and counted each
 in training); a null doc_id is held out.  With no training documents the model is untrained.
@@ -31,39 +33,41 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomap.llm._spark import blob, discard, joined, parts_for, split_by, text_bytes, written
-from loomap.llm._text import LOWER, U64, Poly, find_words, mix, pieces, spread
+from loomap.llm._repeats import Packs
+from loomap.llm._spark import blob, joined, parts_for, split_by, written
+from loomap.llm._text import LOWER, U64, WORD, Poly, find_words, pieces, spread
 from loomap.llm._tokens import Encoder
 from loomap.llm._vocab import TOKENIZERS
 
 FOLDS, HELD_OUT = 10, 0
 WINDOW, STEP = 24, 18
-WIDTH, CLASSES, OWN = 16, 96, 80
-BLOCK = 256
+WIDTH, HIDDEN, CLASSES, OWN = 12, 24, 128, 112
 END = 50256
 IDS = END + 1
-BATCH, STEPS, ROUNDS = 128, 700, 4
-SHARD_BYTES = 16 << 20
-#: A window in a cell: the id before it, its ids, its first scored place and its number of ids.
-CELL = WINDOW + 3
-#: Windows of a piece that go to one shard together.
-DEALT = 2500
+BATCH, STEPS, ROUNDS = 128, 400, 3
+#: Windows that are scored together.
+BLOCK = 128
+SHARD_BYTES = 32 << 20
+#: How many counts weigh as much as the less particular distribution.
+TRUST_CLASS, TRUST_PREVIOUS, TRUST_SHARE = 20.0, 4.0, 6.0
 SLICES = 64
-#: Larger than elsewhere: each bucket is sent the keys of all documents of a piece.
+PACK_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
 SMOOTH = 0.1
+IDS_TABLE = "doc_id long, held_out boolean, row_key long, round int, shard int, n_tokens long, ids binary"
+IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row_key", pa.int64()), ("round", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 SCORES = "doc_id long, held_out boolean, row_key long, n_tokens long, score double"
-WORDS = "bucket int, words binary, trained binary, docs_of binary, docs binary, times binary, keys binary"
-WORD_SCHEMA = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "trained", "docs_of", "docs", "times", "keys")]])
-SUMS = "part int, keys binary, tokens binary, known binary, logs binary"
-SUM_SCHEMA = pa.schema([("part", pa.int32()), *[(k, pa.binary()) for k in ("keys", "tokens", "known", "logs")]])
-WINDOWS = "round int, shard int, windows binary, ids binary, counts binary"
-WINDOW_SCHEMA = pa.schema([("round", pa.int32()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("windows", "ids", "counts")]])
-COUNTS = "ids binary, counts binary"
-COUNT_SCHEMA = pa.schema([("ids", pa.binary()), ("counts", pa.binary())])
-CHANGES = "part int, shard int, rows binary, weights binary, changes binary"
-CHANGE_SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("rows", "weights", "changes")]])
-BASE_SCHEMA = pa.schema([("row_key", pa.int64()), ("total", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
+SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row_key", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+COUNTS = "part int, places binary, counts binary"
+COUNT_SCHEMA = pa.schema([("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+CHANGES = "part int, weight double, change binary"
+CHANGE_SCHEMA = pa.schema([("part", pa.int32()), ("weight", pa.float64()), ("change", pa.binary())])
+WORDS = "bucket int, pack int, words binary, counts binary"
+WORD_SCHEMA = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+TOLD = "pack int, words binary, counts binary, tokens long, distinct long"
+TOLD_SCHEMA = pa.schema([("pack", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+BASE = "row_key long, known long, logs double"
+BASE_SCHEMA = pa.schema([("row_key", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
 
 
 # --- the model
@@ -78,111 +82,146 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return text, start, np.minimum(n[text] - start, WINDOW), np.where(start == 0, 0, WINDOW - STEP)
 
 
-class Model:
-    def __init__(self, counts: np.ndarray, seed: int = 3):
-        """counts: of every id in the training documents."""
+class Classes:
+    """The classes of the ids, by their counts in the training documents."""
+
+    def __init__(self, counts: np.ndarray):
         order = np.argsort(-counts, kind="stable")
         self.group = np.zeros(IDS, np.int32)
         self.group[order] = np.minimum(np.arange(IDS), OWN)
-        rest = order[OWN:]
-        self.group[rest] = OWN + np.minimum(CLASSES - OWN - 1, np.log2(1 + np.arange(len(rest)) / 32).astype(np.int32))
-        share = counts + SMOOTH
-        total = np.bincount(self.group, share, CLASSES)
-        self.share = np.log(share / total[self.group])
+        rest, more = order[OWN:], CLASSES - OWN
+        self.group[rest] = OWN + np.minimum(more - 1, np.log2(1 + np.arange(len(rest)) / 24) * more / 8).astype(np.int32)
+        self.mass = np.bincount(self.group, counts + SMOOTH, CLASSES)
+        self.share = ((counts + SMOOTH) / self.mass[self.group]).astype(np.float32)
         self.known = np.zeros(IDS, np.int32)
         seen = np.flatnonzero(counts)
         self.known[seen] = 1 + np.arange(len(seen))
+        self.n = 1 + len(seen)
+
+    def places(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a pair of ids is counted: among classes after ids, and among ids after classes."""
+        return self.known[before].astype(np.int64) * CLASSES + self.group[ids], self.group[before].astype(np.int64) * self.n + self.known[ids]
+
+
+class Model:
+    """Tables made of counts, and an attention layer whose parameters ``p`` are trained."""
+
+    def __init__(self, classes: Classes, after_ids: np.ndarray | None = None, after_classes: np.ndarray | None = None, seed: int = 3):
+        """after_ids: counts (known ids, CLASSES) of classes after ids; after_classes: counts (CLASSES, known ids) of ids after classes."""
+        c = self.classes = classes
+        after_ids = np.zeros((c.n, CLASSES)) if after_ids is None else after_ids
+        after_classes = np.zeros((CLASSES, c.n)) if after_classes is None else after_classes
+        self.after_classes = after_classes.astype(np.float32)
+        group = np.full(c.n, CLASSES - 1)  # of the known ids; one that isn't known counts as rare
+        seen = np.flatnonzero(c.known)
+        group[c.known[seen]] = c.group[seen]
+        both = np.zeros((CLASSES, CLASSES))
+        np.add.at(both, group, after_ids)
+        self.both = both.astype(np.float32)
+        mass = c.mass / c.mass.sum()
+        by_class = (both + TRUST_CLASS * mass) / (both.sum(1, keepdims=True) + TRUST_CLASS)
+        total = after_ids.sum(1, keepdims=True)
+        after = (after_ids + TRUST_PREVIOUS * by_class[group]) / (total + TRUST_PREVIOUS)
+        self.start = np.log(after).astype(np.float32)
+        apart = (after - mass) / np.sqrt(mass)
+        weight = np.sqrt(total + 1)
+        axes = np.linalg.eigh((apart * weight).T @ (apart * weight))[1][:, ::-1][:, :WIDTH]
+        vector = apart @ (axes * np.sign(axes.sum(0) + 1e-12))
+        scale = np.sqrt((vector**2 * total).sum(0) / max(total.sum(), 1)) + 1e-6
+        self.vector = np.clip(vector / scale, -4, 4).astype(np.float32)
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        mass = np.bincount(self.group, counts + SMOOTH, CLASSES) + 1e-6
-        self.p = {"embed": draw(1 + len(seen), WIDTH) * np.sqrt(np.float32(1 + len(seen))) * np.float32(0.3), "place": draw(WINDOW, WIDTH), "qkv": draw(WIDTH, 3 * WIDTH), "mixed": draw(WIDTH, 2 * WIDTH), "direct": draw(WIDTH, 2 * WIDTH), "bias": np.zeros(2 * WIDTH, np.float32), "out": draw(2 * WIDTH, CLASSES) * np.float32(0.3), "prior": np.log(mass / mass.sum()).astype(np.float32)}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.p = {"near": np.zeros(WINDOW, np.float32), "qkv": draw(WIDTH, 3 * WIDTH), "mixed": draw(WIDTH, HIDDEN), "direct": draw(WIDTH, HIDDEN), "bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN, CLASSES) * np.float32(0.1), "prior": np.zeros(CLASSES, np.float32)}
+        self.back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
+        self.mask = np.where(self.back < 0, -1e9, 0).astype(np.float32)
 
     def forward(self, inputs: np.ndarray):
-        """Hidden values and class logits for windows of ids (compact ids, one row a window)."""
+        """Values of the layer and class logits for windows of ids (known ids, one row a window)."""
         p, w = self.p, len(inputs)
-        x = p["embed"][inputs] + p["place"]
-        q, k, v = (y.reshape(w, WINDOW, WIDTH) for y in np.split(x.reshape(-1, WIDTH) @ p["qkv"], 3, axis=1))
+        flat = inputs.reshape(-1)
+        x = self.vector[flat]
+        q, k, v = (y.reshape(w, WINDOW, WIDTH) for y in np.split(x @ p["qkv"], 3, axis=1))
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
-        a += self.mask
+        a *= a.dtype.type(WIDTH**-0.5)
+        a += self.mask + p["near"][np.maximum(self.back, 0)]
         np.exp(np.minimum(a, 30, out=a), out=a)
         a /= a.sum(2, keepdims=True)
         m = (a @ v).reshape(-1, WIDTH)
-        h = np.maximum(m @ p["mixed"] + x.reshape(-1, WIDTH) @ p["direct"] + p["bias"], 0)
-        return x, q, k, v, a, m, h, h @ p["out"] + p["prior"]
-
-    def log10(self, inputs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of ids (one row a window) after the compact inputs."""
-        out = np.empty(ids.shape)
-        for i in range(0, len(ids), BLOCK):
-            z = self.forward(inputs[i : i + BLOCK])[-1]
-            target = ids[i : i + BLOCK].ravel()
-            top = z[np.arange(len(z)), self.group[target]]
-            z -= top[:, None]
-            np.exp(np.minimum(z, 80, out=z), out=z)
-            out[i : i + BLOCK] = (self.share[target] - np.log(z.sum(1))).reshape(-1, WINDOW)
-        return out / np.log(10)
-
-    def gradients(self, inputs: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean class loss over the scored places, and its gradients."""
-        loss, g, rows, of_rows = self.sparse_gradients(inputs, ids, scored)
-        g["embed"] = np.zeros_like(self.p["embed"])
-        g["embed"][rows] = of_rows
-        return loss, g
-
-    def sparse_gradients(self, inputs: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """The loss, its gradients but for the embedding, the rows of the embedding that are used, and their gradients."""
+        h = np.maximum(m @ p["mixed"] + x @ p["direct"] + p["bias"], 0)
+        z = h @ p["out"]
+        z += self.start[flat]
+        z += p["prior"]
+        return x, q, k, v, a, m, h, z
+
+    def log10(self, inputs: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of ids (one row a window) after the inputs (known ids) and the classes of the ids before."""
+        z = self.forward(inputs)[-1]
+        target, c, g = ids.ravel(), self.classes, before.ravel()
+        group = c.group[target]
+        top = z[np.arange(len(z)), group]
+        np.exp(np.minimum(z, 80, out=z), out=z)
+        share = (self.after_classes[g, c.known[target]] + np.float32(TRUST_SHARE) * c.share[target]) / (self.both[g, group] + np.float32(TRUST_SHARE))
+        return ((np.minimum(top, 80) - np.log(z.sum(1)) + np.log(share)) / np.log(10)).reshape(ids.shape)
+
+    def gradients(self, inputs: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean class loss over the scored places (target: classes), and its gradients."""
         p = self.p
         x, q, k, v, a, m, h, z = self.forward(inputs)
-        target, n = self.group[ids].ravel(), scored.sum()
-        e = np.exp(z - z.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        rows = np.arange(len(z))
-        weight = scored.ravel().astype(z.dtype) / n
-        loss = -(np.log(e[rows, target] + 1e-30) * weight).sum()
-        e[rows, target] -= 1
-        dz = e * weight[:, None]
-        flat = x.reshape(-1, WIDTH)
-        dh = (dz @ p["out"].T) * (h > 0)
-        g = {"out": h.T @ dz, "prior": dz.sum(0), "mixed": m.T @ dh, "direct": flat.T @ dh, "bias": dh.sum(0)}
-        dm = (dh @ p["mixed"].T).reshape(x.shape)
+        rows, target = np.arange(len(z)), target.ravel()
+        top = z[rows, target]
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        total = z.sum(1)
+        weight = (scored.ravel() / scored.sum()).astype(z.dtype)
+        loss = float(((np.log(total) - top) * weight).sum())
+        z *= (weight / total)[:, None]
+        z[rows, target] -= weight
+        dh = z @ p["out"].T
+        dh *= h > 0
+        g = {"out": h.T @ z, "prior": z.sum(0), "mixed": m.T @ dh, "direct": x.T @ dh, "bias": dh.sum(0)}
+        dm = (dh @ p["mixed"].T).reshape(q.shape)
         da = dm @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * x.dtype.type(WIDTH**-0.5)
-        d = np.concatenate([(ds @ k), (ds.transpose(0, 2, 1) @ q), (a.transpose(0, 2, 1) @ dm)], axis=2).reshape(-1, 3 * WIDTH)
-        g["qkv"] = flat.T @ d
-        dx = (d @ p["qkv"].T + dh @ p["direct"].T).reshape(x.shape)
-        g["place"] = dx.sum(0)
-        used = inputs.ravel()
-        order = np.argsort(used, kind="stable")
-        new = np.flatnonzero(np.diff(used[order], prepend=-1))
-        return loss, g, used[order[new]], np.add.reduceat(dx.reshape(-1, WIDTH)[order], new)
-
-
-def rows_of(model: Model, ids: np.ndarray, first: np.ndarray):
-    """Windows of texts' ids (each text ends with END): compact inputs, ids, which places are scored, and the text of each window."""
-    text, start, n, since = windows_of(first)
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        g["near"] = np.bincount(np.maximum(self.back, 0).ravel(), da.sum(0).ravel(), WINDOW).astype(z.dtype)
+        da *= z.dtype.type(WIDTH**-0.5)
+        g["qkv"] = x.T @ np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], axis=2).reshape(-1, 3 * WIDTH)
+        return loss, g
+
+
+def rows_of(ids: np.ndarray, first: np.ndarray, windows: tuple[np.ndarray, ...]):
+    """Windows of texts' ids (each text ends with END): the ids before, the ids, and which places are scored."""
+    text, start, n, since = windows
     place = np.arange(WINDOW)
     at = (first[text] + start)[:, None] + np.minimum(place, n[:, None] - 1)
-    begins = (start[:, None] + place) == 0
-    inputs = np.where(begins, model.known[END], model.known[ids[np.maximum(at - 1, 0)]])
-    return inputs, ids[at], (place >= since[:, None]) & (place < n[:, None]), text
+    before = np.where((start[:, None] + place) == 0, END, ids[np.maximum(at - 1, 0)])
+    return before, ids[at], (place >= since[:, None]) & (place < n[:, None])
 
 
 class Adam:
-    """Steps of a model; rows of the embedding that a batch doesn't use stay as they are."""
-
     def __init__(self, model: Model):
         self.model, self.step = model, 0
         self.m, self.s = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
 
-    def take(self, rate: float, inputs: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> None:
+    def take(self, rate: float, inputs: np.ndarray, target: np.ndarray, scored: np.ndarray) -> None:
         self.step += 1
-        _, g, rows, of_rows = self.model.sparse_gradients(inputs, ids, scored)
-        for k, at, d in [*((k, slice(None), d) for k, d in g.items()), ("embed", rows, of_rows)]:
-            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * d
-            s = self.s[k][at] = 0.99 * self.s[k][at] + 0.01 * d * d
-            self.model.p[k][at] -= np.float32(rate) * (m / np.float32(1 - 0.9**self.step)) / (np.sqrt(s / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+        for k, d in self.model.gradients(inputs, target, scored)[1].items():
+            m = self.m[k] = 0.9 * self.m[k] + 0.1 * d
+            s = self.s[k] = 0.99 * self.s[k] + 0.01 * d * d
+            self.model.p[k] -= np.float32(rate) * (m / np.float32(1 - 0.9**self.step)) / (np.sqrt(s / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+
+
+def score_ids(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 probability of each text; long texts go through in blocks of windows."""
+    out, windows = np.zeros(len(first) - 1), windows_of(first)
+    for i in range(0, len(windows[0]), BLOCK):
+        part = tuple(x[i : i + BLOCK] for x in windows)
+        before, target, scored = rows_of(ids, first, part)
+        p = model.log10(model.classes.known[before], model.classes.group[before], target)
+        out += np.bincount(part[0], np.where(scored, p, 0).sum(1), len(out))
+    return out
+
+
+# --- training
 
 
 def with_ends(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,226 +229,213 @@ def with_ends(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return np.insert(ids, first[1:], END), first + np.arange(len(first))
 
 
-def score_ids(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 probability of each text; long texts go through in parts of whole windows."""
-    out = np.zeros(len(first) - 1)
-    inputs, target, scored, text = rows_of(model, ids, first)
-    for i in range(0, len(inputs), 64 * BLOCK):
-        part = slice(i, i + 64 * BLOCK)
-        p = model.log10(inputs[part], target[part])
-        out += np.bincount(text[part], np.where(scored[part], p, 0).sum(1), len(out))
-    return out
+def _ids(n_shards: int, rounds: int, vocabulary: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's ids; rows are dealt to rounds and shards at random."""
+    encoder = Encoder(vocabulary, folder)
+    rng = np.random.default_rng(TaskContext.get().partitionId())  # a task that is run again deals as before
+    for batch in batches:
+        for piece, raw, offsets in pieces(batch, "text"):
+            data = LOWER[raw]
+            words = np.diff(find_words(data, offsets)[2])
+            ids, first = with_ends(encoder, data, offsets)
+            ids = ids.astype(np.uint16)
+            n = piece.num_rows
+            keep = [piece.column(piece.schema.get_field_index(k)) for k in ("doc_id", "held_out", "row_key")]
+            cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(rng.integers(rounds, size=n), pa.int32()), pa.array(rng.integers(n_shards, size=n), pa.int32()), pa.array(words.astype(np.int64) + 1), cells], schema=IDS_SCHEMA)
 
 
-# --- training
+def cells_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the cells, and where each cell's start (one more at the end)."""
+    ids, n = joined(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column]), np.uint16)
+    return ids.astype(np.int32), np.concatenate([[0], np.cumsum(n)])
 
 
-def cells_of(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row of CELL numbers for each window of the texts."""
-    text, start, n, since = windows_of(first)
-    begin = first[text] + start
-    out = np.empty((len(text), CELL), np.uint16)
-    out[:, 0] = np.where(start == 0, END, ids[np.maximum(begin - 1, 0)])
-    out[:, 1 : WINDOW + 1] = ids[begin[:, None] + np.minimum(np.arange(WINDOW), n[:, None] - 1)]
-    out[:, WINDOW + 1], out[:, WINDOW + 2] = since, n
-    return out
+def _sliced(counts: np.ndarray, part: int) -> list[dict]:
+    """The counts that aren't zero, in one row for each slice of their places."""
+    seen = np.flatnonzero(counts)
+    return [{"part": part * SLICES + k, "places": blob(seen[at]), "counts": blob(counts[seen[at]].astype(np.int64))} for k, at in split_by(seen % SLICES)]
 
 
-def from_cells(model: Model, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compact inputs, ids and which places are scored."""
-    cells, place = cells.astype(np.int64), np.arange(WINDOW)
-    return model.known[cells[:, :WINDOW]], cells[:, 1 : WINDOW + 1], (place >= cells[:, -2:-1]) & (place < cells[:, -1:])
+def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(IDS, np.int64)
+    for batch in batches:
+        counts += np.bincount(cells_of(batch.column(0))[0], minlength=IDS)
+    yield pa.RecordBatch.from_pylist(_sliced(counts, 0), schema=COUNT_SCHEMA)
 
 
-def _windows(n_shards: int, rounds: int, vocabulary: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows, dealt at random to rounds and shards; at the end (in round -1) the task's count of each id."""
-    encoder, counts = Encoder(vocabulary, folder), np.zeros(IDS, np.int64)
-    rng = np.random.default_rng(TaskContext.get().partitionId())  # a task that is run again deals as before
+def _pair_counts(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes after ids (part 0), and ids after classes (part 1)."""
+    classes = shared.value
+    counts = np.zeros((2, classes.n * CLASSES), np.int64)
     for batch in batches:
-        for _, raw, offsets in pieces(batch, "text", 1 << 20):
-            ids, first = with_ends(encoder, LOWER[raw], offsets)
-            counts += np.bincount(ids, minlength=IDS)
-            cells = cells_of(ids, first)
-            rows = [
-                {"round": int(rng.integers(rounds)), "shard": int(rng.integers(n_shards)), "windows": blob(cells[at])}
-                for at in np.array_split(rng.permutation(len(cells)), -(-len(cells) // DEALT))
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=WINDOW_SCHEMA)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pylist([{"round": -1, "shard": k, "ids": blob(seen[at]), "counts": blob(counts[seen[at]])} for k, at in split_by(seen % SLICES)], schema=WINDOW_SCHEMA)
+        ids, first = cells_of(batch.column(0))
+        before = np.concatenate([[END], ids[:-1]])[: len(ids)]
+        before[first[:-1]] = END
+        for part, places in zip(counts, classes.places(before, ids), strict=True):
+            used, times = np.unique(places, return_counts=True)
+            part[used] += times
+    yield pa.RecordBatch.from_pylist(_sliced(counts[0], 0) + _sliced(counts[1], 1), schema=COUNT_SCHEMA)
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    places, which = np.unique(joined(group["places"], np.int64)[0], return_inverse=True)
+    counts = np.zeros(len(places), np.int64)
+    np.add.at(counts, which, joined(group["counts"], np.int64)[0])
+    return pa.Table.from_pylist([{"part": group["part"][0].as_py(), "places": blob(places), "counts": blob(counts)}], schema=COUNT_SCHEMA)
 
 
-def _counted(group: pa.Table) -> pa.Table:
-    ids, which = np.unique(joined(group["ids"], np.int64)[0], return_inverse=True)
-    counts = np.zeros(len(ids), np.int64)
-    np.add.at(counts, which, joined(group["counts"], np.int64)[0])
-    return pa.Table.from_pylist([{"ids": blob(ids), "counts": blob(counts)}], schema=COUNT_SCHEMA)
+def gathered(rows: DataFrame, parts: int, size: int) -> np.ndarray:
+    """The sums of a bounded number of counts: at most ``size`` for each part, whatever the input."""
+    out = np.zeros((parts, size))
+    for row in rows.groupBy("part").applyInArrow(lambda group: _summed(group), COUNTS).collect():
+        out[row["part"] // SLICES, np.frombuffer(row["places"], np.int64)] = np.frombuffer(row["counts"], np.int64)
+    return out
 
 
-def learn(model: Model, cells: np.ndarray, turn: int, rounds: int, steps: int) -> Model:
-    """The model after a round's steps over the windows of a shard, each of which is used at least once."""
-    h = np.zeros(len(cells), U64)
-    for k, times in enumerate(np.random.default_rng(turn).integers(0, 2**63, CELL, dtype=U64) * U64(2) + U64(1)):
-        h += cells[:, k] * times
-    cells = cells[np.argsort(mix(h), kind="stable")]  # in an order of their own, whichever way they came
+def learn(model: Model, ids: np.ndarray, first: np.ndarray, turn: int, rounds: int, steps: int) -> tuple[Model, int]:
+    """The model after a round's steps over the windows of a shard, each of which is used at least once; and how many these are."""
+    windows = windows_of(first)
+    order = np.random.default_rng(turn).permutation(len(windows[0]))
     after = copy.copy(model)
     after.p = {k: v.copy() for k, v in model.p.items()}
-    adam, each = Adam(after), min(BATCH, len(cells))
-    total = max(-(-len(cells) // each), -(-steps // rounds))
+    adam, each, classes = Adam(after), min(BATCH, len(order)), model.classes
+    total = max(-(-len(order) // each), -(-steps // rounds))
     for step in range(total):
-        batch = from_cells(after, cells[(step * each + np.arange(each)) % len(cells)])
-        adam.take(0.01 * min(1, (step + 1) / 20) * (1 - 0.9 * (turn + (step + 1) / total) / rounds), *batch)
-    return after
+        at = order[(step * each + np.arange(each)) % len(order)]
+        before, target, scored = rows_of(ids, first, tuple(x[at] for x in windows))
+        rate = 0.01 * min(1, (turn * total + step + 1) / 20) * (1 - 0.9 * (turn + (step + 1) / total) / rounds)
+        adam.take(rate, classes.known[before], classes.group[target], scored)
+    return after, len(order)
 
 
 def _learn(shared, turn: int, rounds: int, steps: int, group: pa.Table) -> pa.Table:
-    """A shard's changes times their weights: of the embedding by slices of its rows, of all else in part -1."""
-    before, shard = shared.value, group["shard"][0].as_py()
-    cells = joined(group["windows"], np.uint16)[0].reshape(-1, CELL)
-    after = learn(before, cells, turn, rounds, steps)
-    weight = np.bincount(before.known[cells[:, :WINDOW]].ravel(), minlength=len(before.p["embed"])).astype(np.float32)
-    used = np.flatnonzero(weight)
-    change = (after.p["embed"][used] - before.p["embed"][used]) * weight[used, None]
-    rows = [{"part": k, "shard": shard, "rows": blob(used[at].astype(np.int32)), "weights": blob(weight[used[at]]), "changes": blob(change[at])} for k, at in split_by(used % SLICES)]
-    rest = np.concatenate([(after.p[k] - before.p[k]).ravel() for k in before.p if k != "embed"]) * np.float32(len(cells))
-    rows.append({"part": -1, "shard": shard, "rows": blob(np.arange(len(rest), dtype=np.int32)), "weights": blob(np.full(len(rest), len(cells), np.float32)), "changes": blob(rest)})
-    return pa.Table.from_pylist(rows, schema=CHANGE_SCHEMA)
+    """A shard's change times its windows."""
+    shard, before = group["shard"][0].as_py(), shared.value
+    after, n = learn(before, *cells_of(group["ids"]), turn, rounds, steps)
+    change = np.concatenate([(after.p[k] - before.p[k]).ravel() for k in before.p]).astype(np.float64) * n
+    return pa.Table.from_pylist([{"part": shard % SLICES, "weight": float(n), "change": blob(change)}], schema=CHANGE_SCHEMA)
 
 
 def _learner(*args):
     return lambda group: _learn(*args, group)
 
 
-def _averaged(group: pa.Table) -> pa.Table:
-    """The mean change of each row that some shard used."""
-    group, part = group.sort_by("shard"), group["part"][0].as_py()
-    rows, which = np.unique(joined(group["rows"], np.int32)[0], return_inverse=True)
-    weights = np.bincount(which, joined(group["weights"], np.float32)[0], len(rows))
-    changes = joined(group["changes"], np.float32)[0].reshape(len(which), -1)
-    mean = np.stack([np.bincount(which, c, len(rows)) / weights for c in changes.T], axis=1).astype(np.float32)
-    return pa.Table.from_pylist([{"part": part, "shard": 0, "rows": blob(rows), "weights": b"", "changes": blob(mean)}], schema=CHANGE_SCHEMA)
-
-
-def trained(texts: DataFrame, n_bytes: int, vocabulary: str, folder: str, steps: int = STEPS, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> Model:
-    """A model of all windows of the texts."""
-    context, n_shards = texts.sparkSession.sparkContext, parts_for(n_bytes, shard_bytes)
-    cells = written(texts.select("text").mapInArrow(functools.partial(_windows, n_shards, rounds, vocabulary, folder), WINDOWS))
-    counts = np.zeros(IDS)
-    for row in cells.where("round < 0").groupBy("shard").applyInArrow(lambda group: _counted(group), COUNTS).collect():
-        counts[np.frombuffer(row["ids"], np.int64)] = np.frombuffer(row["counts"], np.int64)
-    model = Model(counts)
+def _added(group: pa.Table) -> pa.Table:
+    rows = sorted(zip(group["weight"].to_pylist(), group["change"].to_pylist(), strict=True))  # in an order of their own
+    change = np.sum([np.frombuffer(c, np.float64) for _, c in rows], axis=0)
+    return pa.Table.from_pylist([{"part": group["part"][0].as_py(), "weight": sum(w for w, _ in rows), "change": blob(change)}], schema=CHANGE_SCHEMA)
+
+
+def trained(table: DataFrame, steps: int = STEPS, rounds: int = ROUNDS) -> Model:
+    """A model of all training rows of a table of ids."""
+    context = table.sparkSession.sparkContext
+    known = table.where("not held_out")
+    classes = Classes(gathered(known.select("ids").mapInArrow(_id_counts, COUNTS), 1, IDS)[0])
+    shared = context.broadcast(classes)
+    counts = gathered(known.select("ids").mapInArrow(functools.partial(_pair_counts, shared), COUNTS), 2, classes.n * CLASSES)
+    shared.destroy()
+    model = Model(classes, counts[0].reshape(-1, CLASSES), counts[1].reshape(CLASSES, -1))
     for turn in range(rounds):
         shared = context.broadcast(model)
-        changes = written(cells.where(F.col("round") == turn).groupBy("shard").applyInArrow(_learner(shared, turn, rounds, steps), CHANGES))
-        for row in changes.groupBy("part").applyInArrow(lambda group: _averaged(group), CHANGES).collect():
-            rows, change = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["changes"], np.float32)
-            if row["part"] >= 0:
-                model.p["embed"][rows] += change.reshape(-1, WIDTH)
-                continue
-            for k in model.p:
-                if k != "embed":
-                    model.p[k] += change[: model.p[k].size].reshape(model.p[k].shape)
-                    change = change[model.p[k].size :]
-        discard(changes)
+        changes = known.where(F.col("round") == turn).groupBy("shard").applyInArrow(_learner(shared, turn, rounds, steps), CHANGES)
+        sums = sorted(tuple(r) for r in changes.groupBy("part").applyInArrow(lambda group: _added(group), CHANGES).collect())
+        if sums:
+            change = np.sum([np.frombuffer(c, np.float64) for _, _, c in sums], axis=0) / sum(w for _, w, _ in sums)
+            for k, v in model.p.items():
+                model.p[k] = v + change[: v.size].reshape(v.shape).astype(np.float32)
+                change = change[v.size :]
         shared.destroy()
-    discard(cells)
     return model
 
 
-# --- the jobs
-
-
-def fold(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
+def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, first = cells_of(batch.column(batch.schema.get_field_index("ids")))
+        keep = [batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "held_out", "row_key", "n_tokens")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(score_ids(shared.value, ids, first))], schema=SCORE_SCHEMA)
 
 
-def _score(model: Model, vocabulary: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(vocabulary, folder)
-    for batch in batches:
-        for piece, raw, offsets in pieces(batch, "text", 1 << 20):
-            data = LOWER[raw]
-            words = np.diff(find_words(data, offsets)[2])
-            score = score_ids(model, *with_ends(encoder, data, offsets))
-            keep = [piece.column(piece.schema.get_field_index(k)) for k in ("doc_id", "held_out", "row_key")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(words.astype(np.int64) + 1), pa.array(score)], names=["doc_id", "held_out", "row_key", "n_tokens", "score"])
+# --- the base score
 
 
-def _words(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket the distinct words of a piece: how often in training texts, and in which texts how often."""
+def _hashed(group: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Hashes of the words of a pack, and for each row of a piece where its words start."""
     poly = Poly(41)
-    for batch in batches:
+    for batch in group.to_batches():
         for piece, raw, offsets in pieces(batch, "text"):
             data = LOWER[raw]
-            starts, ends, first = find_words(data, offsets)
-            h = poly.of_slices(data, starts, ends)
-            doc = np.repeat(np.arange(piece.num_rows, dtype=np.uint32), np.diff(first))
-            trains = ~piece.column(piece.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
-            keys = piece.column(piece.schema.get_field_index("row_key")).to_numpy(zero_copy_only=False)
-            order = np.argsort(h, kind="stable")  # texts stay in their order
-            h, doc = h[order], doc[order]
-            new_word = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)])
-            times = np.diff(np.append(new, len(h)))
-            word = np.cumsum(new_word)[new] - 1
-            distinct, doc = h[new_word], doc[new]
-            trained = np.bincount(word, times * trains[doc], len(distinct)).astype(np.uint32)
-            docs_of = np.bincount(word, minlength=len(distinct))
-            begin = np.cumsum(docs_of) - docs_of
-            rows = []
-            for b, at in split_by((distinct % U64(n_buckets)).astype(np.int64)):
-                i = spread(begin[at], docs_of[at])
-                rows.append({"bucket": b, "words": blob(distinct[at]), "trained": blob(trained[at]), "docs_of": blob(docs_of[at].astype(np.uint32)), "docs": blob(doc[i]), "times": blob(times[i].astype(np.uint32)), "keys": blob(keys)})
-            yield pa.RecordBatch.from_pylist(rows, schema=WORD_SCHEMA)
-
-
-def _sums(n_parts: int, group: pa.Table) -> pa.Table:
-    """Each text's sums over the words of a bucket, and (in part -1) the bucket's totals."""
-    words, _ = joined(group["words"], U64)
-    trained, _ = joined(group["trained"], np.uint32)
-    docs_of, _ = joined(group["docs_of"], np.uint32)
-    doc, per_row = joined(group["docs"], np.uint32)
-    times, _ = joined(group["times"], np.uint32)
-    keys, tables = joined(group["keys"], np.int64)
+            starts, ends, first = find_words(data, offsets, WORD)
+            yield piece, poly.of_slices(data, starts, ends), first
+
+
+def _words(n_buckets: int, group: pa.Table) -> pa.Table:
+    """A pack's distinct words, each with how often training texts of the pack have it."""
+    parts = []
+    for piece, h, first in _hashed(group):
+        trains = ~piece.column(piece.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+        distinct, which = np.unique(h, return_inverse=True)
+        parts.append((distinct, np.bincount(which, np.repeat(trains, np.diff(first)), len(distinct)).astype(np.int64)))
+    words, which = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    counts = np.bincount(which, np.concatenate([x for _, x in parts]), len(words)).astype(np.uint32)
+    pack = group["pack"][0].as_py()
+    rows = [{"bucket": b, "pack": pack, "words": blob(words[at]), "counts": blob(counts[at])} for b, at in split_by((words % U64(n_buckets)).astype(np.int64))]
+    return pa.Table.from_pylist(rows, schema=WORD_SCHEMA)
+
+
+def _tell(group: pa.Table) -> pa.Table:
+    """For each pack the counts of its words in all packs; in one of the rows the bucket's totals."""
+    words, per_row = joined(group["words"], U64)
     distinct, which = np.unique(words, return_inverse=True)
-    count = np.bincount(which, trained, len(distinct))
-    of = np.repeat(which, docs_of)
-    text = np.repeat(np.cumsum(tables) - tables, per_row) + doc
-    used, text = np.unique(text, return_inverse=True)
-    tokens = np.bincount(text, times, len(used)).astype(np.int64)
-    known = np.bincount(text, times * (count[of] > 0), len(used)).astype(np.int64)
-    logs = np.bincount(text, times * np.log10(count[of] + SMOOTH), len(used))
-    key = keys[used]
-    rows = [{"part": p, "keys": blob(key[at]), "tokens": blob(tokens[at]), "known": blob(known[at]), "logs": blob(logs[at])} for p, at in split_by((key.view(U64) % U64(n_parts)).astype(np.int64))]
-    totals = np.array([int(count.sum()), int((count > 0).sum())], np.int64)
-    return pa.Table.from_pylist([*rows, {"part": -1, "keys": blob(totals), "tokens": b"", "known": b"", "logs": b""}], schema=SUM_SCHEMA)
-
-
-def _totals(group: pa.Table) -> pa.Table:
-    keys, _ = joined(group["keys"], np.int64)
-    distinct, which = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(which, joined(group[k], t)[0], len(distinct)) for k, t in (("tokens", np.int64), ("known", np.int64), ("logs", np.float64))]
-    return pa.Table.from_arrays([pa.array(distinct), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], schema=BASE_SCHEMA)
+    counts = np.zeros(len(distinct), np.int64)
+    np.add.at(counts, which, joined(group["counts"], np.uint32)[0])
+    totals = {"tokens": int(counts.sum()), "distinct": int((counts > 0).sum())}
+    rows = []
+    for pack, at in split_by(np.repeat(group["pack"].to_numpy(), per_row)):
+        mine = np.unique(which[at])  # the parts of a large pack are told once
+        rows.append({"pack": pack, "words": blob(distinct[mine]), "counts": blob(counts[mine]), **totals})
+        totals = {"tokens": 0, "distinct": 0}
+    return pa.Table.from_pylist(rows, schema=TOLD_SCHEMA)
+
+
+def _base(texts: pa.Table, told: pa.Table) -> pa.Table:
+    """Each row's known words, and the sum of log10(c + SMOOTH) over its words."""
+    words, counts = joined(told["words"], U64)[0], joined(told["counts"], np.int64)[0]
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    out = []
+    for piece, h, first in _hashed(texts):
+        count = counts[np.searchsorted(words, h)] if len(h) else np.zeros(0)
+        sums = [np.diff(np.concatenate([[0.0], np.cumsum(x)])[first]) for x in (count > 0, np.log10(count + SMOOTH))]
+        out.append(pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("row_key")), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1])], schema=BASE_SCHEMA))
+    return pa.Table.from_batches(out, BASE_SCHEMA)
+
+
+def base_scores(packs: Packs, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(row_key, known, logs) of every distinct row, and a table whose sums of ``tokens`` and ``distinct`` are the training words'."""
+    n_buckets = parts_for(packs.n_bytes, bucket_bytes)
+    told = written(packs.groups().applyInArrow(lambda group: _words(n_buckets, group), WORDS).groupBy("bucket").applyInArrow(lambda group: _tell(group), TOLD))
+    found = packs.told(told.drop("tokens", "distinct")).applyInArrow(lambda texts, told: _base(texts, told), BASE)
+    return written(found.groupBy("row_key").agg(F.first("known").alias("known"), F.first("logs").alias("logs"))), told
+
+
+def fold(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
 def scores(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, steps: int = STEPS, bucket_bytes: int = BUCKET_BYTES, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    held = F.coalesce(fold() == HELD_OUT, F.lit(True))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"))
-    n_bytes = text_bytes(texts)
-    n_buckets = parts_for(n_bytes, bucket_bytes)
-    sums = written(texts.mapInArrow(functools.partial(_words, n_buckets), WORDS).groupBy("bucket").applyInArrow(lambda group: _sums(n_buckets, group), SUMS))
-    base = sums.where("part >= 0").groupBy("part").applyInArrow(_totals, "row_key long, total long, known long, logs double")
-    ends = texts.where("not held_out").count()
-    n, v = ends, int(ends > 0)
-    for row in sums.where("part < 0").select("keys").collect():
-        a, b = np.frombuffer(row["keys"], np.int64)
-        n, v = n + int(a), v + int(b)
-    model = docs.sparkSession.sparkContext.broadcast(trained(texts.where("not held_out"), n_bytes, vocabulary, folder, steps, rounds, shard_bytes))
-    scored = texts.mapInArrow(lambda batches: _score(model.value, vocabulary, folder, batches), SCORES)
-    words = F.col("n_tokens") - 1
-    # a row that is there k times has k times its sums
-    known = F.when(words > 0, F.col("known") * words / F.col("total")).otherwise(0).cast("long") + F.lit(int(ends > 0))
-    logs = F.when(words > 0, F.col("logs") * words / F.col("total")).otherwise(0.0)
-    base_score = logs + F.lit(float(np.log10(ends + SMOOTH))) - F.col("n_tokens") * F.lit(float(np.log10(n + SMOOTH * (v + 1))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    held, row_key = F.coalesce(fold() == HELD_OUT, F.lit(True)).alias("held_out"), F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("row_key")
+    packs = Packs(docs, PACK_BYTES, held, row_key)
+    base, told = base_scores(packs, bucket_bytes)
+    ends = packs.texts.where("not held_out").count()
+    sums = told.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    n, v = ends + (sums["n"] or 0), int(ends > 0) + (sums["v"] or 0)
+    table = written(packs.texts.drop("pack").mapInArrow(functools.partial(_ids, parts_for(packs.n_bytes, shard_bytes), rounds, vocabulary, folder), IDS_TABLE))
+    model = docs.sparkSession.sparkContext.broadcast(trained(table, steps, rounds))
+    scored = table.mapInArrow(functools.partial(_score, model), SCORES)
+    known = F.col("known") + F.lit(int(ends > 0))
+    base_score = F.col("logs") + F.lit(float(np.log10(ends + SMOOTH))) - F.col("n_tokens") * F.lit(float(np.log10(n + SMOOTH * (v + 1))))
     return scored.join(base, "row_key", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")

@@ -14,7 +14,8 @@ cut those are taken whose sizes fill what is left best, so a source of some doze
 quota to the word as a rule.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its own, the
-last; repeated rows (same id) share their hash and are chosen in the order of their content's hash;
+last; null ids are told apart by their texts; rows that agree in id and text differ in the last bits of their hash, so a third of all rows
+may be copies of one and the cut still finds its place among them;
 with no words at all every target is 0; an empty table gives an empty result.  Reruns agree.
 """
 
@@ -41,6 +42,12 @@ BINS = 1024
 ZONE = 20_000
 LEAST_ZONE = 64
 AROUND = 32
+#: Last bits of the hash, by which equal rows differ.
+COPY_BITS = 17
+#: The network is solved on the driver; tables with more patterns are refused.
+MOST_PATTERNS = 20_000
+#: Documents around the cuts that are broadcast; beyond it, a shuffled join.
+BROADCAST_ROWS = 500_000
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -154,16 +161,17 @@ def choose(sized: DataFrame, need: dict[str, tuple[int, int]]) -> DataFrame:
     plan = spark.createDataFrame([(p, k, lo.get(p, 0), hi.get(p, 0) if lo.get(p, 0) < hi.get(p, 0) else lo.get(p, 0), left.get(p, 0)) for p, (k, _) in need.items()], "_p string, _rounds long, _lo long, _hi long, _left long")
     known = sized.join(F.broadcast(plan), F.col("_pattern") == F.col("_p"), "left")
     inside = F.coalesce((F.col("_hash") >= F.col("_lo")) & (F.col("_hash") < F.col("_hi")), F.lit(False))
-    few = known.where(inside).select("_p", "_left", "_size", "_hash", "_tie")
+    few = known.where(inside).groupBy("_p", "_left", "_hash", "_tie").agg(F.sum("_size").alias("_size"))  # rows that agree in everything go together
     extra = few.groupBy("_p").applyInPandas(_fit, "_zp string, _zh long, _zt long, _more long")
+    if len(cut) * ZONE <= BROADCAST_ROWS:  # of each pattern, a zone of ZONE documents at most
+        extra = F.broadcast(extra)
     copies = F.coalesce(F.col("_rounds"), F.lit(0)) + F.when(F.col("_hash") < F.col("_lo"), 1).otherwise(F.coalesce("_more", F.lit(0)))
-    out = known.join(F.broadcast(extra), (F.col("_p") == F.col("_zp")) & (F.col("_hash") == F.col("_zh")) & (F.col("_tie") == F.col("_zt")), "left")
+    out = known.join(extra, (F.col("_p") == F.col("_zp")) & (F.col("_hash") == F.col("_zh")) & (F.col("_tie") == F.col("_zt")), "left")
     return out.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(0).cast("long")).drop("_p", "_rounds", "_lo", "_hi", "_left", "_zp", "_zh", "_zt", "_more")
 
 
 def _fit(zone):
     """Of a zone of at most some ZONE documents in order of their hash, the first ones, and of those around the cut the set that fills what is left best."""
-    zone = zone.groupby(["_p", "_left", "_hash", "_tie"], as_index=False)["_size"].sum()  # rows that agree in everything go together
     zone = zone.sort_values(["_hash", "_tie"])
     left, size = int(zone["_left"].iloc[0]), zone["_size"].to_numpy()
     whole = int(np.searchsorted(np.cumsum(size), left, "right"))
@@ -202,10 +210,12 @@ def mix(docs: DataFrame, sources: str = "source", seed: int = SEED, weights: tup
     members = F.array_sort(F.array_distinct(F.col(sources))) if many else F.array(F.col(sources).cast("string"))
     # the rows go along whole in one struct, so no column of docs clashes with a name used here
     row = F.struct(*[F.col(c) for c in carry]).alias("_row")
-    keyed = docs.select(row, F.col("text").cast("string").alias("_text"), members.alias("_members"), F.expr(f"shiftrightunsigned(xxhash64(doc_id, {seed}L), 2)").alias("_hash"), F.xxhash64("text", F.lit(seed)).alias("_tie"))
+    keyed = docs.select(row, F.col("text").cast("string").alias("_text"), members.alias("_members"), F.expr(f"shiftleft(shiftrightunsigned(xxhash64(doc_id, text, {seed}L), {2 + COPY_BITS}), {COPY_BITS}) + pmod(xxhash64(monotonically_increasing_id()), {1 << COPY_BITS}L)").alias("_hash"), F.xxhash64("text", F.lit(seed)).alias("_tie"))
     keyed = keyed.withColumn("_pattern", F.to_json(F.struct(F.col("_members").alias("m")), {"ignoreNullFields": "false"}))
     sized = written(with_sizes(keyed, "_text").select("_row", "_size", "_members", "_pattern", "_hash", "_tie"))
-    rows = sized.groupBy("_pattern").agg(F.first("_members").alias("members"), F.sum("_size").alias("words")).collect()
+    rows = sized.groupBy("_pattern").agg(F.first("_members").alias("members"), F.sum("_size").alias("words")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of sources: join sources into larger ones first")
     capacity = {tuple(r["members"]): r["words"] for r in rows}
     name = {tuple(r["members"]): r["_pattern"] for r in rows}
     sizes: dict[str | None, int] = {}

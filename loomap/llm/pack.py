@@ -3,7 +3,8 @@
 Every document becomes its token ids and an end id.  Longer ones than a row are cut into whole rows
 and a rest, losing nothing.  Each task packs what it reads, a buffer of some million tokens at a time:
 segments go by falling length into the open row with the least room that still holds them, found
-in a segment tree over the amounts of room.  Text isn't shuffled and memory is bounded by the buffer.
+in a segment tree over the amounts of room.  Text isn't shuffled and memory is bounded by the buffer.  Which segments share
+a row depends on how the input is partitioned, and each task leaves one poorly filled row at most a buffer; what the rows hold together doesn't.
 
 A result row is one row of the id matrix: ids (little-endian, ROW ids, padded with the end
 id), n_tokens, cu_seqlens (0 and the end of each segment), position_resets (the places where positions
@@ -150,6 +151,11 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = "byte_bpe_50k.tiktok
     return docs.mapInArrow(lambda batches: _pack(vocabulary, folder, row, end, buffer, batches), PACKED)
 
 
+def write(packed: DataFrame, folder: str) -> None:
+    """The rows as files of a matrix each: Parquet with ids (one row of the matrix), cu_seqlens and position_resets; and the documents they are from."""
+    packed.write.mode("errorifexists").option("compression", "zstd").parquet(folder)
+
+
 def positions(cu_seqlens: list[int]) -> np.ndarray:
     """Position ids of a packed row: from 0 in every segment."""
     ends = np.asarray(cu_seqlens)

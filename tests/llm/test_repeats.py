@@ -5,11 +5,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loomap.llm import dedup_bytes, dedup_words
+from loomap.llm._repeats import Packs
 
 
 def documents(seed=1, n=60):
@@ -47,7 +51,7 @@ def plain_words(rows, window):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize(("window", "first", "pack"), [(13, 7, 1 << 20), (13, 7, 300), (13, 3, 700), (5, 2, 500)])
+@pytest.mark.parametrize(("window", "first", "pack"), [(13, 4, 1 << 20), (13, 7, 300), (13, 3, 700), (5, 2, 500)])
 def test_dedup_words(spark, window, first, pack):
     rows = documents()
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, pack int").repartition(3)
@@ -62,8 +66,58 @@ def test_dedup_words_without_repeats(spark):
 
 
 def test_levels():
-    assert dedup_words.lengths(13, 7) == [7, 13] and dedup_words.lengths(50, 7) == [7, 14, 28, 50]
+    assert dedup_words.lengths() == [4, 8, 13] and dedup_words.lengths(50, 7) == [7, 14, 28, 50]
+
+
+def test_windows_are_removed_through_the_levels_only(spark, monkeypatch):
+    """With one pack too: where a level lets nothing survive, nothing is removed."""
+    rows = [(1, " ".join(f"w{i}" for i in range(40))), (2, " ".join(f"w{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.n_removed for r in dedup_words.dedup_words(docs).collect()) == 40
+    for level in (0, 1):
+        real, calls = dedup_words.written, []
+
+        def written(df, level=level, real=real, calls=calls):
+            calls.append(0)
+            return real(df.where("false")) if len(calls) == level + 1 else real(df)
+
+        monkeypatch.setattr(dedup_words, "written", written)
+        assert sum(r.n_removed for r in dedup_words.dedup_words(docs).collect()) == 0
+        monkeypatch.setattr(dedup_words, "written", real)
+
+
+def skewed():
+    """Nine in ten rows without an id, one row very often, and ids that cluster."""
+    rng = random.Random(4)
+    text = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, " ".join(rng.choices("abcdefgh", k=30))) for _ in range(270)] + [(3, text)] * 60
+    return rows + [(10**12 + i, " ".join(rng.choices("abcdefgh", k=30))) for i in range(30)] + [(9, text + " more")]
+
+
+def test_no_pack_is_large(spark):
+    docs = spark.createDataFrame(skewed(), "doc_id long, text string")
+    packs = Packs(docs, 4000)
+    sizes = [r.n for r in packs.groups().agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert len(packs.parts) == 1 and max(sizes) <= 2 * 4000
+
+
+@pytest.mark.parametrize("pack", [1 << 20, 4000])
+def test_skewed_ids(spark, pack):
+    docs = spark.createDataFrame(skewed(), "doc_id long, text string").repartition(3)
+    got = dedup_words.dedup_words(docs, pack_bytes=pack, bucket_bytes=4000).collect()
+    assert sorted(str(tuple(r)) for r in got) == plain_words(skewed(), 13)
+    got = dedup_bytes.dedup_bytes(docs, pack_bytes=pack, bucket_bytes=4000).collect()
+    assert sorted(str(tuple(r)) for r in got) == plain_bytes(skewed(), 50)
+
 
+def test_fragments_of_one_repeated_byte_are_merged():
+    """A long text of equal bytes has an anchor at each place; what is copied stays small."""
+    n = 400_000
+    texts = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a" * n, "a" * n], "pack": pa.array([0, 0], pa.int32())})
+    anchors = dedup_bytes.Anchors(texts.to_batches()[0], np.full(2 * n, 97, np.uint8), np.array([0, n, 2 * n]), 50, 20)
+    alive = pa.table({"hashes": [dedup_bytes.narrow(np.unique(anchors.hash))]})
+    found = dedup_bytes._fragments(50, 20, 4, texts, alive).to_pylist()
+    assert sum(len(r["bytes"]) for r in found) < 10_000
 
 def plain_bytes(rows, span):
     texts = [(i, (t or "").encode()) for i, t in rows]
@@ -83,7 +137,7 @@ def plain_bytes(rows, span):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize(("span", "gram", "pack"), [(50, 16, 1 << 20), (50, 16, 300), (20, 4, 700), (12, 3, 500)])
+@pytest.mark.parametrize(("span", "gram", "pack"), [(50, 20, 1 << 20), (50, 20, 300), (20, 4, 700), (12, 3, 500)])
 def test_dedup_bytes(spark, span, gram, pack):
     rows = documents(2)
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, pack int").repartition(3)
