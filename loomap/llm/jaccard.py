@@ -51,12 +51,12 @@ from loomap.operators.graph import components
 
 SHINGLE = 5
 PERCENT = 75
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 MARGIN = 6.0
 #: Bytes of a signature and of an entity's name in an entry.
 SHORT = 5
 #: Entries that a task gathers before it sends the buckets theirs.
-HELD = 2_000_000
+HELD = 1_000_000
 #: What entities are dealt to besides buckets: parts, at least so many.
 LEAST_PARTS = 64
 #: Parities that a set keeps for each token, at least.
