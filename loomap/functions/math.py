@@ -268,3 +268,60 @@ def depth_meters(raw: Col, scale: float = 1e-3, far: float | None = None) -> Col
     if far is not None:
         bad |= d > far
     return F.when(bad, F.lit(0.0)).otherwise(d)
+
+
+def symmetric_eigenvalues(s: Vec) -> list[Column]:
+    """Eigenvalues (greatest first) of a packed symmetric matrix, in the trigonometric form."""
+    xx, xy, xz, yy, yz, zz = map(c, s)
+    mean = (xx + yy + zz) / 3
+    off = xy * xy + xz * xz + yz * yz
+    spread = F.sqrt(((xx - mean) * (xx - mean) + (yy - mean) * (yy - mean) + (zz - mean) * (zz - mean) + 2 * off) / 6)
+    safe = F.greatest(spread, F.lit(1e-300))
+    half = det3([(xx - mean) / safe, xy / safe, xz / safe, (yy - mean) / safe, yz / safe, (zz - mean) / safe]) / 2
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
+    first, last = mean + 2 * spread * F.cos(angle), mean + 2 * spread * F.cos(angle + F.lit(2 * 3.141592653589793 / 3))
+    return [first, 3 * mean - first - last, last]
+
+
+def eigen_floored(s: Vec, floor: float) -> list[Column]:
+    """A packed symmetric matrix whose least eigenvalue is raised to ``floor`` by adding to the diagonal, only where it must be."""
+    lift = F.greatest(F.lit(0.0), F.lit(floor) - symmetric_eigenvalues(s)[2])
+    return [c(v) + (lift if i in (0, 3, 5) else 0) for i, v in enumerate(s)]
+
+
+def bbox_edge_score(x1: Col, y1: Col, x2: Col, y2: Col, width: float, height_: float) -> Column:
+    """1 where a box is well inside the image, 0 at its border."""
+    margin = F.least(c(x1), c(y1), F.lit(float(width)) - c(x2), F.lit(float(height_)) - c(y2))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), margin / max(16.0, 0.05 * min(width, height_))))
+
+
+def edge_touch(x1: Col, y1: Col, x2: Col, y2: Col, width: int, height_: int) -> Column:
+    """The share of a box's four edges that touch the image's border."""
+    hits = [c(x1) <= 1, c(y1) <= 1, c(x2) >= width - 1, c(y2) >= height_ - 1]
+    return sum((F.when(h, 0.25).otherwise(0.0) for h in hits[1:]), F.when(hits[0], 0.25).otherwise(0.0))
+
+
+def frustum_view(s: Vec, a: Vec, name: str) -> tuple[Column, Column]:
+    """(score, quality) of a view-dependent relation in one camera's frame (x right, y down, z ahead); quality 0 where either is out of view."""
+    zs, za = c(s[2]), c(a[2])
+    us, vs, ua, va = c(s[0]) / zs, c(s[1]) / zs, c(a[0]) / za, c(a[1]) / za
+    seen = (zs > 0.3) & (za > 0.3) & (zs < 15) & (za < 15) & (F.abs(us) < 0.85) & (F.abs(ua) < 0.85) & (F.abs(vs) < 0.7) & (F.abs(va) < 0.7)
+    gap, t = {"LeftOf": (ua - us, 0.08), "RightOf": (us - ua, 0.08), "InFrontOf": (za - zs, 0.30), "Behind": (zs - za, 0.30)}[name]
+    score = 1 / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), -gap / t))))
+    quality = F.exp(-(us * us + ua * ua + vs * vs + va * va)) / (1 + F.least(zs, za) / 4)
+    return F.when(seen, score), F.coalesce(F.when(seen, quality), F.lit(0.0))
+
+
+def vertical_axis(named: Sequence[Col], refs: Col) -> Column:
+    """0, 1 or 2: by the first name that tells, else y if one of the first 16 image references is of a y-up source, else z."""
+
+    def told(x: Col) -> Column:
+        t = F.lower(F.trim(c(x)))
+        return (
+            F.when(t.isin("0", "x", "+x", "-x", "x-up", "x_up"), 0)
+            .when(t.isin("1", "y", "+y", "-y") | t.rlike("y-up|y_up|habitat|hm3d"), 1)
+            .when(t.isin("2", "z", "+z", "-z") | t.rlike("z-up|z_up|scannet"), 2)
+        )
+
+    y_up = F.exists(F.slice(c(refs), 1, 16), lambda r: F.lower(r).rlike("hm3d|iref_vla|rendered_trajectory"))
+    return F.coalesce(*[told(x) for x in named], F.when(y_up, 1), F.lit(2))

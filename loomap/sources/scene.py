@@ -58,3 +58,26 @@ DETECTIONS_SQL = """det AS (SELECT event_id AS det, (user_id % 37 * 100 + date_d
 def object_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """object, image: the parts and orders of lineitem."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("image")).distinct()
+
+
+#: What the parts' nouns stand for.
+FURNITURE = {"ring": "dining table", "plate": "chair", "gear": "doors", "bolt": "window", "rod": "shelf", "widget": "picture frame", "gizmo": "trash can", "anvil": "couch"}
+
+
+def captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey, p_brand, noun, phrase, caption: the parts as pieces of furniture."""
+    part = table(spark, sf_dir, "part")
+    word = F.split("p_name", " ")
+    noun = F.create_map(*[F.lit(x) for pair in FURNITURE.items() for x in pair])[word[1]]
+    part = part.withColumn("noun", F.coalesce(noun, word[1])).withColumn("phrase", F.concat_ws(" ", word[0], "noun"))
+    return part.select("p_partkey", "p_brand", "noun", "phrase", F.concat("phrase", F.lit(" by the "), F.lower("p_type")).alias("caption"))
+
+
+CAPTIONED_SQL = f"""named AS (SELECT *, phrase || ' by the ' || lower(p_type) AS caption FROM (SELECT p_partkey, p_brand, p_type, noun, split_part(p_name, ' ', 1) || ' ' || noun AS phrase
+  FROM (SELECT *, CASE split_part(p_name, ' ', 2) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in FURNITURE.items())} ELSE split_part(p_name, ' ', 2) END AS noun FROM part)))"""
+
+
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(loser, winner): the objects that aren't active were merged, every second of them into one that was merged itself."""
+    o = objects(spark, sf_dir).where("not active").select(F.col("object_idx").alias("loser"))
+    return o.withColumn("winner", F.when(F.col("loser") % 22 == 0, F.col("loser") + 11).otherwise(F.col("loser") + 1))
