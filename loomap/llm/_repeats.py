@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from loomap.llm._spark import blob, joined, parts_for, split_by, text_bytes
+from loomap.llm._spark import blob, joined, parts_for, release, split_by, text_bytes
 from loomap.llm._text import U64
 
 PACK_BYTES = 8 << 20
@@ -90,6 +90,7 @@ ALIVE_SCHEMA = pa.schema([("pack", pa.int32()), ("hashes", pa.binary())])
 
 def survivors(group: pa.Table) -> pa.Table:
     """Of a bucket's entries, those whose hash several documents have: one row for each pack."""
+    release()
     raw, _ = joined(group["hashes"], np.uint8)
     h, (p, _), (several, _) = widen(raw), joined(group["packs"], np.int32), joined(group["several"], np.uint8)
     _, which, count = np.unique(h, return_inverse=True, return_counts=True)

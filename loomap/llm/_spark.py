@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,3 +39,11 @@ def split_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
     for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(x))[: len(cuts)].tolist(), strict=True):
         yield int(x[a]), order[a:b]
+
+
+def release() -> None:
+    """Gives back to the system what this Python worker has freed: workers are kept between tasks, and an executor's memory is theirs too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from loomap.llm._spark import release
+
 U64 = np.uint64
 #: Text bytes that one piece may hold (a longer document is a piece of its own).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,6 +100,7 @@ def pieces(batch: pa.RecordBatch, text: str, size: int = PIECE_BYTES) -> Iterato
         to = min(to, batch.num_rows)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, batch_of, entries, narrow, survivors, widen
-from loomap.llm._spark import blob, joined, parts_for, split_by, written
+from loomap.llm._spark import blob, joined, parts_for, release, split_by, written
 from loomap.llm._text import U64, Poly, covered, mix, pieces, spread, winnow
 
 SPAN = 50
@@ -253,6 +253,7 @@ def _fragments(span: int, gram: int, n_buckets: int, texts: pa.Table, alive: pa.
 
 def _answers(span: int, gram: int, group: pa.Table) -> pa.Table:
     """First documents of a bucket's fragments and of the strings in them."""
+    release()
     high, count = joined(group["high"], U64)
     pack = np.repeat(group["pack"].to_numpy(), count)
     anchor, low = widen(joined(group["anchors"], np.uint8)[0]), joined(group["low"], np.uint32)[0]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, batch_of, entries, run_argmin, survivors
-from loomap.llm._spark import blob, joined, parts_for, split_by, written
+from loomap.llm._spark import blob, joined, parts_for, release, split_by, written
 from loomap.llm._text import U64, Poly, covered, find_words, left_in_document, pieces, spread
 
 WINDOW = 13
@@ -133,6 +133,7 @@ def _last_level(window: int, first: int, before: int, n_buckets: int, texts: pa.
 
 def _firsts(group: pa.Table) -> pa.Table:
     """For each pack the windows of which it holds one that isn't the first, and the document that has them first."""
+    release()
     (h, n), s, d, several = joined(group["high"], U64), *(joined(group[k], t)[0] for k, t in (("low", np.uint32), ("docs", np.int64), ("several", np.uint8)))
     p = np.repeat(group["pack"].to_numpy(), n)
     order = np.lexsort((d, s, h))

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomap.llm._repeats import narrow, widen
-from loomap.llm._spark import blob, discard, joined, parts_for, split_by, text_bytes, written
+from loomap.llm._spark import blob, discard, joined, parts_for, release, split_by, text_bytes, written
 from loomap.llm._text import LOWER, U64, Poly, find_words, left_in_document, mix, pieces, spread
 from loomap.operators.graph import components
 
@@ -242,6 +242,7 @@ def _entries(shingle: int, percent: int, margin: float, n_buckets: int, turn: in
 
 def _group(group: pa.Table) -> pa.Table:
     """The groups of a bucket's equal signatures that have several entities, one of them probing."""
+    release()
     sig, name = (widen(joined(group[k], np.uint8)[0], SHORT) for k in ("signatures", "names"))
     flag = joined(group["flags"], np.uint8)[0]
     order = np.lexsort((255 - flag, name, sig))
@@ -272,6 +273,7 @@ def _appeals(n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 def _replies(group: pa.Table) -> pa.Table:
     """Which groups each entity doesn't probe, as far as its slack goes, the largest first; and how many others it meets in the rest."""
+    release()
     name, flag = widen(joined(group["names"], np.uint8)[0], SHORT), joined(group["flags"], np.uint8)[0]
     (count, per_row), place = joined(group["counts"], np.uint32), joined(group["places"], np.uint32)[0]
     bucket = np.repeat(group["bucket"].to_numpy(), per_row)
@@ -291,6 +293,7 @@ def _replies(group: pa.Table) -> pa.Table:
 
 def _probed(groups: pa.Table, replies: pa.Table) -> pa.Table:
     """The groups that are still probed, each with the member that meets most others first."""
+    release()
     out = []
     for row in groups.to_pylist():
         name, flag = widen(np.frombuffer(row["names"], np.uint8), SHORT), np.frombuffer(row["flags"], np.uint8)
@@ -352,6 +355,7 @@ INFO_SCHEMA = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("n
 
 def _info(members: pa.Table, labels: pa.Table) -> pa.Table:
     """What each bucket is told of a part of the entities: component so far, size and parities; in one row."""
+    release()
     name = labels["name"].to_numpy()
     order = np.argsort(name, kind="stable")
     name, (entity, root, size) = name[order], (labels[k].to_numpy()[order] for k in ("e", "root", "n"))
@@ -371,6 +375,7 @@ PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _rest(percent: int, groups: pa.Table, info: pa.Table) -> pa.Table:
     """The pairs of a bucket's groups still to be compared: in different components so far, and not ruled out by their parities."""
+    release()
     name, entity, root, size, length = (joined(info[k], np.int64)[0] for k in ("names", "entities", "roots", "sizes", "lengths"))
     ends = np.cumsum(length)
     raw = joined(info["sketches"], np.uint8)[0]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomap.llm._repeats import Packs
-from loomap.llm._spark import blob, joined, parts_for, split_by, written
+from loomap.llm._spark import blob, joined, parts_for, release, split_by, written
 from loomap.llm._text import LOWER, U64, WORD, Poly, find_words, pieces, spread
 from loomap.llm._tokens import Encoder
 from loomap.llm._vocab import TOKENIZERS
@@ -279,6 +279,7 @@ def _pair_counts(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _summed(group: pa.Table) -> pa.Table:
+    release()
     places, which = np.unique(joined(group["places"], np.int64)[0], return_inverse=True)
     counts = np.zeros(len(places), np.int64)
     np.add.at(counts, which, joined(group["counts"], np.int64)[0])
@@ -311,6 +312,7 @@ def learn(model: Model, ids: np.ndarray, first: np.ndarray, turn: int, rounds: i
 
 def _learn(shared, turn: int, rounds: int, steps: int, group: pa.Table) -> pa.Table:
     """A shard's change times its windows."""
+    release()
     shard, before = group["shard"][0].as_py(), shared.value
     after, n = learn(before, *cells_of(group["ids"]), turn, rounds, steps)
     change = np.concatenate([(after.p[k] - before.p[k]).ravel() for k in before.p]).astype(np.float64) * n
@@ -385,6 +387,7 @@ def _words(n_buckets: int, group: pa.Table) -> pa.Table:
 
 def _tell(group: pa.Table) -> pa.Table:
     """For each pack the counts of its words in all packs; in one of the rows the bucket's totals."""
+    release()
     words, per_row = joined(group["words"], U64)
     distinct, which = np.unique(words, return_inverse=True)
     counts = np.zeros(len(distinct), np.int64)
