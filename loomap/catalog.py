@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomap.plans import expressions, extra, maps, more, retrieval
+from loomap.plans import expressions, extra, maps, more, retrieval, upkeep
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES, **maps.QUERIES, **more.QUERIES, **extra.QUERIES, **retrieval.QUERIES}
-ORACLES: dict[str, str] = {**expressions.ORACLES, **maps.ORACLES, **more.ORACLES, **extra.ORACLES, **retrieval.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES, **maps.QUERIES, **more.QUERIES, **extra.QUERIES, **retrieval.QUERIES, **upkeep.QUERIES}
+ORACLES: dict[str, str] = {**expressions.ORACLES, **maps.ORACLES, **more.ORACLES, **extra.ORACLES, **retrieval.ORACLES, **upkeep.ORACLES}
