@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomap.runtime import written
+
 
 def fused_gaussians(objects: DataFrame, detections: DataFrame, floor: float = 1e-6) -> DataFrame:
     """Objects (id, w, mean m0..m2, variance v0..v2) with detections (id, m0..m2, v0..v2) folded in, weight 1 each.
@@ -49,6 +51,22 @@ def rank_fusion(ranks: DataFrame, key: Sequence[str], weights: dict[str, float],
     return ranks.groupBy(*key).agg(F.sum(w / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
+def global_ranks(rows: DataFrame, by: str, *order: Column) -> DataFrame:
+    """Rows with ``rank`` (from 1) within ``by``, of which there may be few with any number of rows.
+
+    The rows are sorted across partitions by range; a row's rank is its place in its partition and the counts of the partitions before, so no task
+    holds a whole group.  The sorted rows are written, as their partitions must not change between the two steps.
+    """
+    at = F.monotonically_increasing_id()
+    place = written(rows.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn("_at", at))
+    part, local = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = place.groupBy(part, by).agg(F.count("*").alias("_n"), F.min(local).alias("_low"))  # a row for each partition and group
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).drop("_n")
+    both = place.withColumn("_part", part).join(F.broadcast(offsets), ["_part", by])
+    return both.withColumn("rank", F.col("_before") + local - F.col("_low") + 1).select(*rows.columns, "rank")
+
+
 def rank_metrics(ranked: DataFrame, thresholds: Sequence[float] = (0.25, 0.5), tops: Sequence[int] = (1, 3, 5, 10)) -> list[Column]:
     """Aggregates over rows (first_rank by threshold r<t>, null if none): recall at k, mean reciprocal rank, hit rate."""
     out = [F.count("*").alias("n")]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from loomap.functions.math import Vec, c
+from loomap.runtime import written
 
 AXES = ("x", "y", "z")
 #: The packed covariance: pairs of axes.
@@ -49,7 +50,7 @@ def mean_features(rows: DataFrame, key: str, weight: Column, feature: str = "fea
 def scale_fit(pairs: DataFrame, key: str, rounds: int = 3, times: float = 2.0, least: int = 8) -> DataFrame:
     """(key, alpha, n_inliers, n_total, ok): metric = alpha * sparse through the origin, refitted on the pairs within ``times`` the median residual.
 
-    pairs: key, metric, sparse, w (weights).  A round is two aggregates by key; groups with too few pairs have alpha 1.
+    pairs: key, metric, sparse, w (weights).  A round is two aggregates by key, and a table in the shared folder; groups with too few pairs have alpha 1.
     """
     good = pairs.where("metric > 1e-6 and sparse > 1e-6 and abs(metric) < 1e300 and abs(sparse) < 1e300").withColumn("_in", F.lit(True))
     total = good.groupBy(key).agg(F.count("*").alias("n_total"))
@@ -64,6 +65,7 @@ def scale_fit(pairs: DataFrame, key: str, rounds: int = 3, times: float = 2.0, l
             good = good.withColumn("alpha", F.when(F.col("_go"), F.col("_alpha")).otherwise(F.lit(1.0)))
         middle = good.groupBy(key).agg(F.median(F.when(F.col("_in"), F.col("_r"))).alias("_m"))
         good = good.join(middle, key).withColumn("_in", F.when(F.col("_go"), F.col("_r") <= F.greatest(F.col("_m") * times, F.lit(1e-6))).otherwise(F.col("_in"))).drop("_go", "_alpha", "_r", "_m")
+        good = written(good)  # a round uses the pairs three times
     found = good.groupBy(key).agg(F.first("alpha").alias("alpha"), F.count(F.when(F.col("_in"), 1)).alias("n_inliers"))
     return found.join(total, key).withColumn("ok", (F.col("n_inliers") >= least) & (F.col("n_total") >= least))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomap.runtime import written
+from loomap.runtime import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,39 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct())
+        last, e = e, written(small.where("u <> v").distinct())
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
 
 
+def first_independent(conflicts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes (node) that a greedy choice in order keeps: each that no kept lesser node conflicts with.
+
+    conflicts: a < b (long).  In a round those are kept whose lesser neighbours are all dropped, and those dropped that a
+    kept one conflicts with; the rest, a table in the shared folder, goes into the next.
+    """
+    open_ = written(conflicts.select("a", "b").distinct())
+    kept = [written(nodes.join(open_.select(F.col("b").alias("node")), "node", "left_anti"))]
+    while not open_.isEmpty():
+        heads = open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")), "node", "left_anti")
+        gone = open_.join(heads.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        left = open_.join(gone.select(F.col("node").alias("b")), "b", "left_anti")
+        # what only dropped nodes stood against is free
+        free = left.join(gone.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
+        left = left.join(gone.select(F.col("node").alias("a")), "a", "left_anti")
+        now = written(left)
+        kept.append(written(free.distinct().join(now.select(F.col("b").alias("node")), "node", "left_anti")))
+        discard(open_)
+        open_ = now
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(source, node, hop): the nodes within ``hops`` undirected edges of each start node, with the least number of hops.
 
@@ -58,5 +84,6 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
         nxt = nxt.select("loser", F.coalesce("_w", "winner").alias("winner"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
-        now = written(nxt)
+        last, now = now, written(nxt)
+        discard(last)
     return now

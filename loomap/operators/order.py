@@ -1,49 +1,52 @@
 """Operators whose result depends on an order: greedy duplicates, one-to-one matches, temporal suppression, constrained merging.
 
-Each works on one group (an image, a scene, a query's answer) in a pandas function; groups are bounded by what one image or
-scene holds, and Spark deals the groups out.
+Greedy choices are made in rounds of joins, so no image or scene is one task.  Suppression works on a query's answer and
+merging on a component, each in a pandas function.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomap.operators.graph import first_independent
+from loomap.runtime import discard, written
 
 
 def unique_masks(detections: DataFrame, iou: float = 0.6) -> DataFrame:
     """Detections (image_id, det, score, x1 y1 x2 y2) without those that overlap a kept earlier one of the image too much."""
+    other = detections.select("image_id", *[F.col(c).alias(f"o_{c}") for c in ("det", "x1", "y1", "x2", "y2")])
+    pairs = detections.join(other, "image_id").where((F.col("det") < F.col("o_det")) & (_iou("", "o_") > iou))
+    kept = first_independent(pairs.select(F.col("det").alias("a"), F.col("o_det").alias("b")), detections.select(F.col("det").alias("node")))
+    return detections.join(kept.select(F.col("node").alias("det")), "det", "left_semi").select(*detections.columns)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for r in pdf.sort_values("det").itertuples(index=False):
-            if all(_iou(r, k) <= iou for k in rows):
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
 
-    return detections.groupBy("image_id").applyInPandas(keep, detections.schema)
-
-
-def _iou(a, b) -> float:
-    w, h = min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1)
-    both = w * h if w > 0 and h > 0 else 0.0
-    union = (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - both
-    return both / union if union > 0 else 0.0
+def _iou(p: str, q: str) -> Column:
+    v = lambda side, name: F.col(side + name)
+    both = F.greatest(F.lit(0.0), F.least(v(p, "x2"), v(q, "x2")) - F.greatest(v(p, "x1"), v(q, "x1"))) * F.greatest(F.lit(0.0), F.least(v(p, "y2"), v(q, "y2")) - F.greatest(v(p, "y1"), v(q, "y1")))
+    union = (v(p, "x2") - v(p, "x1")) * (v(p, "y2") - v(p, "y1")) + (v(q, "x2") - v(q, "x1")) * (v(q, "y2") - v(q, "y1")) - both
+    return F.when(union > 0, both / union).otherwise(0.0)
 
 
 def matched_runs(pairs: DataFrame) -> DataFrame:
-    """(scene, a, b, d): candidate pairs (within the distance) matched one to one; a in order, each takes its nearest free b."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for a, g in pdf.sort_values(["a", "d", "b"]).groupby("a", sort=True):
-            free = g[~g["b"].isin(used)]
-            if len(free):
-                best = free.iloc[0]
-                used.add(best["b"])
-                rows.append((best["scene"], a, best["b"], best["d"]))
-        return pd.DataFrame(rows, columns=["scene", "a", "b", "d"])
-
-    return pairs.groupBy("scene").applyInPandas(match, "scene long, a long, b long, d double")
+    """(scene, a, b, d): candidate pairs (within the distance) matched one to one; a in order, each takes its nearest free b.
+
+    In a round an a takes its nearest free b if no lesser a that is still open could take that b; then it is as the greedy order has it.
+    """
+    open_, found = written(pairs.select("scene", "a", "b", "d")), []
+    while not open_.isEmpty():
+        wish = open_.groupBy("scene", "a").agg(F.min(F.struct("d", "b")).alias("w")).select("scene", "a", F.col("w.b").alias("b"), F.col("w.d").alias("d"))
+        first = open_.groupBy("scene", "b").agg(F.min("a").alias("a"))
+        now = written(wish.join(first, ["scene", "a", "b"]))
+        found.append(now)
+        left = open_.join(now.select("scene", "a"), ["scene", "a"], "left_anti").join(now.select("scene", "b"), ["scene", "b"], "left_anti")
+        last, open_ = open_, written(left)
+        discard(last)
+    out = found[0] if found else open_
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("scene", "a", "b", "d")
 
 
 def suppressed_loops(pairs: DataFrame, apart: int = 10) -> DataFrame:

@@ -64,7 +64,7 @@ on_objects(
 )
 on_pairs("x08_distances", lambda: {"d": m.distance(S, A), "h": m.horizontal(S, A), "dz": m.height(S, A)}, {"d": "d", "h": "h", "dz": "dz"})
 on_pairs("x10_cosine", lambda: {"cos": m.cosine("feature", "a_feature")}, {"cos": "list_cosine_similarity(feature, a_feature)"})
-on_objects("x11_normalized", lambda: {"first": r6(m.normalized(F.slice("feature", 1, 8))[0]), "length": r6(m.norm(m.normalized(F.slice("feature", 1, 8))))}, {"first": "round(feature[1]/greatest(sqrt(list_dot_product(feature[1:8], feature[1:8])), 1e-12), 6)", "length": "round(1.0::DOUBLE, 6)"})
+on_objects("x11_normalized", lambda: {"first": r6(m.normalized("feature")[0]), "last": r6(m.normalized("feature")[63]), "length": r6(m.norm(m.normalized("feature")))}, {"first": "round(feature[1]/greatest(sqrt(list_dot_product(feature, feature)), 1e-12), 6)", "last": "round(feature[64]/greatest(sqrt(list_dot_product(feature, feature)), 1e-12), 6)", "length": "round(1.0::DOUBLE, 6)"})
 HELL = """CASE WHEN vx*vy*vz > 0 AND a_vx*a_vy*a_vz > 0 THEN 1-exp(ln(vx*vy*vz)/4+ln(a_vx*a_vy*a_vz)/4-ln((vx+a_vx)/2*(vy+a_vy)/2*(vz+a_vz)/2)/2
  -((x-a_x)*(x-a_x)/((vx+a_vx)/2)+(y-a_y)*(y-a_y)/((vy+a_vy)/2)+(z-a_z)*(z-a_z)/((vz+a_vz)/2))/8) ELSE 1 END"""
 on_pairs("x13_x14_gaussian_distances", lambda: {"hellinger2": m.hellinger2(S, COV, A, A_COV), "mahalanobis2": m.mahalanobis2(S, A, A_COV)}, {"hellinger2": HELL, "mahalanobis2": "(x-a_x)*(x-a_x)/(a_vx+1e-4)+(y-a_y)*(y-a_y)/(a_vy+1e-4)+(z-a_z)*(z-a_z)/(a_vz+1e-4)"})
@@ -97,7 +97,7 @@ on_objects(
 INTER = "*".join(f"greatest(0, least({v}+2.5*sqrt(greatest(v{v}, 1e-4)), a_{v}+2.5*sqrt(greatest(a_v{v}, 1e-4)))-greatest({v}-2.5*sqrt(greatest(v{v}, 1e-4)), a_{v}-2.5*sqrt(greatest(a_v{v}, 1e-4))))" for v in "xyz")
 VOL = "*".join("5*sqrt(greatest({0}v" + v + ", 1e-4))" for v in "xyz")
 on_pairs("x23_x25_boxes", lambda: {"volume": m.box_volume(m.gaussian_box(S, ("vx", "vy", "vz"))), "iou": m.box_iou(m.gaussian_box(S, ("vx", "vy", "vz")), m.gaussian_box(A, ("a_vx", "a_vy", "a_vz")))}, {"volume": VOL.format(""), "iou": f"CASE WHEN {INTER} > 0 THEN {INTER}/({VOL.format('')}+{VOL.format('a_')}-{INTER}) ELSE 0 END"})
-on_objects("x24_turned_box", lambda: {f"b{k}": r6(v) for k, v in enumerate(m.turned_box(S, ("vx", "vy", "vz"), "x")) if k in (0, 4)}, {"b0": "round(x-(vx*abs(cos(x))+vy*abs(sin(x)))/2, 6)", "b4": "round(y+(vx*abs(sin(x))+vy*abs(cos(x)))/2, 6)"})
+on_objects("x24_turned_box", lambda: {f"b{k}": r6(v) for k, v in enumerate(m.turned_box(S, ("vx", "vy", "vz"), "x"))}, {f"b{k}": f"round({v}, 6)" for k, v in enumerate(["x-(vx*abs(cos(x))+vy*abs(sin(x)))/2", "y-(vx*abs(sin(x))+vy*abs(cos(x)))/2", "z-vz/2", "x+(vx*abs(cos(x))+vy*abs(sin(x)))/2", "y+(vx*abs(sin(x))+vy*abs(cos(x)))/2", "z+vz/2"])})
 
 
 def x26_x33_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,22 +130,28 @@ on_pairs(
 
 
 def p06_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects between the pairs of the query set."""
+    """Objects between the asked pairs of anchors, each of the query set with the one after it; only those that score at all."""
     o = objects(spark, sf_dir)
     a = anchors(o).select("a_object_idx", "a_x", "a_y", "a_z")
     b = a.select(*[F.col(c).alias("b" + c[1:]) for c in a.columns])
-    both = a.join(b, F.col("a_object_idx") < F.col("b_object_idx"))
-    x = o.join(both, ~F.col("object_idx").isin(F.col("a_object_idx"), F.col("b_object_idx")))
+    both = a.join(b, F.col("a_object_idx") + 100 == F.col("b_object_idx"))
+    # the score is below 1e-7 six metres beside the line, and 0 a tenth beyond its ends
+    for v in "xy":
+        reach = 6 + 0.1 * F.abs(F.col(f"a_{v}") - F.col(f"b_{v}"))
+        both = both.withColumns({f"{v}1": F.least(f"a_{v}", f"b_{v}") - reach, f"{v}2": F.greatest(f"a_{v}", f"b_{v}") + reach})
+    put = both.withColumns({f"_{v}": F.explode(F.sequence(F.floor(F.col(f"{v}1") / 4).cast("long"), F.floor(F.col(f"{v}2") / 4).cast("long"))) for v in "x"}).withColumn("_y", F.explode(F.sequence(F.floor(F.col("y1") / 4).cast("long"), F.floor(F.col("y2") / 4).cast("long"))))
+    x = o.withColumns({f"_{v}": F.floor(F.col(v) / 4).cast("long") for v in "xy"}).join(put, ["_x", "_y"]).where(~F.col("object_idx").isin(F.col("a_object_idx"), F.col("b_object_idx")))
     B = ("b_x", "b_y", "b_z")
+    x = x.where(F.abs(p.between(S, A, B)) >= 1e-6)
     return x.select("object_idx", "a_object_idx", "b_object_idx", r6(p.between(S, A, B)).alias("score"), r6(p.between(S, A, B, True)).alias("clamped"))
 
 
 QUERIES["p06_j05_between"] = p06_between
 ORACLES["p06_j05_between"] = f"""WITH {OBJECTS_SQL}, t AS (SELECT o.object_idx, a.object_idx AS a_object_idx, b.object_idx AS b_object_idx, b.x-a.x AS dx, b.y-a.y AS dy, o.x-a.x AS px, o.y-a.y AS py
- FROM o, o a, o b WHERE a.object_idx % 100 = 0 AND b.object_idx % 100 = 0 AND a.object_idx < b.object_idx AND o.object_idx NOT IN (a.object_idx, b.object_idx)),
+ FROM o, o a, o b WHERE a.object_idx % 100 = 0 AND b.object_idx = a.object_idx + 100 AND o.object_idx NOT IN (a.object_idx, b.object_idx)),
  u AS (SELECT *, (px*dx+py*dy)/(dx*dx+dy*dy) AS t FROM t), w AS (SELECT *, (1-2*abs(t-0.5))*exp(-(pow(px-t*dx, 2)+pow(py-t*dy, 2))/2) AS s FROM u)
  SELECT object_idx, a_object_idx, b_object_idx, round(CASE WHEN sqrt(dx*dx+dy*dy) < 0.01 OR t < -0.1 OR t > 1.1 THEN 0 ELSE s END, 6) AS score,
- round(CASE WHEN sqrt(dx*dx+dy*dy) < 0.01 OR t < -0.1 OR t > 1.1 THEN 0 ELSE greatest(s, 0) END, 6) AS clamped FROM w"""
+ round(CASE WHEN sqrt(dx*dx+dy*dy) < 0.01 OR t < -0.1 OR t > 1.1 THEN 0 ELSE greatest(s, 0) END, 6) AS clamped FROM w WHERE sqrt(dx*dx+dy*dy) >= 0.01 AND t BETWEEN -0.1 AND 1.1 AND abs(s) >= 1e-6"""
 
 
 def p08_p10_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:

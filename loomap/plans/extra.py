@@ -70,11 +70,12 @@ def a08_voxel_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where("n <= 20").groupBy("class_id").agg(F.min("level").alias("level"))
 
 
-@query(f"""WITH {OBJECTS_SQL} SELECT class_id, round(min(floor(x/0.5)*0.5), 6) AS x1, round(max(floor(x/0.5)*0.5)+0.5, 6) AS x2, round(avg(floor(x/0.5)*0.5+0.25), 6) AS cx, round(var_pop(floor(x/0.5)*0.5+0.25), 6) AS vx FROM o GROUP BY class_id""")
+@query(f"""WITH {OBJECTS_SQL} SELECT class_id, round(min(floor(x/0.5)*0.5), 6) AS x1, round(max(floor(x/0.5)*0.5)+0.5, 6) AS x2, round(avg(floor(x/0.5)*0.5+0.25), 6) AS cx, round(var_pop(floor(x/0.5)*0.5+0.25), 6) AS vx, {', '.join(f'round(min(floor({a}/0.5)*0.5), 6) AS {a}1, round(max(floor({a}/0.5)*0.5)+0.5, 6) AS {a}2, round(avg(floor({a}/0.5)*0.5+0.25), 6) AS c{a}, round(var_pop(floor({a}/0.5)*0.5+0.25), 6) AS v{a}' for a in 'yz')} FROM o GROUP BY class_id""")
 def a09_a10_voxel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box, centre and population variance of an object's voxels."""
-    low = F.floor(F.col("x") / 0.5) * 0.5
-    return objects(spark, sf_dir).groupBy("class_id").agg(r6(F.min(low)).alias("x1"), r6(F.max(low) + 0.5).alias("x2"), r6(F.avg(low + 0.25)).alias("cx"), r6(F.var_pop(low + 0.25)).alias("vx"))
+    low = {a: F.floor(F.col(a) / 0.5) * 0.5 for a in S}
+    figures = [f for a, c in low.items() for f in (r6(F.min(c)).alias(f"{a}1"), r6(F.max(c) + 0.5).alias(f"{a}2"), r6(F.avg(c + 0.25)).alias(f"c{a}"), r6(F.var_pop(c + 0.25)).alias(f"v{a}"))]
+    return objects(spark, sf_dir).groupBy("class_id").agg(*figures)
 
 
 @query(f"""WITH {OBJECTS_SQL}, s AS (SELECT o.region_id, q.object_idx AS prompt, max(list_cosine_similarity(o.feature, q.feature)) AS s FROM o, o q WHERE q.object_idx % 100 = 0 GROUP BY ALL),
@@ -139,12 +140,12 @@ def a32_w14_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy())).select("bin", r6(F.col("upto") / F.col("total")).alias("share"))
 
 
-@query("""WITH d AS (SELECT c_custkey % 100 AS lm, c_custkey AS i, (c_custkey*2654435761) % 65536 AS h FROM customer), p AS (SELECT a.lm, a.i, bit_count(xor(a.h, b.h))::INT AS dist FROM d a JOIN d b ON a.lm = b.lm AND a.i <> b.i),
+@query("""WITH d AS (SELECT c_custkey // 20 AS lm, c_custkey AS i, (c_custkey*2654435761) % 65536 AS h FROM customer), p AS (SELECT a.lm, a.i, bit_count(xor(a.h, b.h))::INT AS dist FROM d a JOIN d b ON a.lm = b.lm AND a.i <> b.i),
  k AS (SELECT lm, i, quantile_disc(dist, 0.5) AS med FROM p GROUP BY ALL) SELECT lm, arg_min(i, med*1000000+i) AS i, min(med)::INT AS med FROM k GROUP BY lm""")
 def a39_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each landmark's descriptor with the least median Hamming distance to its others (some dozens of views each)."""
     k = F.col("c_custkey")
-    d = table(spark, sf_dir, "customer").select((k % 100).alias("lm"), k.alias("i"), (k * 2654435761 % 65536).alias("h"))
+    d = table(spark, sf_dir, "customer").select(F.floor(k / 20).alias("lm"), k.alias("i"), (k * 2654435761 % 65536).alias("h"))
     p = d.join(d.select("lm", F.col("i").alias("j"), F.col("h").alias("g")), "lm").where("i <> j").select("lm", "i", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("dist"))
     med = p.groupBy("lm", "i").agg(F.expr("percentile_disc(0.5) within group (order by dist)").cast("int").alias("med"))
     return med.groupBy("lm").agg(F.min_by("i", F.col("med") * 1000000 + F.col("i")).alias("i"), F.min("med").alias("med"))

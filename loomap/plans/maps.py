@@ -62,7 +62,10 @@ HELL = """(1-exp(ln(i.vx*i.vy*i.vz)/4+ln(j.vx*j.vy*j.vz)/4-ln((i.vx+j.vx)/2*(i.v
 def j01_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Association: similar features, one class, overlapping Gaussians; blocked by distance and class, the cheap test first."""
     o = objects(spark, sf_dir)
-    near = spatial.pairs_within(o, renamed(o.where("active"), "a_"), 2.0).where("object_idx <> a_object_idx and (class_id = a_class_id or class_id < 0)")
+    at = o.select("object_idx", *S, "class_id", "active")
+    near = spatial.pairs_within(at, renamed(at.where("active"), "a_"), 2.0).where("object_idx <> a_object_idx and (class_id = a_class_id or class_id < 0)").select("object_idx", "a_object_idx")
+    rest = o.select("object_idx", *S, "vx", "vy", "vz", "feature")
+    near = near.join(rest, "object_idx").join(renamed(rest, "a_"), "a_object_idx")
     h2 = m.hellinger2(S, ("vx", 0.0, 0.0, "vy", 0.0, "vz"), A, ("a_vx", 0.0, 0.0, "a_vy", 0.0, "a_vz"))
     return near.where(m.cosine("feature", "a_feature") > 0.15).withColumn("h2", h2).where("h2 < 0.95").select(F.col("object_idx").alias("i"), F.col("a_object_idx").alias("j"), r6(F.col("h2")).alias("h2"))
 
@@ -134,7 +137,7 @@ def a12_covisibility_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHANNELS = """c AS (SELECT o.object_idx, 'caption_target' AS channel, list_cosine_similarity(o.feature, q.feature) AS s FROM o, o q WHERE q.object_idx = 0
  UNION ALL SELECT o.object_idx, 'caption_raw', list_cosine_similarity(o.feature, q.feature) FROM o, o q WHERE q.object_idx = 1
- UNION ALL SELECT o.object_idx, 'siglip2', list_dot_product(o.feature[1:16], q.feature[1:16]) FROM o, o q WHERE q.object_idx = 0),
+ UNION ALL SELECT o.object_idx, 'siglip2', list_dot_product(o.feature, q.feature) FROM o, o q WHERE q.object_idx = 0),
  k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY round(s, 9) DESC, object_idx) AS rank FROM c),
  f AS (SELECT object_idx, sum(CASE channel WHEN 'caption_target' THEN 1.0 WHEN 'caption_raw' THEN 0.5 ELSE 0.75 END/(5.0+rank)) AS score FROM k GROUP BY object_idx)"""
 
@@ -146,10 +149,9 @@ def channel_ranks(o: DataFrame) -> DataFrame:
     parts = [
         base.join(q(0)).select("object_idx", F.lit("caption_target").alias("channel"), m.cosine("feature", "q").alias("s")),
         base.join(q(1)).select("object_idx", F.lit("caption_raw").alias("channel"), m.cosine("feature", "q").alias("s")),
-        base.join(q(0)).select("object_idx", F.lit("siglip2").alias("channel"), m.dot(F.slice("feature", 1, 16), F.slice("q", 1, 16)).alias("s")),
+        base.join(q(0)).select("object_idx", F.lit("siglip2").alias("channel"), m.dot("feature", "q").alias("s")),
     ]
-    rank = F.row_number().over(Window.partitionBy("channel").orderBy(F.round("s", 9).desc(), "object_idx"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("rank", rank)
+    return ag.global_ranks(parts[0].unionByName(parts[1]).unionByName(parts[2]), "channel", F.round("s", 9).desc(), F.col("object_idx"))
 
 
 WEIGHTS = {"caption_target": 1.0, "caption_raw": 0.5, "siglip2": 0.75, "qwen3_vl": 1.0}
@@ -191,10 +193,7 @@ def f12_j12_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = objects(spark, sf_dir)
     box = m.gaussian_box(S, ("vx", "vy", "vz"))
     b = o.where("object_idx % 100 = 0").select(*[c.alias(n) for c, n in zip(box, ("x1", "y1", "z1", "x2", "y2", "z2"), strict=True)])
-    inside = F.lit(True)
-    for v in "xyz":
-        inside &= F.col(v).between(F.col(f"{v}1"), F.col(f"{v}2"))
-    return o.join(b, inside, "left_anti").select("object_idx")
+    return spatial.outside(o, b, 2.0).select("object_idx")
 
 
 @query(f"WITH {OBJECTS_SQL} SELECT min(object_idx) AS object_idx, count(*) AS n, round(median(x), 6) AS mx, round(quantile_disc(y, 0.5), 6) AS my, round(var_pop(z), 6) AS vz FROM o GROUP BY floor(x/2), floor(y/2), floor(z/2)")
@@ -259,7 +258,7 @@ def j16_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DETECTIONS_SQL}, p AS (SELECT DISTINCT least(a.object, b.object) AS a, greatest(a.object, b.object) AS b FROM det a JOIN det b ON a.image_id = b.image_id AND a.object < b.object)
  SELECT a, b FROM p""")
 def g04_cannot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different objects of one image can't be the same; each image's objects are few."""
+    """Different objects of one image can't be the same; an image shows forty detections."""
     d = detections(spark, sf_dir).select("image_id", "object").distinct()
     return d.select("image_id", F.col("object").alias("a")).join(d.select("image_id", F.col("object").alias("b")), "image_id").where("a < b").select("a", "b").distinct()
 

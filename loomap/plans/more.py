@@ -40,10 +40,11 @@ def a15_two_modal_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OBJECTS_SQL}, c AS (SELECT object_idx, class_id, row_number() OVER (PARTITION BY class_id ORDER BY object_idx) AS n, feature FROM o)
  SELECT o.object_idx, round(max(list_cosine_similarity(o.feature, c.feature)), 6) AS best, max_by(c.class_id, round(list_cosine_similarity(o.feature, c.feature), 9)*1000000 - c.class_id) AS class_id FROM o, c WHERE c.n = 1 GROUP BY o.object_idx""")
 def j27_class_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each object's best class by similarity to a prototype, the class's first object; classes are a vocabulary of checked size."""
+    """Each object's best class by similarity to a prototype, the class's first object; a vocabulary of checked size is broadcast."""
     o = objects(spark, sf_dir)
     c = o.groupBy("class_id").agg(F.min_by("feature", "object_idx").alias("proto")).withColumnRenamed("class_id", "c")
     s = m.cosine("feature", "proto")
+    c = F.broadcast(c) if c.count() <= 10_000 else c
     x = o.join(c).withColumn("s", s)
     return x.groupBy("object_idx").agg(F.round(F.max("s"), 6).alias("best"), F.max_by("c", F.round("s", 9) * 1000000 - F.col("c")).alias("class_id"))
 
@@ -119,14 +120,22 @@ def j24_frame_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(k, F.col("lo") <= F.col("f")).groupBy("event_id").agg(F.max("i").cast("long").alias("chunk"))
 
 
-@query(f"""WITH {OBJECTS_SQL}, d AS (SELECT p.object_idx, min({DIST.format('p', 'q')}) AS d FROM o p, o q WHERE p.object_idx % 2 = 0 AND q.object_idx % 2 = 1 GROUP BY 1)
- SELECT count(*) AS n, round(avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS precision, count(*) FILTER (d <= 0.5) AS hits FROM d""")
+NEAREST = "(SELECT p.object_idx, p.object_idx % 2 AS side, min({d}) AS d FROM o p, o q WHERE p.object_idx % 2 <> q.object_idx % 2 GROUP BY 1, 2)".replace("{d}", DIST.format("p", "q"))
+
+
+@query(f"""WITH {OBJECTS_SQL}, d AS {NEAREST}, s AS (SELECT count(*) FILTER (side = 0) AS n, avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (side = 0) AS p, avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (side = 1) AS r, avg(least(d, 2)) FILTER (side = 0) AS acc, avg(least(d, 2)) FILTER (side = 1) AS com FROM d)
+ SELECT n, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p+r > 0 THEN 2*p*r/(p+r) ELSE 0 END, 6) AS f_score, round(acc, 6) AS accuracy, round(com, 6) AS completeness FROM s""")
 def j22_cloud_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of one cloud's points that have a point of the other within half a metre, through the grid."""
+    """Two clouds: the share of each one's points that have a point of the other within half a metre, and the mean distances (cut at two metres), through the grid."""
     o = objects(spark, sf_dir).select("object_idx", *S)
-    a, b = o.where("object_idx % 2 = 0"), o.where("object_idx % 2 = 1")
-    near = spatial.pairs_within(a, renamed(b, "a_"), 0.5).select("object_idx").distinct().withColumn("hit", F.lit(1))
-    return a.join(near, "object_idx", "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("hit").cast("double"), F.lit(0.0))), 6).alias("precision"), F.count("hit").alias("hits"))
+    near = spatial.pairs_within(o, renamed(o, "a_"), 2.0).where("object_idx % 2 <> a_object_idx % 2").groupBy("object_idx").agg(F.min("d").alias("d"))
+    d = o.join(near, "object_idx", "left").select((F.col("object_idx") % 2).alias("side"), F.least(F.coalesce("d", F.lit(2.0)), F.lit(2.0)).alias("d"))
+    of = lambda side, c: F.avg(F.when(F.col("side") == side, c))
+    hit = F.when(F.col("d") <= 0.5, 1.0).otherwise(0.0)
+    p, r = of(0, hit), of(1, hit)
+    s = d.agg(F.count(F.when(F.col("side") == 0, 1)).alias("n"), p.alias("p"), r.alias("r"), of(0, F.col("d")).alias("acc"), of(1, F.col("d")).alias("com"))
+    f = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return s.select("n", r6(F.col("p")).alias("precision"), r6(F.col("r")).alias("recall"), r6(f).alias("f_score"), r6(F.col("acc")).alias("accuracy"), r6(F.col("com")).alias("completeness"))
 
 
 @query(f"""WITH {OBJECTS_SQL}, k AS (SELECT i.object_idx AS i, j.object_idx AS j, {DIST.format('i', 'j')} AS d, row_number() OVER (PARTITION BY i.object_idx ORDER BY {DIST.format('i', 'j')}, j.object_idx) AS n FROM o i, o j WHERE i.object_idx <> j.object_idx AND {DIST.format('i', 'j')} <= 2),
@@ -158,21 +167,21 @@ def f04_mask_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections without those that overlap an earlier one of their image too much."""
     d = detections(spark, sf_dir)
     u, v = F.col("det") % 40, F.col("det") % 30
-    return order.unique_masks(d.select("image_id", "det", "score", *[c.cast("double").alias(n) for c, n in ((u, "x1"), (v, "y1"), (u + 60, "x2"), (v + 60, "y2"))]))
+    return order.unique_masks(d.select(F.floor(F.col("det") / 40).alias("image_id"), "det", "score", *[c.cast("double").alias(n) for c, n in ((u, "x1"), (v, "y1"), (u + 60, "x2"), (v + 60, "y2"))]))
 
 
 @query()
 def j14_matched_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects of one run matched to those of another, one to one, by region."""
-    o = objects(spark, sf_dir)
-    near = spatial.pairs_within(o.where("object_idx % 2 = 0"), renamed(o.where("object_idx % 2 = 1"), "a_"), 2.0).where("region_id % 5 = a_region_id % 5")
-    return order.matched_runs(near.select((F.col("region_id") % 5).cast("long").alias("scene"), F.col("object_idx").alias("a"), F.col("a_object_idx").alias("b"), "d"))
+    """Objects of one run matched to those of another, one to one, in scenes of a hundred."""
+    o = objects(spark, sf_dir).select("object_idx", *S, F.floor(F.col("object_idx") / 100).alias("scene"))
+    near = spatial.pairs_within(o.where("object_idx % 2 = 0"), renamed(o.where("object_idx % 2 = 1"), "a_"), 2.0).where("scene = a_scene")
+    return order.matched_runs(near.select("scene", F.col("object_idx").alias("a"), F.col("a_object_idx").alias("b"), "d"))
 
 
 @query()
 def g01_constrained_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects merged along close pairs, never joining two that can't be the same (same class and region here)."""
-    o = objects(spark, sf_dir)
+    o = objects(spark, sf_dir).select("object_idx", *S, "class_id", "region_id")
     near = spatial.pairs_within(o, renamed(o, "a_"), 0.5).where("object_idx < a_object_idx").select(F.col("object_idx").alias("a"), F.col("a_object_idx").alias("b"), ((F.col("class_id") == F.col("a_class_id")) & (F.col("region_id") == F.col("a_region_id"))).alias("forbidden"))
     comp = graph.components(near.select("a", "b"))
     return order.constrained_merge(near.join(comp, F.col("a") == F.col("node")).select(F.col("root").alias("component"), "a", "b", "forbidden")).select("node", "root")

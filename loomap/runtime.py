@@ -11,12 +11,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found is None and current.isDefined():
         return current.get()
-    found = found or tempfile.mkdtemp(prefix="loomap-")
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="loomap-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -25,16 +28,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, and read it back.
 
-    What the job shuffled is removed when it ends, as the table is all that is read later.
+    What a job shuffled is removed when it ends, as the table is all that is read later: the first call sets this for the session.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/loomap-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    if spark.conf.get(CLEANUP, "false") != "true":
+        spark.conf.set(CLEANUP, "true")
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

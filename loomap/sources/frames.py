@@ -33,8 +33,11 @@ def frames(spark: SparkSession, path: str, cameras: list[str] | None = None, str
 
 
 def write_frames(df: DataFrame, path: str) -> None:
-    """The index's rows as JSON lines, one part for each task."""
-    df.write.json(path)
+    """An index as one document that frames() reads, in the second dialect; it is one document by its format, and holds a row for each frame only."""
+    rows = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / F.sqrt(F.size(c).cast("double"))).cast("int") - 1), lambda i: F.slice(c, i * F.sqrt(F.size(c).cast("double")).cast("int") + 1, F.sqrt(F.size(c).cast("double")).cast("int")))  # noqa: E731  a square matrix by rows
+    f = df.select("frame_id", "camera", F.struct("camera", "frame_id", "rgb_path", "depth_path", rows("K").alias("K"), rows("T_world_cam").alias("T_world_cam"), F.col("stamp_ns").alias("timestamp_ns")).alias("f"))
+    whole = f.agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_id", "camera", "f"))), lambda x: x["f"]).alias("frames"))
+    whole.select(F.to_json(F.struct("frames")).alias("value")).coalesce(1).write.text(path)
 
 
 def truth(c: Column) -> Column:

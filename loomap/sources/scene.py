@@ -45,13 +45,13 @@ PAIRS_SQL = f"""WITH {OBJECTS_SQL}, p AS (SELECT o.*, a.object_idx AS a_object_i
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """det, image_id (user and day), object (user), day, class, score, pixels, ts."""
+    """det, image_id (forty events one after another), object (user), day, class, score, pixels, ts."""
     e = table(spark, sf_dir, "events")
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    return e.select(F.col("event_id").alias("det"), (F.col("user_id") % 37 * 100 + day).cast("long").alias("image_id"), F.col("user_id").alias("object"), day.cast("int").alias("day"), F.col("event_type").alias("class"), F.col("value").alias("score"), (F.col("event_id") % 3000).cast("long").alias("pixels"), "ts")
+    return e.select(F.col("event_id").alias("det"), F.floor(F.col("event_id") / 40).alias("image_id"), F.col("user_id").alias("object"), day.cast("int").alias("day"), F.col("event_type").alias("class"), F.col("value").alias("score"), (F.col("event_id") % 3000).cast("long").alias("pixels"), "ts")
 
 
-DETECTIONS_SQL = """det AS (SELECT event_id AS det, (user_id % 37 * 100 + date_diff('day', DATE '2024-01-01', ts::DATE))::BIGINT AS image_id, user_id AS object,
+DETECTIONS_SQL = """det AS (SELECT event_id AS det, event_id // 40 AS image_id, user_id AS object,
   date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS day, event_type AS class, value AS score, (event_id % 3000)::BIGINT AS pixels, ts FROM events)"""
 
 
