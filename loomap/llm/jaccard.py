@@ -569,7 +569,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     rows = written(rows)
     least = rows.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "entity", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key"), F.lit(True).alias("_kept"))
     rows = written(rows.join(least, "row_key", "left").select(F.col("row_key").alias("_row"), "_kept", "count").where("_kept is null or count > 1"))
-    keyed = docs.withColumn("_row", key)
+    # the rows go along whole in one struct, so no column of docs clashes with a name used here
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), key.alias("_row"))
     once = keyed.join(rows.select("_row"), "_row", "left_anti")
     repeated = keyed.join(rows.where("_kept").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
-    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(repeated).select("_whole.*")
