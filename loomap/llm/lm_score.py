@@ -1,9 +1,9 @@
 """Language-model scores of documents: a causal self-attention model in numpy over subword ids.
 
-Texts are lower-cased (A-Z) and cut into ids of a public vocabulary, with one end id.  The distribution of the next id has two levels.
-Classes of ids (the OWN most frequent ids are classes of their own, the others share classes by frequency) come from
-a softmax; an id's share in its class depends on the class of the id before.  The softmax starts from the counts of classes after the id before;
-one attention layer over the last ids adds to it.  Its inputs, the vectors of the ids, are the principal components of
+Texts are lower-cased (A-Z) and cut into ids of a public vocabulary, with one end id.  The distribution of the next id has three levels:
+a softmax over GROUPS of classes, one over the EACH classes of the group, and an id's share in its class by the class of the id
+before.  The OWN most frequent ids are classes of their own, the others share classes by frequency.  Both softmaxes start from the counts of classes after the id before;
+one attention layer over the last ids adds to them.  Its inputs, the vectors of the ids, are the principal components of
 these counts.  A text is read in windows of WINDOW ids, STEP apart; every id is scored in one window, with
 at least WINDOW - STEP ids before it unless the text begins later.  Windows of many texts are scored together, with the
 causal mask.
@@ -41,7 +41,9 @@ from loomap.llm._vocab import TOKENIZERS
 
 FOLDS, HELD_OUT = 10, 0
 WINDOW, STEP = 24, 18
-WIDTH, HIDDEN, CLASSES, OWN = 12, 24, 128, 112
+WIDTH, HIDDEN = 12, 24
+GROUPS, EACH = 16, 16
+CLASSES, OWN = GROUPS * EACH, 224
 END = 50256
 IDS = END + 1
 BATCH, STEPS, ROUNDS = 128, 400, 3
@@ -122,7 +124,9 @@ class Model:
         by_class = (both + TRUST_CLASS * mass) / (both.sum(1, keepdims=True) + TRUST_CLASS)
         total = after_ids.sum(1, keepdims=True)
         after = (after_ids + TRUST_PREVIOUS * by_class[group]) / (total + TRUST_PREVIOUS)
-        self.start = np.log(after).astype(np.float32)
+        grouped = after.reshape(c.n, GROUPS, EACH)
+        self.start = np.log(grouped.sum(2)).astype(np.float32)
+        self.inside = np.log(grouped).astype(np.float16)
         apart = (after - mass) / np.sqrt(mass)
         weight = np.sqrt(total + 1)
         axes = np.linalg.eigh((apart * weight).T @ (apart * weight))[1][:, ::-1][:, :WIDTH]
@@ -131,15 +135,14 @@ class Model:
         self.vector = np.clip(vector / scale, -4, 4).astype(np.float32)
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"near": np.zeros(WINDOW, np.float32), "qkv": draw(WIDTH, 3 * WIDTH), "mixed": draw(WIDTH, HIDDEN), "direct": draw(WIDTH, HIDDEN), "bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN, CLASSES) * np.float32(0.1), "prior": np.zeros(CLASSES, np.float32)}
+        self.p = {"near": np.zeros(WINDOW, np.float32), "qkv": draw(WIDTH, 3 * WIDTH), "mixed": draw(WIDTH, HIDDEN), "direct": draw(WIDTH, HIDDEN), "bias": np.zeros(HIDDEN, np.float32), "group": draw(HIDDEN, GROUPS) * np.float32(0.1), "prior": np.zeros(GROUPS, np.float32), "class": draw(HIDDEN, CLASSES).reshape(HIDDEN, GROUPS, EACH).transpose(1, 0, 2).copy() * np.float32(0.1), "shift": np.zeros((GROUPS, EACH), np.float32)}
         self.back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
         self.mask = np.where(self.back < 0, -1e9, 0).astype(np.float32)
 
-    def forward(self, inputs: np.ndarray):
-        """Values of the layer and class logits for windows of ids (known ids, one row a window)."""
+    def hidden(self, inputs: np.ndarray):
+        """Values of the layer for windows of ids (known ids, one row a window)."""
         p, w = self.p, len(inputs)
-        flat = inputs.reshape(-1)
-        x = self.vector[flat]
+        x = self.vector[inputs.reshape(-1)]
         q, k, v = (y.reshape(w, WINDOW, WIDTH) for y in np.split(x @ p["qkv"], 3, axis=1))
         a = q @ k.transpose(0, 2, 1)
         a *= a.dtype.type(WIDTH**-0.5)
@@ -147,43 +150,69 @@ class Model:
         np.exp(np.minimum(a, 30, out=a), out=a)
         a /= a.sum(2, keepdims=True)
         m = (a @ v).reshape(-1, WIDTH)
-        h = np.maximum(m @ p["mixed"] + x @ p["direct"] + p["bias"], 0)
-        z = h @ p["out"]
-        z += self.start[flat]
-        z += p["prior"]
-        return x, q, k, v, a, m, h, z
+        return x, q, k, v, a, m, np.maximum(m @ p["mixed"] + x @ p["direct"] + p["bias"], 0)
+
+    def outputs(self, h: np.ndarray, known: np.ndarray, target: np.ndarray):
+        """For places sorted by their target's group: exponentials over the groups and over the classes of that group, and the groups' bounds.
 
-    def log10(self, inputs: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of ids (one row a window) after the inputs (known ids) and the classes of the ids before."""
-        z = self.forward(inputs)[-1]
-        target, c, g = ids.ravel(), self.classes, before.ravel()
+        ``known``: the ids before; ``target``: classes.
+        """
+        p, group = self.p, target // EACH
+        z = h @ p["group"]
+        z += self.start[known]
+        z += p["prior"]
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
+        y = self.inside[known, group].astype(z.dtype)
+        y += p["shift"][group]
+        for g in range(GROUPS):
+            at = slice(ends[g], ends[g + 1])
+            y[at] += h[at] @ p["class"][g]
+        return np.exp(np.minimum(z, 60, out=z), out=z), np.exp(np.minimum(y, 60, out=y), out=y), ends
+
+    def log10(self, inputs: np.ndarray, before: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the scored ids (one row a window; 0 elsewhere) after the inputs (known ids) and the classes of the ids before."""
+        c, at = self.classes, np.flatnonzero(scored.ravel())
+        target = ids.ravel()[at]
         group = c.group[target]
-        top = z[np.arange(len(z)), group]
-        np.exp(np.minimum(z, 80, out=z), out=z)
+        order = np.argsort(group, kind="stable")
+        at, target, group = at[order], target[order], group[order]
+        z, y, _ = self.outputs(self.hidden(inputs)[-1][at], inputs.ravel()[at], group)
+        g, rows = before.ravel()[at], np.arange(len(at))
         share = (self.after_classes[g, c.known[target]] + np.float32(TRUST_SHARE) * c.share[target]) / (self.both[g, group] + np.float32(TRUST_SHARE))
-        return ((np.minimum(top, 80) - np.log(z.sum(1)) + np.log(share)) / np.log(10)).reshape(ids.shape)
+        out = np.zeros(ids.size)
+        out[at] = np.log10(z[rows, group // EACH] / z.sum(1)) + np.log10(y[rows, group % EACH] / y.sum(1)) + np.log10(share)
+        return out.reshape(ids.shape)
 
     def gradients(self, inputs: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean class loss over the scored places (target: classes), and its gradients."""
-        p = self.p
-        x, q, k, v, a, m, h, z = self.forward(inputs)
-        rows, target = np.arange(len(z)), target.ravel()
-        top = z[rows, target]
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        total = z.sum(1)
-        weight = (scored.ravel() / scored.sum()).astype(z.dtype)
-        loss = float(((np.log(total) - top) * weight).sum())
-        z *= (weight / total)[:, None]
-        z[rows, target] -= weight
-        dh = z @ p["out"].T
-        dh *= h > 0
-        g = {"out": h.T @ z, "prior": z.sum(0), "mixed": m.T @ dh, "direct": x.T @ dh, "bias": dh.sum(0)}
-        dm = (dh @ p["mixed"].T).reshape(q.shape)
+        p, at = self.p, np.flatnonzero(scored.ravel())
+        target = target.ravel()[at]
+        order = np.argsort(target // EACH, kind="stable")
+        at, target = at[order], target[order]
+        x, q, k, v, a, m, every = self.hidden(inputs)
+        h = every[at]
+        z, y, ends = self.outputs(h, inputs.ravel()[at], target)
+        rows, loss = np.arange(len(at)), 0.0
+        for e, t in ((z, target // EACH), (y, target % EACH)):
+            e /= e.sum(1, keepdims=True)
+            loss -= float(np.log(e[rows, t]).sum()) / len(at)
+            e[rows, t] -= 1
+            e *= e.dtype.type(1 / len(at))
+        g = {"group": h.T @ z, "prior": z.sum(0), "class": np.zeros_like(p["class"]), "shift": np.zeros_like(p["shift"])}
+        dh = z @ p["group"].T
+        for i in range(GROUPS):
+            part = slice(ends[i], ends[i + 1])
+            g["class"][i], g["shift"][i] = h[part].T @ y[part], y[part].sum(0)
+            dh[part] += y[part] @ p["class"][i].T
+        back = np.zeros_like(every)
+        back[at] = dh * (h > 0)
+        g |= {"mixed": m.T @ back, "direct": x.T @ back, "bias": back.sum(0)}
+        dm = (back @ p["mixed"].T).reshape(q.shape)
         da = dm @ v.transpose(0, 2, 1)
         da -= (da * a).sum(2, keepdims=True)
         da *= a
-        g["near"] = np.bincount(np.maximum(self.back, 0).ravel(), da.sum(0).ravel(), WINDOW).astype(z.dtype)
-        da *= z.dtype.type(WIDTH**-0.5)
+        g["near"] = np.bincount(np.maximum(self.back, 0).ravel(), da.sum(0).ravel(), WINDOW).astype(every.dtype)
+        da *= every.dtype.type(WIDTH**-0.5)
         g["qkv"] = x.T @ np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], axis=2).reshape(-1, 3 * WIDTH)
         return loss, g
 
@@ -216,8 +245,7 @@ def score_ids(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     for i in range(0, len(windows[0]), BLOCK):
         part = tuple(x[i : i + BLOCK] for x in windows)
         before, target, scored = rows_of(ids, first, part)
-        p = model.log10(model.classes.known[before], model.classes.group[before], target)
-        out += np.bincount(part[0], np.where(scored, p, 0).sum(1), len(out))
+        out += np.bincount(part[0], model.log10(model.classes.known[before], model.classes.group[before], target, scored).sum(1), len(out))
     return out
 
 
@@ -267,14 +295,13 @@ def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pair_counts(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes after ids (part 0), and ids after classes (part 1)."""
     classes = shared.value
-    counts = np.zeros((2, classes.n * CLASSES), np.int64)
+    counts = np.zeros((2, classes.n * CLASSES), np.int32)
     for batch in batches:
         ids, first = cells_of(batch.column(0))
         before = np.concatenate([[END], ids[:-1]])[: len(ids)]
         before[first[:-1]] = END
         for part, places in zip(counts, classes.places(before, ids), strict=True):
-            used, times = np.unique(places, return_counts=True)
-            part[used] += times
+            np.add.at(part, places, 1)
     yield pa.RecordBatch.from_pylist(_sliced(counts[0], 0) + _sliced(counts[1], 1), schema=COUNT_SCHEMA)
 
 
@@ -288,7 +315,7 @@ def _summed(group: pa.Table) -> pa.Table:
 
 def gathered(rows: DataFrame, parts: int, size: int) -> np.ndarray:
     """The sums of a bounded number of counts: at most ``size`` for each part, whatever the input."""
-    out = np.zeros((parts, size))
+    out = np.zeros((parts, size), np.float32)
     for row in rows.groupBy("part").applyInArrow(lambda group: _summed(group), COUNTS).collect():
         out[row["part"] // SLICES, np.frombuffer(row["places"], np.int64)] = np.frombuffer(row["counts"], np.int64)
     return out

@@ -66,8 +66,8 @@ def test_every_id_is_scored_once():
     windows = lm_score.windows_of(first)
     before, target, scored = lm_score.rows_of(ids, first, windows)
     assert np.bincount(windows[0], scored.sum(1)).tolist() == np.diff(first).tolist()
-    p = m.log10(m.classes.known[before], m.classes.group[before], target)
-    assert np.allclose(lm_score.score_ids(m, ids, first), np.bincount(windows[0], np.where(scored, p, 0).sum(1)))
+    p = m.log10(m.classes.known[before], m.classes.group[before], target, scored)
+    assert (p[~scored] == 0).all() and np.allclose(lm_score.score_ids(m, ids, first), np.bincount(windows[0], p.sum(1)))
 
 
 def test_scores_against_a_plain_forward_pass():
@@ -84,10 +84,12 @@ def test_scores_against_a_plain_forward_pass():
             q, k, v = np.split(x @ p["qkv"], 3, axis=1)
             e = np.exp([q[-1] @ k[i] / math.sqrt(lm_score.WIDTH) + p["near"][len(x) - 1 - i] for i in range(len(x))])
             h = np.maximum((e / e.sum()) @ v @ p["mixed"] + x[-1] @ p["direct"] + p["bias"], 0)
-            z = np.exp(h @ p["out"] + m.start[c.known[text[t]]] + p["prior"])
             g, k = c.group[text[t]], c.group[text[t + 1]]
+            top, low = divmod(int(k), lm_score.EACH)
+            z = np.exp(h @ p["group"] + m.start[c.known[text[t]]] + p["prior"])
+            y = np.exp(h @ p["class"][top] + m.inside[c.known[text[t]], top].astype(float) + p["shift"][top])
             share = (m.after_classes[g, c.known[text[t + 1]]] + 6 * c.share[text[t + 1]]) / (m.both[g, k] + 6)
-            total += math.log10(z[k] / z.sum() * share)
+            total += math.log10(z[top] / z.sum() * y[low] / y.sum() * share)
         want.append(total)
     assert np.allclose(lm_score.score_ids(m, ids, first), want, rtol=1e-4)
 
@@ -96,7 +98,7 @@ def test_probabilities_sum_to_one():
     m = model()
     every = np.repeat(np.arange(lm_score.IDS)[:, None], lm_score.WINDOW, 1)
     before = np.full(every.shape, 6)
-    total = sum((10 ** m.log10(m.classes.known[before[i : i + 4096]], m.classes.group[before[i : i + 4096]], every[i : i + 4096])[:, 3]).sum() for i in range(0, lm_score.IDS, 4096))
+    total = sum((10 ** m.log10(m.classes.known[before[i : i + 4096]], m.classes.group[before[i : i + 4096]], every[i : i + 4096], every[i : i + 4096] >= 0)[:, 3]).sum() for i in range(0, lm_score.IDS, 4096))
     assert abs(total - 1) < 1e-3
 
 
@@ -105,14 +107,14 @@ def test_later_ids_change_nothing():
     a = np.ones((1, lm_score.WINDOW), np.int64)
     b = a.copy()
     b[0, 10:] = 3
-    x, y = (m.log10(i, np.zeros_like(i), np.full((1, lm_score.WINDOW), 6)) for i in (a, b))
+    x, y = (m.log10(i, np.zeros_like(i), np.full((1, lm_score.WINDOW), 6), np.ones((1, lm_score.WINDOW), bool)) for i in (a, b))
     assert np.allclose(x[0, :10], y[0, :10]) and not np.allclose(x[0, 10:], y[0, 10:])
 
 
 def test_gradients():
     m = model()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    m.mask, m.vector, m.start = (x.astype(np.float64) for x in (m.mask, m.vector, m.start))
+    m.mask, m.vector, m.start, m.inside = (x.astype(np.float64) for x in (m.mask, m.vector, m.start, m.inside))
     rng = np.random.default_rng(2)
     inputs, target = rng.integers(0, 6, (3, lm_score.WINDOW)), rng.integers(0, lm_score.CLASSES, (3, lm_score.WINDOW))
     scored = rng.random((3, lm_score.WINDOW)) < 0.7
