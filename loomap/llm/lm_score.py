@@ -126,7 +126,7 @@ class Model:
         after = (after_ids + TRUST_PREVIOUS * by_class[group]) / (total + TRUST_PREVIOUS)
         grouped = after.reshape(c.n, GROUPS, EACH)
         self.start = np.log(grouped.sum(2)).astype(np.float32)
-        self.inside = np.log(grouped).astype(np.float16)
+        self.inside = np.log(grouped).astype(np.float32).reshape(-1, EACH)
         apart = (after - mass) / np.sqrt(mass)
         weight = np.sqrt(total + 1)
         axes = np.linalg.eigh((apart * weight).T @ (apart * weight))[1][:, ::-1][:, :WIDTH]
@@ -142,7 +142,7 @@ class Model:
     def hidden(self, inputs: np.ndarray):
         """Values of the layer for windows of ids (known ids, one row a window)."""
         p, w = self.p, len(inputs)
-        x = self.vector[inputs.reshape(-1)]
+        x = np.take(self.vector, inputs.reshape(-1), axis=0)
         q, k, v = (y.reshape(w, WINDOW, WIDTH) for y in np.split(x @ p["qkv"], 3, axis=1))
         a = q @ k.transpose(0, 2, 1)
         a *= a.dtype.type(WIDTH**-0.5)
@@ -159,14 +159,13 @@ class Model:
         """
         p, group = self.p, target // EACH
         z = h @ p["group"]
-        z += self.start[known]
+        z += np.take(self.start, known, axis=0)
         z += p["prior"]
         ends = np.searchsorted(group, np.arange(GROUPS + 1))
-        y = self.inside[known, group].astype(z.dtype)
-        y += p["shift"][group]
+        y = np.take(self.inside, known * GROUPS + group, axis=0)
         for g in range(GROUPS):
             at = slice(ends[g], ends[g + 1])
-            y[at] += h[at] @ p["class"][g]
+            y[at] += h[at] @ p["class"][g] + p["shift"][g]
         return np.exp(np.minimum(z, 60, out=z), out=z), np.exp(np.minimum(y, 60, out=y), out=y), ends
 
     def log10(self, inputs: np.ndarray, before: np.ndarray, ids: np.ndarray, scored: np.ndarray) -> np.ndarray:
@@ -180,7 +179,7 @@ class Model:
         g, rows = before.ravel()[at], np.arange(len(at))
         share = (self.after_classes[g, c.known[target]] + np.float32(TRUST_SHARE) * c.share[target]) / (self.both[g, group] + np.float32(TRUST_SHARE))
         out = np.zeros(ids.size)
-        out[at] = np.log10(z[rows, group // EACH] / z.sum(1)) + np.log10(y[rows, group % EACH] / y.sum(1)) + np.log10(share)
+        out[at] = np.log(z[rows, group // EACH] / z.sum(1) * (y[rows, group % EACH] / y.sum(1)) * share) / np.log(10)
         return out.reshape(ids.shape)
 
     def gradients(self, inputs: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -262,7 +261,7 @@ def _ids(n_shards: int, rounds: int, vocabulary: str, folder: str, batches: Iter
     encoder = Encoder(vocabulary, folder)
     rng = np.random.default_rng(TaskContext.get().partitionId())  # a task that is run again deals as before
     for batch in batches:
-        for piece, raw, offsets in pieces(batch, "text"):
+        for piece, raw, offsets in pieces(batch, "text", 4 << 20):
             data = LOWER[raw]
             words = np.diff(find_words(data, offsets)[2])
             ids, first = with_ends(encoder, data, offsets)

@@ -87,7 +87,7 @@ def test_scores_against_a_plain_forward_pass():
             g, k = c.group[text[t]], c.group[text[t + 1]]
             top, low = divmod(int(k), lm_score.EACH)
             z = np.exp(h @ p["group"] + m.start[c.known[text[t]]] + p["prior"])
-            y = np.exp(h @ p["class"][top] + m.inside[c.known[text[t]], top].astype(float) + p["shift"][top])
+            y = np.exp(h @ p["class"][top] + m.inside[c.known[text[t]] * lm_score.GROUPS + top] + p["shift"][top])
             share = (m.after_classes[g, c.known[text[t + 1]]] + 6 * c.share[text[t + 1]]) / (m.both[g, k] + 6)
             total += math.log10(z[top] / z.sum() * y[low] / y.sum() * share)
         want.append(total)
