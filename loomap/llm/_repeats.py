@@ -80,6 +80,22 @@ def entries(n_buckets: int, hashes: np.ndarray, docs: np.ndarray, packs: np.ndar
         yield {"bucket": b, "hashes": narrow(h[at]), "packs": blob(p[at].astype(np.int32)), "several": blob(several[at])}
 
 
+#: Entries that a task gathers before it sends the buckets theirs, so that rows stay fat however many buckets there are.
+HELD = 500_000
+
+
+def gathered(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets out of (hashes, documents, packs) of one piece of text after another."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for one in found:
+        held.append(one)
+        if sum(len(h) for h, _, _ in held) >= HELD:
+            yield batch_of(list(entries(n_buckets, *(np.concatenate(x) for x in zip(*held, strict=True)))), ENTRY_SCHEMA)
+            held = []
+    if held:
+        yield batch_of(list(entries(n_buckets, *(np.concatenate(x) for x in zip(*held, strict=True)))), ENTRY_SCHEMA)
+
+
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 

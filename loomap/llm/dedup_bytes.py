@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, batch_of, entries, narrow, survivors, widen
+from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, PACK_BYTES, Packs, alive_set, among, gathered, narrow, survivors, widen
 from loomap.llm._spark import blob, joined, parts_for, release, split_by, written
 from loomap.llm._text import U64, Poly, covered, mix, pieces, spread, winnow
 
@@ -212,11 +212,14 @@ def _by_piece(group: pa.Table, span: int, gram: int) -> Iterator[tuple[pa.Record
 
 
 def _propose(span: int, gram: int, n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece, data, offsets in pieces(batch, "text", PIECE):
-            a = Anchors(piece, data, offsets, span, gram)
-            packs = piece.column(piece.schema.get_field_index("pack")).to_numpy(zero_copy_only=False)
-            yield batch_of(list(entries(n_buckets, a.hash, a.ids[a.doc], packs[a.doc])), ENTRY_SCHEMA)
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for piece, data, offsets in pieces(batch, "text", PIECE):
+                a = Anchors(piece, data, offsets, span, gram)
+                packs = piece.column(piece.schema.get_field_index("pack")).to_numpy(zero_copy_only=False)
+                yield a.hash, a.ids[a.doc], packs[a.doc]
+
+    yield from gathered(found(), n_buckets)
 
 
 def _merged(high: np.ndarray, low: np.ndarray, ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, batch_of, entries, run_argmin, survivors
+from loomap.llm._repeats import ALIVE, BUCKET_BYTES, ENTRIES, ENTRY_SCHEMA, PACK_BYTES, Packs, alive_set, among, entries, gathered, run_argmin, survivors
 from loomap.llm._spark import blob, joined, parts_for, release, split_by, written
 from loomap.llm._text import U64, Poly, covered, find_words, left_in_document, pieces, spread
 
@@ -90,26 +90,25 @@ def _by_piece(group: pa.Table, window: int, first: int) -> Iterator[tuple[pa.Rec
             yield piece, Windows(piece, data, offsets, window, first)
 
 
-def _entries_of(w: Windows, piece: pa.RecordBatch, length: int, n_buckets: int) -> list[dict]:
+def _found(w: Windows, piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and packs of the windows' representatives."""
     place, h = w.level(length)
     place, one = np.unique(place, return_index=True)
     doc = w.doc_of_word[place]
     packs = piece.column(piece.schema.get_field_index("pack")).to_numpy(zero_copy_only=False)
-    return list(entries(n_buckets, h[one], w.ids[doc], packs[doc]))
+    return h[one], w.ids[doc], packs[doc]
 
 
 def _first_level(window: int, first: int, n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece, data, offsets in pieces(batch, "text"):
-            rows = _entries_of(Windows(piece, data, offsets, window, first), piece, first, n_buckets)
-            yield batch_of(rows, ENTRY_SCHEMA)
+    yield from gathered((_found(Windows(piece, data, offsets, window, first), piece, first) for batch in batches for piece, data, offsets in pieces(batch, "text")), n_buckets)
 
 
 def _middle_level(window: int, first: int, before: int, length: int, n_buckets: int, texts: pa.Table, alive: pa.Table) -> pa.Table:
-    found, rows = alive_set(alive), []
+    found, parts = alive_set(alive), []
     for piece, w in _by_piece(texts, window, first) if len(found) else ():
         w.keep(among(w.level(before)[1], found))
-        rows += _entries_of(w, piece, length, n_buckets)
+        parts.append(_found(w, piece, length))
+    rows = list(entries(n_buckets, *(np.concatenate(x) for x in zip(*parts, strict=True)))) if parts else []
     return pa.Table.from_pylist(rows, schema=ENTRY_SCHEMA)
 
 
