@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomap.plans import expressions, extra, maps, more, retrieval, upkeep
+from loomap.plans import expressions, extra, further, maps, more, retrieval, upkeep
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**expressions.QUERIES, **maps.QUERIES, **more.QUERIES, **extra.QUERIES, **retrieval.QUERIES, **upkeep.QUERIES}
-ORACLES: dict[str, str] = {**expressions.ORACLES, **maps.ORACLES, **more.ORACLES, **extra.ORACLES, **retrieval.ORACLES, **upkeep.ORACLES}
+MODULES = (expressions, maps, more, extra, retrieval, upkeep, further)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

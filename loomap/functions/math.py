@@ -325,3 +325,17 @@ def vertical_axis(named: Sequence[Col], refs: Col) -> Column:
 
     y_up = F.exists(F.slice(c(refs), 1, 16), lambda r: F.lower(r).rlike("hm3d|iref_vla|rendered_trajectory"))
     return F.coalesce(*[told(x) for x in named], F.when(y_up, 1), F.lit(2))
+
+
+def relative_pose(ra: Sequence[Col], ta: Vec, rb: Sequence[Col], tb: Vec) -> tuple[list[Column], list[Column]]:
+    """(R, t) of pose b seen from pose a: Ra' Rb and Ra' (tb - ta)."""
+    back, shift = inverse_rigid(ra, ta)
+    b = [c(v) for v in rb]
+    turn = [back[3 * i] * b[j] + back[3 * i + 1] * b[3 + j] + back[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)]
+    return turn, rotated(back, tb, shift)
+
+
+def swapped_box(box: Vec) -> list[Column]:
+    """A box in the frame (X, Z, -Y)."""
+    x1, y1, z1, x2, y2, z2 = map(c, box)
+    return [x1, z1, -y2, x2, z2, -y1]

@@ -6,6 +6,9 @@ merging on a component, each in a pandas function.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +92,29 @@ def constrained_merge(edges: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["component"].iloc[0], n, r) for n, r in root.items()], columns=["component", "node", "root"])
 
     return edges.groupBy("component").applyInPandas(merge, "component long, node long, root long")
+
+
+def diverse_views(views: DataFrame, angle: float = 30.0, nearer: float = 0.75, most: int = 256) -> DataFrame:
+    """(object, view): the views (object, view, dx dy dz: from the object to the camera) that stay, taken in order.
+
+    A view is added if its direction is more than ``angle`` degrees from all kept ones; else it takes the place of the one most like it if it is
+    much nearer.  Only the last ``most`` stay.  An object's views are one group.
+    """
+    least = math.cos(math.radians(angle))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[int, np.ndarray, float]] = []
+        for r in pdf.sort_values("view").itertuples(index=False):
+            v = np.array([r.dx, r.dy, r.dz])
+            d = float(np.linalg.norm(v))
+            if not np.isfinite(d) or d <= 1e-9:
+                continue
+            cos = [float(k[1] @ v) / d for k in kept]
+            best = int(np.argmax(cos)) if cos else -1
+            if best < 0 or cos[best] < least:
+                kept = [*kept, (r.view, v / d, d)][-most:]
+            elif d < nearer * kept[best][2]:
+                kept[best] = (r.view, v / d, d)
+        return pd.DataFrame({"object": pdf["object"].iloc[0], "view": [k[0] for k in kept]}, columns=["object", "view"])
+
+    return views.groupBy("object").applyInPandas(fold, "object long, view long")

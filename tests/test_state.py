@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomap.functions import math as m
-from loomap.operators import aggregates, fits, graph, order
+from loomap.operators import aggregates, fits, graph, order, regions
 from loomap.sources import frames, state
 from loomap.streaming import frames as st
 
@@ -150,6 +150,24 @@ def test_greedy_choices_in_rounds(spark):
     assert sorted((r.scene, r.a, r.b) for r in got.collect()) == sorted(want)
 
 
+def test_regions(spark):
+    """Two clumps joined by a chain are halved, a lone object near one goes to it, one far away to none."""
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(0, 0.2, (12, 3)), rng.normal(0, 0.2, (12, 3)) + [4, 0, 0], [[1, 0, 0], [2, 0, 0], [3, 0, 0], [0, 2.4, 0], [40, 0, 0]]])
+    o = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "object_idx long, x double, y double, z double")
+    edges = [(i, j) for i in range(len(pts)) for j in range(i) if np.linalg.norm(pts[i] - pts[j]) <= 1.3]
+    got = {r.object_idx: r.region for r in regions.regions(o, spark.createDataFrame(edges, "a long, b long"), 2.0, 2, 3.5).collect()}
+    assert 28 not in got and len(set(got.values())) == 2 and got[27] == got[0] and len({got[i] for i in range(12)}) == 1 and got[0] != got[12] and len({got[i] for i in range(12, 24)}) == 1
+    alone = regions.regions(o, spark.createDataFrame([], "a long, b long"), 2.0, 2, 3.5)
+    assert {r.region for r in alone.collect()} == {0} and alone.count() == len(pts)
+
+
+def test_diverse_views(spark):
+    rows = [(1, 1, 1.0, 0.0, 0.0), (1, 2, 0.99, 0.1, 0.0), (1, 3, 0.0, 1.0, 0.0), (1, 4, 0.5, 0.01, 0.0), (1, 5, 0.0, 0.0, 0.0), (2, 9, 0.0, 0.0, 2.0)]
+    got = order.diverse_views(spark.createDataFrame(rows, "object long, view long, dx double, dy double, dz double"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (1, 4), (2, 9)]
+
+
 def test_windows_of_frames(spark):
     rows = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 0)], "k string, i long")
     for size, overlap in ((4, 3), (3, 1), (5, 0)):
