@@ -146,10 +146,10 @@ def f14_mahalanobis_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {POINTS}, g AS (SELECT face, count(*) AS n, {', '.join(f'median({a}) AS m{a}' for a in 'xyz')}, {', '.join(f'covar_samp({p[0]}, {p[1]}){"+1e-4" if p[0] == p[1] else ""} AS c{p}' for p in fits.PACKED)} FROM pt GROUP BY face HAVING count(*) >= 5), {EIGEN.format('g')}
- SELECT face, n, {', '.join(f'round(m{a}, 5) AS m{a}' for a in 'xyz')}, round(cxy, 4) AS cxy, round(least(top, 2.25), 4) AS widest FROM e4""")
+ SELECT face, n, {', '.join(f'round(m{a}, 8) AS m{a}' for a in 'xyz')}, round(cxy, 4) AS cxy, round(least(top, 2.25), 4) AS widest FROM e4""")
 def a06_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object's geometry from its points: medians, covariance with a ridge, eigenvalues capped."""
-    return rewritten(spark, sf_dir).select("face", "n", *[F.round(f"m{a}", 5).alias(f"m{a}") for a in S], F.round("cxy", 4).alias("cxy"), F.round(F.least(m.symmetric_eigenvalues(C6)[0], F.lit(2.25)), 4).alias("widest"))
+    return rewritten(spark, sf_dir).select("face", "n", *[F.round(f"m{a}", 8).alias(f"m{a}") for a in S], F.round("cxy", 4).alias("cxy"), F.round(F.least(m.symmetric_eigenvalues(C6)[0], F.lit(2.25)), 4).alias("widest"))
 
 
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
