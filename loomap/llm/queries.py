@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomap.llm import decontaminate, dedup_bytes, dedup_words, jaccard, lm_score, mix, pack, quality_cnn, quality_rules, token_counts
+from loomap.llm import decontaminate, dedup_bytes, dedup_words, fill_middle, jaccard, lm_score, mix, pack, quality_cnn, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,10 +80,12 @@ QUERIES: dict[str, Query] = {
     "op8_dedup_words": op8_dedup_words,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_fill_middle": op11_fill_middle,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
