@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomap.llm import decontaminate, dedup_bytes, dedup_words, fill_middle, jaccard, lm_score, mix, pack, quality_cnn, quality_rules, token_counts
+from loomap.llm import decontaminate, dedup_bytes, dedup_words, fill_middle, hard_negatives, jaccard, lm_score, mix, pack, quality_cnn, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_fill_middle": op11_fill_middle,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -88,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op11_fill_middle": fill_middle.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
