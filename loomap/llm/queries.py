@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomap.llm import decontaminate, dedup_bytes, dedup_words, fill_middle, hard_negatives, jaccard, lm_score, mix, pack, quality_cnn, quality_rules, token_counts
+from loomap.llm import decontaminate, dedup_bytes, dedup_words, fill_middle, hard_negatives, jaccard, lm_score, mix, pack, quality_cnn, quality_rules, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_cnn": op10_quality_cnn,
     "op11_fill_middle": op11_fill_middle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
     "pipeline": pipeline,
 }
 
