@@ -232,8 +232,11 @@ def lower(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 def explained(terms: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weights of the terms with (toxic, clean) rows that others don't make needless.
 
-    A longer term of as great a weight takes its rows away from a shorter one; one of no greater weight than a shorter one goes.
+    A shorter term in the same rows as a longer one goes.  A longer term of as great a weight takes its rows away from a shorter one; one of no
+    greater weight than a shorter one goes.
     """
+    needless = {p[:k] for p, rows in terms.items() for k in range(SHORTEST + 1, len(p)) if terms.get(p[:k]) == rows}
+    terms = {p: rows for p, rows in terms.items() if p not in needless}
     weight = {p: lower(*rows, n_toxic, n_clean) for p, rows in terms.items()}
     best: dict[str, tuple[float, str]] = {}
     for p in terms:
