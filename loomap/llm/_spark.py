@@ -7,12 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomap.runtime import checkpoint_dir, discard, written  # noqa: F401  used by the operators
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever is in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a text column, from which the numbers of packs and buckets are derived."""
     return docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0

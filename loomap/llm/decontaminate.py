@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomap.llm._spark import blob, discard, written
+from loomap.llm._spark import blob, col, discard, written
 from loomap.llm._text import ALNUM, LOWER, U64, Poly, covered, find_words, left_in_document, pieces, spread, winnow
 
 WINDOW = 13
@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, blo
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of docs that aren't contaminated.  Nothing is shuffled."""
-    found = spans(docs, benchmark, F.struct(*[F.col(c) for c in docs.columns]), block_windows).drop("text")
+    found = spans(docs, benchmark, F.struct(*[col(c) for c in docs.columns]), block_windows).drop("text")
     kept = found.mapInArrow(lambda batches: _clean(share, batches), T.StructType([found.schema["key"]]))
     return kept.select("key.*")
 

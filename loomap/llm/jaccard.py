@@ -43,9 +43,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomap.llm._repeats import narrow, widen
-from loomap.llm._spark import blob, discard, joined, parts_for, release, split_by, text_bytes, written
+from loomap.llm._spark import blob, col, discard, joined, parts_for, release, split_by, text_bytes, written
 from loomap.llm._text import LOWER, U64, Poly, find_words, left_in_document, mix, pieces, spread
 from loomap.operators.graph import components
 
@@ -556,13 +557,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column as what can be hashed: maps can't, so one is its sorted entries, and what holds maps its JSON."""
+    if "map<" not in field.dataType.simpleString():
+        return col(field.name)
+    if isinstance(field.dataType, T.MapType) and "map<" not in field.dataType.valueType.simpleString():
+        return F.array_sort(F.map_entries(col(field.name)))
+    return F.to_json(F.struct(col(field.name).alias("x")))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with the columns of docs: of the least doc_id (nulls last), then entity, then row key.
 
     Rows are told apart by a hash of all their columns and not by doc_id, so an id may stand for several texts; of rows that are
     equal in all columns one is kept.  Documents with empty sets are in no component and stay, each.
     """
-    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])  # nulls alone leave a hash as it is
+    key = F.xxhash64(*[x for f in docs.schema.fields for x in (_hashable(f), col(f.name).isNull())])  # nulls alone leave a hash as it is
     sets, found = links(docs, shingle, percent, row_key=key)
     root = F.coalesce("root", "entity").alias("_root")
     rows = sets.where("n_shingles > 0").groupBy("doc_id", "entity", "row_key").count().join(components(found), F.col("entity") == F.col("node"), "left").select("doc_id", "entity", "row_key", "count", root)
@@ -570,7 +580,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     least = rows.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "entity", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key"), F.lit(True).alias("_kept"))
     rows = written(rows.join(least, "row_key", "left").select(F.col("row_key").alias("_row"), "_kept", "count").where("_kept is null or count > 1"))
     # the rows go along whole in one struct, so no column of docs clashes with a name used here
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), key.alias("_row"))
+    keyed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_whole"), key.alias("_row"))
     once = keyed.join(rows.select("_row"), "_row", "left_anti")
     repeated = keyed.join(rows.where("_kept").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
     return once.unionByName(repeated).select("_whole.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomap.llm._spark import written
+from loomap.llm._spark import col, written
 from loomap.llm._text import find_words, pieces
 
 WEIGHTS = (5, 2, 1)
@@ -207,9 +207,9 @@ def mix(docs: DataFrame, sources: str = "source", seed: int = SEED, weights: tup
     """
     carry = docs.columns if carry is None else carry
     many = dict(docs.dtypes)[sources].startswith("array")
-    members = F.array_sort(F.array_distinct(F.col(sources))) if many else F.array(F.col(sources).cast("string"))
+    members = F.coalesce(F.array_sort(F.array_distinct(F.col(sources))), F.array().cast(docs.schema[sources].dataType)) if many else F.array(F.col(sources).cast("string"))
     # the rows go along whole in one struct, so no column of docs clashes with a name used here
-    row = F.struct(*[F.col(c) for c in carry]).alias("_row")
+    row = F.struct(*[col(c) for c in carry]).alias("_row")
     keyed = docs.select(row, F.col("text").cast("string").alias("_text"), members.alias("_members"), F.expr(f"shiftleft(shiftrightunsigned(xxhash64(doc_id, text, {seed}L), {2 + COPY_BITS}), {COPY_BITS}) + pmod(xxhash64(monotonically_increasing_id()), {1 << COPY_BITS}L)").alias("_hash"), F.xxhash64("text", F.lit(seed)).alias("_tie"))
     keyed = keyed.withColumn("_pattern", F.to_json(F.struct(F.col("_members").alias("m")), {"ignoreNullFields": "false"}))
     sized = written(with_sizes(keyed, "_text").select("_row", "_size", "_members", "_pattern", "_hash", "_tie"))
@@ -234,6 +234,6 @@ def mix(docs: DataFrame, sources: str = "source", seed: int = SEED, weights: tup
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    whole = docs.select("doc_id", "text", options.get("sources", "source"), F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    whole = docs.select("doc_id", "text", options.get("sources", "source"), F.struct(*[col(c) for c in docs.columns]).alias("_whole"))
     mixed = mix(whole, carry=["_whole"], **options).where("_copies > 0")
     return mixed.select("_whole", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_whole.*")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomap.llm._spark import release
 from loomap.llm._text import pieces, spread
 from loomap.llm._tokens import Encoder
 from loomap.llm._vocab import TOKENIZERS
@@ -143,6 +144,9 @@ def _pack(name: str, folder: str, row: int, end: int, buffer: int, batches: Iter
                 held, size = [], 0
     if held:
         yield flush()
+    # workers are kept between tasks
+    del encoder, held
+    release()
 
 
 def pack(docs: DataFrame, row: int = ROW, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, end: int = 50256, buffer: int = BUFFER) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomap.llm._spark import written
+from loomap.llm._spark import col, written
 
 #: What judge() adds.
 MADE = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, carry: list[str] | None = None, least: int = LEAST, r
     carry = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     # what is carried goes along in one struct, so that it clashes with no name used here
-    needed = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_row"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
+    needed = docs.select(F.struct(*[col(c) for c in carry]).alias("_row"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
     counted = base_counts(needed).drop("text")
     measured = written(counted).withColumn("base_failed", failed)
     bounds = thresholds(sketches(measured), least, reach).withColumnsRenamed({"lang": "_lang", "source": "_source"})
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, carry: list[str] | None = None, least: int = LEAST, r
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    whole = docs.select("text", "lang", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    whole = docs.select("text", "lang", "source", F.struct(*[col(c) for c in docs.columns]).alias("_whole"))
     return judge(whole, carry=["_whole"]).where("kept").select("_whole.*")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomap.llm import decontaminate, mix, pack, quality_cnn
+from loomap.llm import decontaminate, jaccard, mix, pack, quality_cnn
 from loomap.llm._vocab import encoding
 
 
@@ -80,14 +80,29 @@ def test_packing_does_not_depend_on_partitions(spark, tmp_path):
 
 def test_stages_carry_columns_of_any_name(spark, tmp_path):
     """Columns named like what the stages use inside come out as they went in."""
-    extra = ("_row", "_whole", "key", "row_key", "entity", "n_shingles", "pack", "part", "_copies", "_size", "kept", "items", "starts", "_pattern", "held_out")
+    extra = ("_row", "_whole", "key", "row_key", "entity", "n_shingles", "pack", "part", "_copies", "_size", "kept", "items", "starts", "_pattern", "held_out", "a.b", "back`tick", "_whole.text")
     rng = random.Random(6)
     texts = [" ".join(rng.choices([f"word{i}" for i in range(400)], k=120)) for _ in range(30)]
-    rows = [(i, t, "en", "s", *(f"{c}{i}" for c in extra)) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *extra])
+    rows = [(i, t, "en", "s", *(f"{c}{i}" for c in extra), {"k": i, "l": None}, [{"m": i}]) for i, t in enumerate(texts)]
+    kinds = [("doc_id", "long"), *((c, "string") for c in ("text", "lang", "source", *extra)), ("pairs", "map<string,long>"), ("deep", "array<map<string,long>>")]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c.replace('`', '``')}` {kind}" for c, kind in kinds))
     spark.createDataFrame([(1, "nothing of the sort")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
         got = out.collect()
         assert got and all(tuple(r) == rows[r.doc_id] for r in got), name
+
+
+def test_rows_of_equal_maps_are_one(spark):
+    """Repeated rows with a map go, whatever the order of its entries; rows that differ in it are copies of each other too."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, {"a": 1, "b": 2}), (1, text, {"b": 2, "a": 1}), (1, text, {"a": 1}), (2, "x", None)], "doc_id long, text string, m map<string,long>")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 2]
+
+
+def test_no_sources_at_all(spark):
+    """A null array of sources is an empty one: nothing takes the document."""
+    docs = spark.createDataFrame([(1, "a b c", ["s"]), (2, "d e", None), (3, "f", [])], "doc_id long, text string, source array<string>")
+    got = {r.doc_id: r for r in mix.mix(docs).collect()}
+    assert got[1]["_copies"] > 0 and all(got[k]["_copies"] == 0 and got[k]["_target"] == 0 for k in (2, 3))
