@@ -258,11 +258,12 @@ def _composed(prof: Profile, threshold: float, calibrations: dict[str, tuple[flo
     return p.composed("similarity", F.transform("results", lambda r: r["score"]), prof.weight)
 
 
-def _best(rows: DataFrame, *anchors: str) -> DataFrame:
-    """Of the rows of a candidate and predicate the best by ``s`` (null: dropped, with score 1), the first tried of equals."""
-    s = F.coalesce("s", F.lit(1.0))
-    found = F.struct(s.alias("score"), F.when(F.col("s").isNull(), "dropped").otherwise("fast_path").alias("status"), F.when(F.col("s").isNull(), "no_vlm_and_undecidable").alias("reason"), F.array(*anchors).alias("anchors"))
-    return rows.groupBy("query", "object_idx", "p").agg(F.max_by(found, F.struct(F.round(s, 9), -F.col("place"))).alias("b")).select("query", "object_idx", "p", "b.*")
+TOLD = ("query", "object_idx", "p", "name", "score", "status", "reason", "anchors")
+
+
+def _outcome() -> list[Column]:
+    """What becomes of a predicate's score ``s``: null is dropped, with score 1."""
+    return [F.coalesce("s", F.lit(1.0)).alias("score"), F.when(F.col("s").isNull(), "dropped").otherwise("fast_path").alias("status"), F.when(F.col("s").isNull(), "no_vlm_and_undecidable").alias("reason")]
 
 
 def answered(
@@ -279,7 +280,8 @@ def answered(
     """
     prof = profile(method)
     chosen = pools.candidates(objects, redirects, pool)
-    asked = _asked(graphs)
+    # written, so that Spark knows how small these are and sends them where they are joined
+    asked = written(_asked(graphs))
     scope, regions = _regions(asked, objects, phrases, region_least)
     vector = phrases.groupBy("phrase").agg(F.first("vector").alias("vector"))
     few = lambda n: n if k > 0 else 0
@@ -321,13 +323,13 @@ def answered(
 
     place = objects.select(F.col("object_idx").alias("a_object_idx"), *[F.col(c).alias(f"a_{c}") for c in (*S, "vx", "vy", "vz")])
     anchors = found.where("channel = 'anchor'").select("query", F.col("phrase").alias("arg"), F.col("object_idx").alias("a_object_idx"), F.col("place").alias("a_place")).join(place, "a_object_idx")
+    anchors = written(anchors)
     evaluated = cand.where("not _semantic").select("query", "object_idx", F.col("place").alias("c_place"), *S, "caption", "category", "attributes")
-    results = [evaluated.select("query", "object_idx").join(regions, "query").select("query", "object_idx", "p", "score", "status", "reason", F.array().cast("array<long>").alias("anchors"))]
-    alone = evaluated.join(_of_kind(asked, "alone"), "query").withColumn("s", _scored("alone")).withColumn("place", F.lit(0))
-    results.append(_best(alone).withColumn("anchors", F.array().cast("array<long>")))
-    results += _anchored(evaluated, asked, anchors, cameras, links, prof.hops, tried)
-    results.append(_ranked(evaluated, asked, anchors, k))
-    told = reduce(DataFrame.unionByName, results).join(asked.select("query", "p", "name"), ["query", "p"])
+    none = F.array().cast("array<long>")
+    by_region = evaluated.select("query", "object_idx").join(regions, "query").select(*TOLD[:3], F.lit("InRegion").alias("name"), "score", "status", "reason", none.alias("anchors"))
+    alone = evaluated.join(_of_kind(asked, "alone"), "query").withColumn("s", _scored("alone"))
+    by_itself = alone.select(*TOLD[:4], *_outcome(), none.alias("anchors"))
+    told = by_region.unionByName(by_itself).unionByName(_anchored(evaluated, asked, anchors, cameras, links, prof.hops, tried)).unionByName(_ranked(evaluated, asked, anchors, k))
     # a superlative comes after what is told of each object by itself
     late = F.when(F.col("name").isin(*[n for n, r in RULES.items() if r.kind == "rank"]), 1).otherwise(0)
     told = told.groupBy("query", "object_idx").agg(F.array_sort(F.collect_list(F.struct(late.alias("late"), "p", "name", "score", "status", "reason", "anchors"))).alias("_told"))
@@ -338,45 +340,48 @@ def answered(
     return scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select("query", "rank", "object_idx", "similarity", "geo", "score", "results")
 
 
-def _reasoned(rows: DataFrame, reason: str, score: float, status: str) -> DataFrame:
-    return rows.select("query", "object_idx", "p", F.lit(score).alias("score"), F.lit(status).alias("status"), F.lit(reason).alias("reason"), F.array().cast("array<long>").alias("anchors"))
-
-
-def _anchored(cand: DataFrame, asked: DataFrame, anchors: DataFrame, cameras: DataFrame | None, links: DataFrame | None, hops: int, tried: int) -> list[DataFrame]:
-    """Results of the predicates with one anchor or two."""
-    sided = _of_kind(asked, "pair", "view", "between")
+def _anchored(cand: DataFrame, asked: DataFrame, anchors: DataFrame, cameras: DataFrame | None, links: DataFrame | None, hops: int, tried: int) -> DataFrame:
+    """Results of the predicates with one anchor or two: of those that are tried the best, the first of equals."""
+    key = ["query", "object_idx", "p"]
     two = F.col("name").isin(*[n for n, r in RULES.items() if r.kind == "between"])
     known = anchors.select("query", "arg").distinct()
-    lost = sided.join(known, ["query", "arg"], "left_anti").select("query", "p").union(sided.where(two).join(known.withColumnRenamed("arg", "arg2"), ["query", "arg2"], "left_anti").select("query", "p")).distinct()
-    live = sided.join(lost, ["query", "p"], "left_anti")
-    results = [_reasoned(cand.select("query", "object_idx").join(lost, "query"), "anchor_not_found", 1.0, "dropped")]
+    sided = _of_kind(asked, "pair", "view", "between").join(known.withColumn("_1", F.lit(True)), ["query", "arg"], "left").join(known.select("query", F.col("arg").alias("arg2"), F.lit(True).alias("_2")), ["query", "arg2"], "left")
+    lost = F.when(F.col("_1").isNull() | (two & F.col("_2").isNull()), "anchor_not_found")
+    # read by each kind of predicate below, so written once
+    rows = written(cand.join(sided.select("query", "p", "name", "arg", F.when(two, F.col("arg2")).alias("arg2"), lost.alias("lost")), "query"))
+    live = rows.where("lost is null")
+    usable, on = anchors, ["query", "arg"]
     if hops > 0 and links is not None:
-        near = written(graph.reachable(links, cand.select(F.col("object_idx").alias("node")).distinct(), hops)).select(F.col("source").alias("object_idx"), F.col("node").alias("a_object_idx"))
-        pairs = cand.select("query", "object_idx").join(live.select("query", F.explode(F.array("arg", "arg2")).alias("arg")).where("arg is not null").distinct(), "query").join(anchors, ["query", "arg"]).join(near, ["object_idx", "a_object_idx"])
-        order = Window.partitionBy("query", "object_idx", "arg").orderBy("a_place")  # of anchor_k rows
-        usable = pairs.withColumn("a_place", F.row_number().over(order))
-        kept = usable.select("query", "object_idx", "arg").distinct()
-        needs = cand.select("query", "object_idx").join(live.select("query", "p", F.explode(F.array("arg", "arg2")).alias("arg")).where("arg is not null"), "query")
-        out = needs.join(kept, ["query", "object_idx", "arg"], "left_anti").select("query", "object_idx", "p").distinct()
-        results.append(_reasoned(out, f"covisibility_no_anchor_within_{hops}_hops", 0.0, "fast_path"))
-        on = ["query", "object_idx", "arg"]
+        near = graph.reachable(links, cand.select(F.col("object_idx").alias("node")).distinct(), hops).select(F.col("source").alias("object_idx"), F.col("node").alias("a_object_idx"))
+        sides = live.select(*key, F.explode(F.array("arg", "arg2")).alias("arg")).where("arg is not null")
+        pairs = sides.select("query", "object_idx", "arg").distinct().join(anchors, ["query", "arg"]).join(near, ["object_idx", "a_object_idx"])
+        order = Window.partitionBy("query", "object_idx", "arg").orderBy("a_place")  # of a phrase's few anchors
+        usable, on = written(pairs.withColumn("a_place", F.row_number().over(order))), ["query", "object_idx", "arg"]
+        apart = sides.join(usable.select(*on).distinct(), on, "left_anti").select(*key).distinct().withColumn("apart", F.lit(True))
+        live = live.join(apart, key, "left_anti")
+        rows = rows.join(apart, key, "left")
     else:
-        usable, out, on = anchors, None, ["query", "arg"]
-    usable = usable.where(F.col("a_place") <= tried).drop("p")
-    rows = cand.join(live, "query")
-    if out is not None:
-        rows = rows.join(out, ["query", "object_idx", "p"], "left_anti")
+        rows = rows.withColumn("apart", F.lit(False))
+    usable = usable.where(F.col("a_place") <= tried)
     others = F.col("object_idx") != F.col("a_object_idx")
-    pair = _of_kind(rows, "pair").join(usable, on).where(others).withColumn("s", _scored("pair")).withColumn("place", F.col("a_place"))
+    pair = _of_kind(live, "pair").join(usable, on).where(others).withColumns({"s": _scored("pair"), "place": F.col("a_place"), "anchors": F.array("a_object_idx")})
+    view = _viewed(_of_kind(live, "view").join(usable, on).where(others), cameras).withColumns({"place": F.col("a_place"), "anchors": F.array("a_object_idx")})
     second = usable.select(*[F.col(c).alias(c.replace("a_", "b_", 1) if c.startswith("a_") else c) for c in usable.columns]).withColumnRenamed("arg", "arg2")
-    pairs2 = _of_kind(rows, "between").join(usable, on).where(others).join(second, ["arg2" if c == "arg" else c for c in on])
-    pairs2 = pairs2.where((F.col("object_idx") != F.col("b_object_idx")) & (F.col("a_object_idx") != F.col("b_object_idx"))).withColumn("s", _scored("between")).withColumn("place", F.col("a_place") * 1000 + F.col("b_place"))
-    view = _of_kind(rows, "view").join(usable, on).where(others).withColumn("place", F.col("a_place"))
-    done = [_best(pair, "a_object_idx"), _best(pairs2, "a_object_idx", "b_object_idx"), _best(_viewed(view, cameras), "a_object_idx")]
-    results += done
-    tried_of = reduce(DataFrame.unionByName, [d.select("query", "object_idx", "p") for d in done])
-    results.append(_reasoned(rows.select("query", "object_idx", "p").join(tried_of, ["query", "object_idx", "p"], "left_anti"), "no_valid_anchor", 1.0, "dropped"))
-    return results
+    pairs2 = _of_kind(live, "between").join(usable, on).where(others).join(second, ["arg2" if c == "arg" else c for c in on]).where((F.col("object_idx") != F.col("b_object_idx")) & (F.col("a_object_idx") != F.col("b_object_idx")))
+    pairs2 = pairs2.withColumns({"s": _scored("between"), "place": F.col("a_place") * tried + F.col("b_place"), "anchors": F.array("a_object_idx", "b_object_idx")})
+    scored = reduce(DataFrame.unionByName, [x.select(*key, "s", "place", "anchors") for x in (pair, view, pairs2)])
+    first = F.struct(F.round(F.coalesce("s", F.lit(1.0)), 9), -F.col("place"))
+    best = scored.groupBy(*key).agg(F.max_by(F.struct("s", "anchors"), first).alias("b")).select(*key, "b.*")
+    done = rows.select(*key, "name", "lost", "apart").join(best, key, "left").withColumn("_none", F.col("anchors").isNull())
+    score, status, reason = _outcome()
+    fails = F.when(F.col("lost").isNotNull(), F.col("lost")).when(F.col("apart"), f"covisibility_no_anchor_within_{hops}_hops").when(F.col("_none"), "no_valid_anchor")
+    return done.select(
+        *TOLD[:4],
+        F.when(F.col("lost").isNull() & F.col("apart"), 0.0).when(fails.isNotNull(), 1.0).otherwise(score).alias("score"),
+        F.when(F.col("lost").isNull() & F.col("apart"), "fast_path").when(fails.isNotNull(), "dropped").otherwise(status).alias("status"),
+        F.coalesce(fails, reason).alias("reason"),
+        F.coalesce("anchors", F.array().cast("array<long>")).alias("anchors"),
+    )
 
 
 def _viewed(rows: DataFrame, cameras: DataFrame | None) -> DataFrame:
@@ -405,7 +410,7 @@ def _ranked(cand: DataFrame, asked: DataFrame, anchors: DataFrame, k: int) -> Da
     else:
         ranked = ag.global_ranks(ranked.withColumn("_g", F.concat_ws("\x1f", "query", "p")), "_g", F.col("_d"), F.col("c_place")).drop("_g")
     score = 1 / (F.abs(F.col("rank") - 1 - F.col("at")) + 1)
-    told = ranked.select("query", "object_idx", "p", score.alias("score"), F.array("a_object_idx").alias("anchors"))
-    itself = rows.where("object_idx = a_object_idx").select("query", "object_idx", "p", F.lit(0.0).alias("score"), F.array("a_object_idx").alias("anchors"))
-    nothing = rows.where("a_object_idx is null").select("query", "object_idx", "p", F.lit(1.0).alias("score"), F.array().cast("array<long>").alias("anchors"))
+    told = ranked.select(*TOLD[:4], score.alias("score"), F.array("a_object_idx").alias("anchors"))
+    itself = rows.where("object_idx = a_object_idx").select(*TOLD[:4], F.lit(0.0).alias("score"), F.array("a_object_idx").alias("anchors"))
+    nothing = rows.where("a_object_idx is null").select(*TOLD[:4], F.lit(1.0).alias("score"), F.array().cast("array<long>").alias("anchors"))
     return told.unionByName(itself).unionByName(nothing).withColumns({"status": F.lit("fast_path"), "reason": F.lit(None).cast("string")})
