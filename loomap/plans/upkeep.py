@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomap.functions import math as m
 from loomap.operators import fits, graph, spatial
 from loomap.plans.maps import BOXES, DIST, r6, renamed
+from loomap.runtime import checkpoint_dir, written
 from loomap.sources.scene import DETECTIONS_SQL, OBJECTS_SQL, detections, objects, redirects, table
 from loomap.streaming import frames as st
+from loomap.streaming import live
 
 S, A = ("x", "y", "z"), ("a_x", "a_y", "a_z")
 QUERIES, ORACLES = {}, {}
@@ -440,3 +444,24 @@ def st08_st09_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = c.where("conv_id % 4 = 0 and turn < 2")
     t = st.remaining(c, done, ["conv_id", "turn"])
     return t.select("conv_id", "turn", st.due("turn", 3).alias("captions"), (st.due("turn", 5) & (F.col("turn") > 0)).alias("regions"), st.due("turn", 2, 1).alias("checkpoint"))
+
+
+# --- the map as keyed state
+
+
+@query("""WITH e AS (SELECT 'scene' || user_id % 8 AS scene, user_id AS track, event_id AS seq, epoch_ms(ts) AS ms, event_type = 'error' AS gone, value AS x, (event_id % 97)::DOUBLE AS y, (event_id % 5 + 1)::DOUBLE AS weight FROM events),
+ g AS (SELECT *, coalesce(sum(gone::INT) OVER (PARTITION BY track ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gen FROM e),
+ k AS (SELECT scene, track, gen, min(struct_pack(a := ms, b := seq)) FILTER (NOT gone) AS born, sum(x*weight) FILTER (NOT gone) AS x, sum(y*weight) FILTER (NOT gone) AS y, sum(weight) FILTER (NOT gone) AS weight, count(*) FILTER (NOT gone) AS n, bool_or(gone) AS gone FROM g GROUP BY ALL)
+ SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY born)-1 AS object_idx, round(x, 3) AS x_moment, round(y, 3) AS y_moment, round(weight, 3) AS weight, n, NOT gone AS active FROM k WHERE n > 0""")
+def st01_st03_live_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sightings of tracks in eight scenes, an error ends a track's object: the stream's map after all of them, compacted."""
+    e = table(spark, sf_dir, "events")
+    seen = e.select(F.concat(F.lit("scene"), F.col("user_id") % 8).alias("scene"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "error", "gone").otherwise("seen").alias("kind"), F.col("user_id").cast("string").alias("track"), F.lit(None).cast("string").alias("other"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"), (F.col("event_id") % 5 + 1).cast("double").alias("weight"))
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit("end").alias("scene"), F.lit(-1).cast("long").alias("seq"), "ts", F.lit("end").alias("kind"), *[F.lit(None).cast(k).alias(c) for c, k in (("track", "string"), ("other", "string"), ("x", "double"), ("y", "double"), ("z", "double"), ("weight", "double"))])
+    source = written(seen.unionByName(last))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(live.EVENTS).parquet(source._written_at)
+    live.start(stream, f"{folder}/map", f"{folder}/progress", "1 hour").awaitTermination()
+    live.compact(spark, f"{folder}/map")
+    moment = lambda c: F.round(F.col(c) * F.col("weight"), 3).alias(f"{c}_moment")  # noqa: E731  has two places
+    return live.objects(spark, f"{folder}/map").select("scene", "object_idx", moment("x"), moment("y"), F.round("weight", 3).alias("weight"), "n", "active")
