@@ -18,7 +18,7 @@ from loomap.llm._vocab import TOKENIZERS, encoding
 
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct units that a task remembers; beyond it starts anew, with the same results.
-REMEMBER = 100_000
+REMEMBER = 250_000
 
 
 class Encoder:
