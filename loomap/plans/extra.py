@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomap.functions import math as m
-from loomap.operators import spatial
+from loomap.operators import nearest, spatial
 from loomap.plans.maps import DIST, r6, renamed
 from loomap.sources.scene import DETECTIONS_SQL, OBJECTS_SQL, anchors, detections, objects, table
 
@@ -42,14 +42,13 @@ def f18_a39_landmark_culling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("ratio >= 0.3").withColumn("ratio", r6(F.col("ratio")))
 
 
-@query(f"""WITH {OBJECTS_SQL}, k AS (SELECT i.object_idx, i.class_id, {DIST.format('i', 'j')} AS d, row_number() OVER (PARTITION BY i.object_idx ORDER BY {DIST.format('i', 'j')}, j.object_idx) AS n FROM o i JOIN o j ON i.class_id = j.class_id AND i.object_idx <> j.object_idx WHERE {DIST.format('i', 'j')} <= 3),
+@query(f"""WITH {OBJECTS_SQL}, k AS (SELECT i.object_idx, i.class_id, {DIST.format('i', 'j')} AS d, row_number() OVER (PARTITION BY i.object_idx ORDER BY {DIST.format('i', 'j')}, j.object_idx) AS n FROM o i JOIN o j ON i.class_id = j.class_id AND i.object_idx <> j.object_idx),
  a AS (SELECT object_idx, class_id, avg(d) AS d FROM k WHERE n <= 5 GROUP BY ALL), t AS (SELECT class_id, avg(d)+2*stddev_pop(d) AS t FROM a GROUP BY class_id) SELECT object_idx FROM a JOIN t USING (class_id) WHERE d <= t""")
 def f16_outlier_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points whose mean distance to their five nearest of the class isn't two deviations above the class's mean."""
     o = objects(spark, sf_dir).select("object_idx", "class_id", *S)
-    near = spatial.pairs_within(o, renamed(o, "a_"), 3.0).where("class_id = a_class_id and object_idx <> a_object_idx")
-    k = near.withColumn("n", F.row_number().over(Window.partitionBy("object_idx").orderBy("d", "a_object_idx"))).where("n <= 5")
-    a = k.groupBy("object_idx", "class_id").agg(F.avg("d").alias("d"))
+    k = nearest.k_nearest(o, o, 5, by="class_id")
+    a = k.groupBy(F.col("id").alias("object_idx")).agg(F.avg("d").alias("d")).join(o.select("object_idx", "class_id"), "object_idx")
     t = a.groupBy("class_id").agg((F.avg("d") + 2 * F.stddev_pop("d")).alias("t"))
     return a.join(t, "class_id").where("d <= t").select("object_idx")
 

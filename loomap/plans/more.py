@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomap.functions import math as m
-from loomap.operators import graph, order, spatial
+from loomap.operators import graph, nearest, order, spatial
 from loomap.operators import predicates as p
 from loomap.plans.maps import CHANNELS, DIST, channel_ranks, r6, renamed
 from loomap.sources.scene import DETECTIONS_SQL, OBJECTS_SQL, anchors, detections, objects, table
@@ -123,13 +123,14 @@ def j24_frame_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAREST = "(SELECT p.object_idx, p.object_idx % 2 AS side, min({d}) AS d FROM o p, o q WHERE p.object_idx % 2 <> q.object_idx % 2 GROUP BY 1, 2)".replace("{d}", DIST.format("p", "q"))
 
 
-@query(f"""WITH {OBJECTS_SQL}, d AS {NEAREST}, s AS (SELECT count(*) FILTER (side = 0) AS n, avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (side = 0) AS p, avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (side = 1) AS r, avg(least(d, 2)) FILTER (side = 0) AS acc, avg(least(d, 2)) FILTER (side = 1) AS com FROM d)
+@query(f"""WITH {OBJECTS_SQL}, d AS {NEAREST}, s AS (SELECT count(*) FILTER (side = 0) AS n, avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (side = 0) AS p, avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END) FILTER (side = 1) AS r, avg(d) FILTER (side = 0) AS acc, avg(d) FILTER (side = 1) AS com FROM d)
  SELECT n, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p+r > 0 THEN 2*p*r/(p+r) ELSE 0 END, 6) AS f_score, round(acc, 6) AS accuracy, round(com, 6) AS completeness FROM s""")
 def j22_cloud_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two clouds: the share of each one's points that have a point of the other within half a metre, and the mean distances (cut at two metres), through the grid."""
+    """Two clouds: the share of each one's points that have a point of the other within half a metre, and the mean distances, however far."""
     o = objects(spark, sf_dir).select("object_idx", *S)
-    near = spatial.pairs_within(o, renamed(o, "a_"), 2.0).where("object_idx % 2 <> a_object_idx % 2").groupBy("object_idx").agg(F.min("d").alias("d"))
-    d = o.join(near, "object_idx", "left").select((F.col("object_idx") % 2).alias("side"), F.least(F.coalesce("d", F.lit(2.0)), F.lit(2.0)).alias("d"))
+    side = lambda k: o.where(F.col("object_idx") % 2 == k)
+    near = nearest.k_nearest(side(0), side(1), 1, others=False).unionByName(nearest.k_nearest(side(1), side(0), 1, others=False))
+    d = near.select((F.col("id") % 2).alias("side"), "d")
     of = lambda side, c: F.avg(F.when(F.col("side") == side, c))
     hit = F.when(F.col("d") <= 0.5, 1.0).otherwise(0.0)
     p, r = of(0, hit), of(1, hit)
