@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomap.operators import relational
-from loomap.plans.maps import DIST, r6
+from loomap.plans.maps import r6
 from loomap.plans.retrieval import CAMERAS, NAMED, described
 from loomap.sources.scene import object_images, objects, redirects, table
 
