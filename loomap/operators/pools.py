@@ -97,3 +97,18 @@ def aliases(objects: DataFrame, redirects: DataFrame, most: int = 2) -> DataFram
     rows = group.unionByName(heads).join(objects.select(F.col("object_idx").alias("alias"), "weight"), "alias")
     place = F.row_number().over(Window.partitionBy("canonical").orderBy((F.col("alias") != F.col("canonical")), F.desc("weight"), "alias"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select("canonical", "alias", "place")
+
+
+def mentioned_rooms(queries: DataFrame, key: str, said: str, labels: DataFrame) -> DataFrame:
+    """(key, region): of the labels (label, region) that stand after a preposition in a query the longest, the first of equally long ones; null if there is none.
+
+    A preposition's occurrences are cut out of the query, so a label is looked up by what follows and not held against every query.
+    """
+    low = F.lower(F.col(said))
+    # a preposition inside another one ends where that does, so matches that don't overlap are enough
+    after = F.explode(F.regexp_extract_all(low, F.lit(f"(?s)(?:{'|'.join(sorted(t.ROOM_PREPOSITIONS, key=len, reverse=True))})(?=(.*))"), F.lit(1)))
+    sizes = labels.select(F.length("label").alias("_n")).where("_n > 0").distinct()  # a few lengths
+    rest = queries.select(key, after.alias("_rest")).join(F.broadcast(sizes), F.length("_rest") >= F.col("_n")).select(key, F.expr("substring(_rest, 1, _n)").alias("_label"))
+    hit = rest.join(labels.select(F.lower("label").alias("_label"), "region"), "_label")
+    best = hit.groupBy(key).agg(F.max_by("region", F.struct(F.length("_label"), -F.col("region"))).alias("region"))
+    return queries.select(key).join(best, key, "left")

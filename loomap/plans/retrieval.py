@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomap.functions import math as m
 from loomap.functions import text as t
-from loomap.operators import pools, spatial
+from loomap.operators import nearest, pools, spatial
 from loomap.operators import predicates as p
 from loomap.plans.maps import BOXES, DIST, HELL, r6, renamed
 from loomap.sources.scene import CAPTIONED_SQL, OBJECTS_SQL, captioned, objects, redirects, table
@@ -220,18 +220,16 @@ def p20_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 IOU = "(greatest(0, least(g.x2, q.x2)-greatest(g.x1, q.x1))*greatest(0, least(g.y2, q.y2)-greatest(g.y1, q.y1))*greatest(0, least(g.z2, q.z2)-greatest(g.z1, q.z1)))"
 VOLUME = "(({0}.x2-{0}.x1)*({0}.y2-{0}.y1)*({0}.z2-{0}.z1))"
 RANKED = f"""{BOXES}, bo AS (SELECT b.*, class_id, x, y, z FROM b JOIN o ON o.object_idx = b.i), pr AS (SELECT g.i AS target, q.i AS object_idx, {IOU}/({VOLUME.format('g')}+{VOLUME.format('q')}-{IOU}) AS iou, g.class_id = q.class_id AS same,
-  row_number() OVER (PARTITION BY g.i ORDER BY round({DIST.format('g', 'q')}, 9), q.i) AS rank FROM bo g, bo q WHERE g.i % 10 = 0 AND q.i <> g.i AND {DIST.format('g', 'q')} <= 2), pk AS (SELECT * FROM pr WHERE rank <= 20)"""
-FIRST = "j AS (SELECT b.i AS target, " + ", ".join(f"min(CASE WHEN iou >= {v} THEN rank END) AS r{n}" for n, v in ((10, 0.1), (25, 0.25), (50, 0.5))) + ", min(CASE WHEN iou > 0 THEN rank END) AS any_rank, min(CASE WHEN same AND iou < 0.1 THEN rank END) AS distractor, count(rank) AS n FROM b LEFT JOIN pk ON pk.target = b.i WHERE b.i % 10 = 0 GROUP BY b.i)"
+  row_number() OVER (PARTITION BY g.i ORDER BY round({DIST.format('g', 'q')}, 9), q.i) AS rank FROM bo g, bo q WHERE q.i <> g.i), pk AS (SELECT * FROM pr WHERE rank <= 20)"""
+FIRST = "j AS (SELECT b.i AS target, " + ", ".join(f"min(CASE WHEN iou >= {v} THEN rank END) AS r{n}" for n, v in ((10, 0.1), (25, 0.25), (50, 0.5))) + ", min(CASE WHEN iou > 0 THEN rank END) AS any_rank, min(CASE WHEN same AND iou < 0.1 THEN rank END) AS distractor, count(rank) AS n FROM b LEFT JOIN pk ON pk.target = b.i GROUP BY b.i)"
 
 
 def ranked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth (every tenth object) with the up to twenty nearest others as ranked predictions: target, object_idx, rank, iou, same."""
+    """Ground truth (every object) with the twenty nearest others as ranked predictions: target, object_idx, rank, iou, same."""
     o = objects(spark, sf_dir)
     names = ("x1", "y1", "z1", "x2", "y2", "z2")
     b = o.select("object_idx", "class_id", *[c.alias(n) for c, n in zip(m.gaussian_box(S, ("vx", "vy", "vz")), names, strict=True)])
-    near = spatial.pairs_within(o.where("object_idx % 10 = 0").select("object_idx", *S), renamed(o.select("object_idx", *S), "a_"), 2.0).where("object_idx <> a_object_idx")
-    rank = F.row_number().over(Window.partitionBy("object_idx").orderBy(F.round("d", 9), "a_object_idx"))
-    near = near.withColumn("rank", rank).where("rank <= 20").select(F.col("object_idx").alias("target"), "a_object_idx", "rank")
+    near = nearest.k_nearest(o, o, 20).select(F.col("id").alias("target"), F.col("other").alias("a_object_idx"), "rank")
     both = near.join(b.withColumnRenamed("object_idx", "target"), "target").join(renamed(b, "a_"), "a_object_idx")
     return both.select("target", F.col("a_object_idx").alias("object_idx"), "rank", m.box_iou(names, ["a_" + n for n in names]).alias("iou"), (F.col("class_id") == F.col("a_class_id")).alias("same"))
 
@@ -240,7 +238,7 @@ def first_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ranked_predictions(spark, sf_dir)
     at = lambda cond: F.min(F.when(cond, F.col("rank")))
     found = r.groupBy("target").agg(*[at(F.col("iou") >= v).alias(f"r{n}") for n, v in ((10, 0.1), (25, 0.25), (50, 0.5))], at(F.col("iou") > 0).alias("any_rank"), at(F.col("same") & (F.col("iou") < 0.1)).alias("distractor"), F.count("*").alias("n"))
-    targets = objects(spark, sf_dir).where("object_idx % 10 = 0").select(F.col("object_idx").alias("target"))
+    targets = objects(spark, sf_dir).select(F.col("object_idx").alias("target"))
     return targets.join(found, "target", "left").fillna({"n": 0})
 
 
@@ -331,10 +329,10 @@ def x09_vertical_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t09_room_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region that a query names after a preposition."""
     c = table(spark, sf_dir, "customer")
-    labels = sorted(r["s"] for r in c.select(F.lower("c_mktsegment").alias("s")).distinct().limit(1000).collect())  # a scene's region labels
     k = F.col("c_custkey")
     said = F.concat(F.lit("Find "), F.col("c_name"), F.when(k % 3 == 0, " IN THE ").when(k % 3 == 1, " near the ").otherwise(" from a "), F.lower("c_mktsegment"), F.when(k % 4 == 0, " of the building").otherwise(""))
-    return c.select("c_custkey", t.mentioned_room(said, labels).alias("region"))
+    labels = c.select(F.lower("c_mktsegment").alias("label")).distinct().withColumn("region", F.row_number().over(Window.orderBy("label")) - 1)  # a scene's region labels
+    return pools.mentioned_rooms(c.select("c_custkey", said.alias("said")), "c_custkey", "said", labels)
 
 
 ROOMS = ", ".join(f"({n}, '{room}', '{word}')" for n, (room, words) in enumerate(t.ROOM_WORDS.items()) for word in words)

@@ -64,11 +64,11 @@ QUADRATIC = """(({0}yy*{0}zz-{0}yz*{0}yz)*dx*dx+({0}xx*{0}zz-{0}xz*{0}xz)*dy*dy+
 
 
 @query(f"""WITH {OBJECTS_SQL}, {PACKED_SQL}, t AS (SELECT i.object_idx AS i, j.object_idx AS j, i.x-j.x AS dx, i.y-j.y AS dy, i.z-j.z AS dz, {', '.join(f'i.c{p} AS a{p}, j.c{p} AS b{p}, (i.c{p}+j.c{p})/2 AS s{p}' for p in fits.PACKED)} FROM cv i, cv j
-  WHERE i.object_idx < j.object_idx AND {DIST.format('i', 'j')} <= 1 AND i.object_idx % 3 <> 0 AND j.object_idx % 3 <> 0), u AS (SELECT i, j, {DET.format('a')} AS d1, {DET.format('b')} AS d2, {DET.format('s')} AS ds, {QUADRATIC.format('s')}/{DET.format('s')} AS mh FROM t)
- SELECT i, j, round({H2}, 6) AS h2 FROM u""")
+  WHERE i.object_idx < j.object_idx AND {DIST.format('i', 'j')} <= 1), u AS (SELECT i, j, {DET.format('a')} AS d1, {DET.format('b')} AS d2, {DET.format('s')} AS ds, {QUADRATIC.format('s')}/{DET.format('s')} AS mh FROM t)
+ SELECT i, j, round(CASE WHEN d1 > 0 AND d2 > 0 AND ds > 0 THEN {H2} ELSE 1 END, 6) AS h2 FROM u""")
 def j02_full_hellinger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours with the Hellinger distance of their full covariances."""
-    o = covariances(objects(spark, sf_dir).where("object_idx % 3 <> 0")).select("object_idx", *S, *C6)
+    o = covariances(objects(spark, sf_dir)).select("object_idx", *S, *C6)
     near = spatial.pairs_within(o.select("object_idx", *S), renamed(o.select("object_idx", *S), "a_"), 1.0).where("object_idx < a_object_idx").select("object_idx", "a_object_idx")
     both = near.join(o, "object_idx").join(renamed(o, "a_"), "a_object_idx")
     return both.select(F.col("object_idx").alias("i"), F.col("a_object_idx").alias("j"), r6(m.hellinger2(S, C6, A, [f"a_{k}" for k in C6])).alias("h2"))
