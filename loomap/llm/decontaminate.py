@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,22 +139,24 @@ def _hits(index, a, b, data, starts, ends, first):
     return doc, item, at - first[doc], at - first[doc] + n
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, key: Column, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(key, text) of docs with n_words, the word spans where benchmark windows occur (int64 blobs starts, ends), and the items."""
+def spans(docs: DataFrame, benchmark: DataFrame, key: Column, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """What ``finish`` makes of (key, text) of docs with n_words, the word spans where benchmark windows occur (int64 blobs starts, ends), and the items.
+
+    It runs in the same pass as the last block.
+    """
     spark = docs.sparkSession
     out = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends"), F.lit(None).cast("array<string>").alias("items"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     before, index = None, None
     for ids, texts in _blocks(items, block_windows):
         if index is not None:
-            out, done = written(out), before
+            out = written(out.mapInArrow(lambda batches, index=index: find_spans(index.value, batches), out.schema))
             index.destroy()
-            if done is not None:
-                discard(done)
+            if before is not None:
+                discard(before)
             before = out
         index = spark.sparkContext.broadcast(Index(ids, texts))
-        out = out.mapInArrow(lambda batches, index=index: find_spans(index.value, batches), out.schema)
-    return out
+    return out.mapInArrow(lambda batches: finish(find_spans(index.value, batches)), schema)
 
 
 def _blocks(items: DataFrame, block_windows: int) -> Iterator[tuple[list[str | None], list[str]]]:
@@ -193,20 +195,23 @@ def _clean(share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         rows = batch.select(["n_words", "starts", "ends"]).to_pylist()
         hits = [_hit(row) for row in rows]
         ok = pa.array([not hit or share * hit < row["n_words"] for hit, row in zip(hits, rows, strict=True)], pa.bool_())
-        yield batch.select(["key"]).filter(ok)
+        yield batch.select(["key", "text"]).filter(ok)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.  Nothing is shuffled."""
-    found = spans(docs, benchmark, F.col("doc_id").cast("long"), block_windows).drop("text")
-    return found.mapInArrow(lambda batches: _digest(share, batches), DIGEST)
+    return spans(docs, benchmark, F.col("doc_id").cast("long"), lambda batches: _digest(share, batches), DIGEST, block_windows)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of docs that aren't contaminated.  Nothing is shuffled."""
-    found = spans(docs, benchmark, F.struct(*[col(c) for c in docs.columns]), block_windows).drop("text")
-    kept = found.mapInArrow(lambda batches: _clean(share, batches), T.StructType([found.schema["key"]]))
-    return kept.select("key.*")
+    # a text that is a string goes along once: by itself, and not in the row
+    rest = [c for c in docs.columns if c != "text" or docs.schema["text"].dataType != T.StringType()]
+    key = F.struct(*[col(c) for c in rest]) if rest else F.struct(F.lit(True).alias("only"))
+    schema = T.StructType([docs.select(key.alias("key")).schema["key"], T.StructField("text", T.StringType())])
+    kept = spans(docs, benchmark, key, lambda batches: _clean(share, batches), schema, block_windows)
+    field = lambda c: F.col(f"key.`{c.replace('`', '``')}`").alias(c)
+    return kept.select(*[field(c) if c in rest else F.col("text") for c in docs.columns])
 
 
 ORACLE = r"""
