@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomap.functions import math as m
-from loomap.operators import fits, graph, spatial
+from loomap.operators import fits, graph, shared, spatial
 from loomap.plans.maps import BOXES, DIST, r6, renamed
 from loomap.runtime import checkpoint_dir, written
 from loomap.sources.scene import DETECTIONS_SQL, OBJECTS_SQL, detections, objects, redirects, table
@@ -390,17 +393,32 @@ def j31_descriptor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = h.withColumns({"n": F.row_number().over(by), "nxt": F.lead("dist").over(by)})
     return h.where("n = 1 and dist <= 14 and (nxt is null or dist < 0.9 * nxt)").select("a", "b", "dist")
 
+def _met_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the keyframes b that are like a (each row's arrays, ascending) those that the keyframe before met within two."""
+    for batch in batches:
+        out = []
+        for a, b, n, met in zip(batch.column(0).to_numpy().tolist(), *[[x.values.to_numpy(zero_copy_only=False) for x in batch.column(k)] for k in (1, 2, 3)], strict=True):
+            at = np.minimum(np.searchsorted(met, b - 2), len(met) - 1)
+            stay = abs(met[at] - b) <= 2
+            out.append((np.full(stay.sum(), a), b[stay], n[stay]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "common"])
+
+
 
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS kf, l_partkey AS w FROM lineitem), c AS (SELECT a.kf AS a, b.kf AS b, count(*) AS n FROM s a JOIN s b ON a.w = b.w AND a.kf <> b.kf GROUP BY ALL), l AS (SELECT a, min(n) AS least FROM c WHERE abs(a-b) <= 3 GROUP BY a),
  k AS (SELECT c.a, c.b, c.n FROM c JOIN l USING (a) WHERE abs(c.a-c.b) > 10 AND c.n >= l.least) SELECT DISTINCT k.a, k.b, k.n AS common FROM k JOIN k p ON p.a = k.a-1 AND abs(p.b-k.b) <= 2""")
 def j32_loop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loop candidates: keyframes as alike as the least alike neighbour, not near on the path, that the keyframe before met too (within two)."""
     s = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("kf"), F.col("l_partkey").alias("w")).distinct()
-    c = s.select(F.col("kf").alias("a"), "w").join(s.select(F.col("kf").alias("b"), "w"), "w").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    least = c.where("abs(a - b) <= 3").groupBy("a").agg(F.min("n").alias("least"))
-    k = c.join(least, "a").where("abs(a - b) > 10 and n >= least").select("a", "b", "n")
-    before = k.select((F.col("a") + 1).alias("a"), F.explode(F.sequence(F.col("b") - 2, F.col("b") + 2)).alias("b")).distinct()
-    return k.join(before, ["a", "b"], "left_semi").select("a", "b", F.col("n").alias("common"))
+
+    def alike(a: int, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        near = (b != a) & (abs(b - a) <= 3)
+        return (abs(b - a) > 10) & (n >= n[near].min()) if near.any() else np.zeros(len(b), bool)
+
+    k = written(shared.counts(s, "kf", "w", alike).select(F.col("kf").alias("a"), F.col("others").alias("b"), F.col("common").alias("n")))
+    before = k.select((F.col("a") + 1).alias("a"), F.col("b").alias("met"))
+    return k.join(before, "a").mapInArrow(_met_before, "a long, b long, common long")
 
 
 # --- frames in order
