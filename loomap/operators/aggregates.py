@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,14 +85,25 @@ def greedy_cover(pairs: DataFrame) -> DataFrame:
     """
 
     def pick(pdf):
-        left = {image: set(g["object"]) for image, g in pdf.groupby("image")}
-        rows, step = [], 0
-        while any(left.values()):
-            best = max(sorted(left), key=lambda i: len(left[i]))
-            new = left.pop(best)
-            rows.append((pdf["cluster"].iloc[0], best, step, len(new)))
-            left = {i: s - new for i, s in left.items()}
-            step += 1
+        left = {image: set(g) for image, g in pdf.groupby("image")["object"]}
+        shows: dict = {}
+        for image, s in left.items():
+            for o in s:
+                shows.setdefault(o, []).append(image)
+        # an image's count only falls: the first of the heap whose count still holds is the best
+        heap = [(-len(s), image) for image, s in left.items()]
+        heapq.heapify(heap)
+        rows = []
+        while heap:
+            count, best = heapq.heappop(heap)
+            new = left[best]
+            if -count != len(new):
+                heapq.heappush(heap, (-len(new), best))
+            elif new:
+                rows.append((pdf["cluster"].iloc[0], best, len(rows), len(new)))
+                for o in list(new):
+                    for image in shows.pop(o):
+                        left[image].discard(o)
         return type(pdf)(rows, columns=["cluster", "image", "step", "covers"])
 
     return pairs.groupBy("cluster").applyInPandas(pick, "cluster long, image long, step int, covers long")
