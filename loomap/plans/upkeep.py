@@ -72,8 +72,7 @@ QUADRATIC = """(({0}yy*{0}zz-{0}yz*{0}yz)*dx*dx+({0}xx*{0}zz-{0}xz*{0}xz)*dy*dy+
 def j02_full_hellinger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours with the Hellinger distance of their full covariances."""
     o = covariances(objects(spark, sf_dir)).select("object_idx", *S, *C6)
-    near = spatial.pairs_within(o.select("object_idx", *S), renamed(o.select("object_idx", *S), "a_"), 1.0).where("object_idx < a_object_idx").select("object_idx", "a_object_idx")
-    both = near.join(o, "object_idx").join(renamed(o, "a_"), "a_object_idx")
+    both = spatial.pairs_within(o, renamed(o, "a_"), 1.0).where("object_idx < a_object_idx")
     return both.select(F.col("object_idx").alias("i"), F.col("a_object_idx").alias("j"), r6(m.hellinger2(S, C6, A, [f"a_{k}" for k in C6])).alias("h2"))
 
 
@@ -393,6 +392,7 @@ def j31_descriptor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = h.withColumns({"n": F.row_number().over(by), "nxt": F.lead("dist").over(by)})
     return h.where("n = 1 and dist <= 14 and (nxt is null or dist < 0.9 * nxt)").select("a", "b", "dist")
 
+
 def _met_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the keyframes b that are like a (each row's arrays, ascending) those that the keyframe before met within two."""
     for batch in batches:
@@ -405,7 +405,6 @@ def _met_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["a", "b", "common"])
 
 
-
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS kf, l_partkey AS w FROM lineitem), c AS (SELECT a.kf AS a, b.kf AS b, count(*) AS n FROM s a JOIN s b ON a.w = b.w AND a.kf <> b.kf GROUP BY ALL), l AS (SELECT a, min(n) AS least FROM c WHERE abs(a-b) <= 3 GROUP BY a),
  k AS (SELECT c.a, c.b, c.n FROM c JOIN l USING (a) WHERE abs(c.a-c.b) > 10 AND c.n >= l.least) SELECT DISTINCT k.a, k.b, k.n AS common FROM k JOIN k p ON p.a = k.a-1 AND abs(p.b-k.b) <= 2""")
 def j32_loop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
