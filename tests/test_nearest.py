@@ -3,9 +3,11 @@
 import math
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from loomap.operators import nearest
+from loomap.operators import nearest, spatial
 
 
 def plain(left, right, k, by, others):
@@ -56,3 +58,22 @@ def test_two_sides_and_few_rows(spark):
     got = sorted((x.id, x.other, round(x.d, 9), x["rank"]) for x in nearest.k_nearest(l, few, 4, others=False).collect())
     assert got == plain(left, pair, 4, None, False)
     assert nearest.k_nearest(l, r.where("false"), 2).count() == 0 and nearest.k_nearest(l.where("false"), r, 2).count() == 0
+
+
+def test_kth_within_a_leaf():
+    rng = random.Random(6)
+    rows = [(rng.choice([0.0, 1.0, rng.gauss(0, 1)]), rng.gauss(0, 1), 0.5, rng.randint(1, 3)) for _ in range(60)]
+    leaf = pd.DataFrame([("", 2, 7, *r) for r in rows], columns=["grp", "level", "cell", "px", "py", "pz", "n"])
+    for need in (1, 4, 100, 1000):
+        got = nearest._kth(leaf, need)["kth"].tolist()
+        for a, kth in zip(rows, got, strict=True):
+            d = sorted(d for b in rows for d in [math.dist(a[:3], b[:3])] * b[3])
+            assert kth == pytest.approx(d[need - 1] if need <= len(d) else math.inf)
+
+
+def test_pairs_of_one_scene_only(spark):
+    rows = [(i, float(i % 7), 0.0, 0.0, i % 3 if i % 5 else None) for i in range(40)]
+    o = spark.createDataFrame(rows, "object_idx long, x double, y double, z double, scene long")
+    pairs = spatial.pairs_within(o, o.select(*[F.col(c).alias("a_" + c) for c in o.columns]), 1.0, by=("scene", "a_scene"))
+    got = sorted((r.object_idx, r.a_object_idx) for r in pairs.collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[4] is not None and a[4] == b[4] and abs(a[1] - b[1]) <= 1)
