@@ -33,7 +33,7 @@ def test_most_common(spark):
 
 def test_cover_of_many_images_by_a_heap(spark):
     rng = random.Random(8)
-    rows = {(c, rng.randrange(40), rng.randrange(60)) for c in range(3) for _ in range(150)} | {(7, i, i) for i in range(6000)}  # the last took minutes when each step counted all images
+    rows = {(c, rng.randrange(40), rng.randrange(60)) for c in range(3) for _ in range(150)} | {(7, i, i) for i in range(6000)}  # the last has a step for each of its images
     got = sorted((r.cluster, r.step, r.image, r.covers) for r in aggregates.greedy_cover(spark.createDataFrame([*rows], "cluster long, image long, object long")).collect())
     want = [(7, i, i, 1) for i in range(6000)]
     for c in range(3):
