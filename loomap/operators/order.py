@@ -94,6 +94,87 @@ def constrained_merge(edges: DataFrame) -> DataFrame:
     return edges.groupBy("component").applyInPandas(merge, "component long, node long, root long")
 
 
+def merged_within(nodes: DataFrame, radius: float) -> DataFrame:
+    """(component, node, root) as ``constrained_merge`` gives for all pairs at most ``radius`` apart, which aren't formed.
+
+    ``nodes``: component, node (long), x, y, z, and mark (long): pairs within the radius that have one mark must not be joined, null forbids nothing.
+    As each union depends on all before it, a component is one task; it holds the component's nodes and forbidden pairs, and looks for a node's
+    neighbours through a grid when its turn comes.  Nodes without a neighbour are left out.
+    """
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = np.floor(pdf[["x", "y", "z"]].to_numpy(np.float64) / radius).astype(np.int64)
+        pdf = pdf.iloc[np.lexsort(cell.T[::-1])]
+        cell = np.floor(pdf[["x", "y", "z"]].to_numpy(np.float64) / radius).astype(np.int64)
+        names, of = np.unique(pdf["node"].to_numpy(np.int64), return_inverse=True)
+        places = np.ascontiguousarray(pdf[["x", "y", "z"]].to_numpy(np.float64).T)
+        marks, marked = pdf["mark"].fillna(0).to_numpy(np.int64), pdf["mark"].notna().to_numpy()
+        # a column of cells along z is one run of rows, so a place's surroundings are nine slices of three cells
+        runs: dict[tuple[int, int], tuple[int, int]] = {}
+        start = np.flatnonzero(np.r_[True, (np.diff(cell[:, :2], axis=0) != 0).any(1)])
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(cell)], strict=True):
+            runs[tuple(cell[lo, :2].tolist())] = lo, hi
+        rows_of = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[rows_of], np.arange(len(names) + 1))
+
+        def around(i: int) -> tuple[np.ndarray, np.ndarray]:
+            """The neighbours of a node by their numbers, and whether they are forbidden."""
+            out, bad = [], []
+            for row in rows_of[first[i] : first[i + 1]].tolist():
+                x, y, z = cell[row].tolist()
+                parts = []
+                for u in (x - 1, x, x + 1):
+                    for v in (y - 1, y, y + 1):
+                        if (run := runs.get((u, v))) is not None:
+                            lo, hi = run
+                            a, b = np.searchsorted(cell[lo:hi, 2], (z - 1, z + 2))
+                            parts.append(slice(lo + a, lo + b))
+                for p in parts:
+                    d = places[:, p] - places[:, row, None]
+                    near = np.flatnonzero(np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) <= radius) + p.start
+                    near = near[of[near] != i]
+                    out.append(of[near])
+                    bad.append((marks[near] == marks[row]) & marked[near] & marked[row])
+            return np.concatenate(out), np.concatenate(bad)
+
+        foes = []
+        for i in range(len(names)):
+            other, bad = around(i)
+            foes.append(np.unique(other[bad]).astype(np.int32))
+        label = np.arange(len(names))
+        members: dict[int, list[int]] = {}
+        against: dict[int, set[int]] = {}  # clusters that a cluster of several nodes can't be joined with
+
+        def enemies(x: int) -> set[int]:
+            return against[x] if x in against else set(label[foes[x]].tolist())
+
+        for i in range(len(names)):
+            other, bad = around(i)
+            other = np.unique(other[~bad & (other > i)])
+            found, at = np.unique(label[other], return_index=True)
+            for y in found[np.argsort(at)].tolist():
+                x = int(label[i])
+                if x == y or (y in against[x] if x in against else x in enemies(y)):
+                    continue
+                if len(members.get(x, ())) < len(members.get(y, ())):
+                    x, y = y, x
+                theirs, moved = enemies(y), members.pop(y, [y])
+                against[x] = enemies(x) | theirs
+                against.pop(y, None)
+                for w in theirs:
+                    if w in against:
+                        against[w].discard(y)
+                        against[w].add(x)
+                members.setdefault(x, [x]).extend(moved)
+                label[moved] = x
+        least = np.full(len(names), len(names))
+        np.minimum.at(least, label, np.arange(len(names)))
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": names, "root": names[least[label]]})
+
+    several = nodes.groupBy("component").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b").select("component")
+    return nodes.join(several, "component").groupBy("component").applyInPandas(merge, "component long, node long, root long")
+
+
 def diverse_views(views: DataFrame, angle: float = 30.0, nearer: float = 0.75, most: int = 256) -> DataFrame:
     """(object, view): the views (object, view, dx dy dz: from the object to the camera) that stay, taken in order.
 

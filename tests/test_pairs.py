@@ -1,8 +1,12 @@
 """Pairs of all objects with the query set: how they are dealt, and what odd rows give."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from loomap import catalog
+from loomap.operators import graph, order, spatial
 
 
 def plan(df):
@@ -22,3 +26,33 @@ def test_between_is_not_dealt_by_cell(spark, tmp_path):
     rows = df.collect()
     assert rows and {(r.a_object_idx, r.b_object_idx) for r in rows} <= {(0, 100), (100, 200), (200, 300)}
     assert all(r.object_idx < 901 and r.clamped == pytest.approx(max(r.score, 0.0)) for r in rows)
+
+
+def places(spark, n, spread, seed):
+    rng = random.Random(seed)
+    rows = [(i, *[rng.gauss(0, spread) for _ in range(3)], rng.randrange(4)) for i in range(n)]
+    rows += [(n + k, *rows[k][1:4], k % 2) for k in range(20)]  # copies
+    rows += [(5, 40.0, 0.0, 0.0, 1), (n + 30, 40.2, 0.0, 0.0, 1), (n + 31, float("nan"), 0.0, 0.0, 1), (n + 32, None, 0.0, 0.0, None), (n + 33, 0.0, 0.0, 0.0, None)]
+    return spark.createDataFrame(rows, "object_idx long, x double, y double, z double, mark long")
+
+
+@pytest.mark.parametrize(("n", "spread", "radius"), [(300, 1.0, 0.4), (200, 3.0, 0.8), (150, 0.2, 0.5)])
+def test_linked_and_merged_without_pairs(spark, n, spread, radius):
+    """Components and constrained unions as from all close pairs; an id with two places links both."""
+    o = places(spark, n, spread, n)
+    a = o.select(*[F.col(c).alias(f"a_{c}") for c in o.columns])
+    near = spatial.pairs_within(o, a, radius).where("object_idx < a_object_idx").select(F.col("object_idx").alias("a"), F.col("a_object_idx").alias("b"), F.coalesce(F.col("mark") == F.col("a_mark"), F.lit(False)).alias("forbidden"))
+    comp = graph.components(near.select("a", "b"))
+    got = {r.node: r.root for r in spatial.linked_within(o, radius).collect()}
+    want = {r.node: r.root for r in comp.collect()}
+    assert {k: got[k] for k in want} == want and all(got[k] == k for k in set(got) - set(want))
+    merged = order.constrained_merge(near.join(comp, F.col("a") == F.col("node")).select(F.col("root").alias("component"), "a", "b", "forbidden"))
+    nodes = o.where("abs(x) < 1e9").join(spatial.linked_within(o, radius), F.col("object_idx") == F.col("node")).select(F.col("root").alias("component"), "node", "x", "y", "z", "mark")
+    assert sorted(map(str, order.merged_within(nodes, radius).select("component", "node", "root").collect())) == sorted(map(str, merged.select("component", "node", "root").collect()))
+
+
+def test_merge_forms_no_pairs(spark, tmp_path):
+    """Of 400 objects in one place and radius there are 80,000 pairs; the merge and the clusters read the objects only."""
+    sf = embeddings(spark, tmp_path, [(i, [0.001 * (i % 20), 0.0, 0.0, 0.1, 0.1, 0.1], i % 3) for i in range(400)])
+    for name in ("g01_constrained_merge", "g06_clusters"):
+        assert "a_object_idx" not in plan(catalog.QUERIES[name](spark, sf))
