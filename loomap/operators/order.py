@@ -1,7 +1,7 @@
 """Operators whose result depends on an order: greedy duplicates, one-to-one matches, temporal suppression, constrained merging.
 
 Greedy choices are made in rounds of joins, so no image or scene is one task.  Suppression works on a query's answer and
-merging on a component, each in a pandas function.
+merging on a component (its pairs, or its nodes alone), each in a pandas function.
 """
 
 from __future__ import annotations
