@@ -57,3 +57,20 @@ def test_merge_forms_no_pairs(spark, tmp_path, monkeypatch, name):
     sf = embeddings(spark, tmp_path, [(i, [0.001 * (i % 20), 0.0, 0.0, 0.1, 0.1, 0.1], i % 3) for i in range(400)])
     monkeypatch.setattr(spatial, "pairs_within", lambda *a, **k: pytest.fail("all close pairs are formed"))
     assert catalog.QUERIES[name](spark, sf).count() == 400
+
+
+@pytest.mark.parametrize("rows", [16, 2048])
+def test_crowded_cell_is_shared_out(spark, rows):
+    """Most boxes touch one cell: its blocks meet in many tasks, and the pairs are those of a plain loop."""
+    rng = random.Random(2)
+    boxes = []
+    for i in range(160):
+        low = [rng.uniform(-0.8, 0.8) for _ in range(3)]
+        boxes.append((i, *low, *[v + rng.choice([0.2, 0.9, 5.0]) for v in low]))
+    boxes += [(3, 0.1, 0.1, 0.1, 0.5, 0.5, 0.5), (200, 30.0, 0.0, 0.0, 31.0, 1.0, 1.0), (201, 30.5, 0.5, 0.5, 32.5, 1.5, 1.5), (202, float("nan"), 0.0, 0.0, 1.0, 1.0, 1.0), (203, None, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "i long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    found = spatial.overlapping_boxes(df, 2.0, rows).withColumn("task", F.spark_partition_id()).collect()
+    sound = [b for b in boxes if b[1] is not None and b[1] == b[1]]
+    want = [(p[0], q[0]) for p in sound for q in sound if p[0] < q[0] and all(p[k] < q[k + 3] and q[k] < p[k + 3] for k in (1, 2, 3))]
+    assert sorted((r.i, r.j) for r in found) == sorted(want) and (200, 201) in want
+    assert rows > len(boxes) or len({r.task for r in found}) > 4
