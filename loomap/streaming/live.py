@@ -9,7 +9,8 @@ they arrive or are cut into batches.  Events behind the watermark are dropped.
 smaller id takes in the other, which stays as a row that isn't active and names its winner; both tracks then lead to it.  ``gone``: the object is
 deleted softly, its track forgotten.  ``end`` changes nothing; as the last event of all it lets the watermark pass the others.
 
-The state of a scene is its objects, tracks and waiting events, in the state store and not in memory: a call reads the objects it needs.  Changes are
+The state of a scene is its objects, tracks and waiting events, in the state store and not in memory: a call reads the objects it needs.  Events wait in
+chunks, one for each batch of rows that came, so that they are no calls of the store by themselves; a call reads the chunks that hold events that are due.  Changes are
 written by batch under a folder, a batch that is run again replaces itself, and ``compact`` joins them into one snapshot.
 """
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,7 +30,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 EVENTS = "scene string, seq long, ts timestamp, kind string, track string, other string, x double, y double, z double, weight double"
 OBJECTS = "scene string, object_idx long, at long, seq long, x double, y double, z double, weight double, n long, active boolean, redirect long"
 _OBJECT = "x double, y double, z double, weight double, n long, active boolean, redirect long"
-_EVENT = "kind string, track string, other string, x double, y double, z double, weight double"
+_TEXTS, _NUMBERS = ("kind", "track", "other"), {"x": 0.0, "y": 0.0, "z": 0.0, "weight": 1.0}
+#: Events that are applied, and changed objects that are put out, at once.
+SLICE = 10_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -127,12 +132,40 @@ class _Stored(dict):
                 self.state.removeKey((key,))
 
 
+def _chunk(batch: pd.DataFrame, behind: int) -> pa.Table:
+    """A batch's events after the watermark: at (ms), seq, texts, and numbers with what stands for a missing one."""
+    at = batch["ts"].to_numpy("datetime64[ns]").astype(np.int64) // 1_000_000
+    batch, at = batch[at > behind], at[at > behind]
+    text = {c: pa.array([None if pd.isna(v) else str(v) for v in batch[c]], pa.string()) for c in _TEXTS}
+    number = {c: batch[c].astype("float64").fillna(absent).to_numpy() for c, absent in _NUMBERS.items()}
+    return pa.table({"at": at, "seq": batch["seq"].to_numpy(np.int64), **text, **number})
+
+
+def _packed(events: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, events.schema) as out:
+        out.write_table(events)
+    return sink.getvalue().to_pybytes()
+
+
+def _in_order(events: pa.Table) -> Iterator[dict]:
+    """The events by (at, seq); of those sent again the one that came last."""
+    at, seq = (events.column(c).to_numpy() for c in ("at", "seq"))
+    order = np.lexsort((seq, at))
+    at, seq = at[order], seq[order]
+    order = order[np.append((at[1:] != at[:-1]) | (seq[1:] != seq[:-1]), True)[: len(order)]]
+    for i in range(0, len(order), SLICE):
+        yield from events.take(pa.array(order[i : i + SLICE])).to_pylist()
+
+
 class LiveMap(StatefulProcessor):
-    """A scene's state: waiting events, objects, tracks, the next id and the timer that is set."""
+    """A scene's state: chunks of waiting events, each one's first time, objects, tracks, the next numbers and the timer that is set."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, seq long", _EVENT)
+        self.waiting = handle.getMapState("waiting", "chunk long", "events binary")
+        self.first = handle.getMapState("first", "chunk long", "at long")
+        self.chunk = handle.getValueState("chunk", "chunk long")
         self.objects = handle.getMapState("objects", "object_idx long", _OBJECT)
         self.tracks = handle.getMapState("tracks", "track string", "object_idx long")
         self.following = handle.getValueState("following", "object_idx long")
@@ -148,39 +181,58 @@ class LiveMap(StatefulProcessor):
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
+    def _keep(self, chunk: int, events: pa.Table) -> int:
+        first = int(events.column("at").to_numpy().min())
+        self.waiting.updateValue((chunk,), (_packed(events),))
+        self.first.updateValue((chunk,), (first,))
+        return first
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         behind = timerValues.getCurrentWatermarkInMs()
-        first = None
+        chunk = start = self.chunk.get()[0] if self.chunk.exists() else 0
+        first = []
         for batch in rows:
-            for e in batch.itertuples(index=False):
-                at = int(e.ts.value // 1_000_000)
-                if at <= behind:
-                    continue
-                text = [None if pd.isna(v) else str(v) for v in (e.kind, e.track, e.other)]
-                numbers = [None if pd.isna(v) else float(v) for v in (e.x, e.y, e.z, e.weight)]
-                self.waiting.updateValue((at, int(e.seq)), (*text, *numbers))
-                first = at if first is None else min(first, at)
-        if first is not None:
-            self._wait_for(first)
+            events = _chunk(batch, behind)
+            if events.num_rows:
+                first.append(self._keep(chunk, events))
+                chunk += 1
+        if chunk > start:
+            self.chunk.update((chunk,))
+            self._wait_for(min(first))
         return iter([])
 
+    def _due(self, passed: int) -> tuple[pa.Table | None, list[int]]:
+        """The events that are due, in the order they came, taken out of the chunks; and the first times of what stays."""
+        due, later = [], []
+        for chunk, first in sorted((k[0], v[0]) for k, v in self.first.iterator()):
+            if first > passed:
+                later.append(first)
+                continue
+            events = pa.ipc.open_stream(self.waiting.getValue((chunk,))[0]).read_all()
+            now = events.column("at").to_numpy() <= passed
+            due.append(events.filter(pa.array(now)))
+            if now.all():
+                self.waiting.removeKey((chunk,))
+                self.first.removeKey((chunk,))
+            else:
+                later.append(self._keep(chunk, events.filter(pa.array(~now))))
+        return (pa.concat_tables(due) if due else None), later
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        waiting = [(k, v) for k, v in self.waiting.iterator()]
-        due = sorted((tuple(k), v) for k, v in waiting if k[0] <= passed)
+        due, later = self._due(passed)
         rules = Rules(_Stored(self.objects, False), _Stored(self.tracks, True), self.following.get()[0] if self.following.exists() else 0)
-        for when, (kind, track, other, x, y, z, weight) in due:
-            rules.apply(when, kind, track, other, [v or 0.0 for v in (x, y, z)], 1.0 if weight is None else weight)
-            self.waiting.removeKey(when)
+        for e in _in_order(due) if due is not None else ():
+            rules.apply((e["at"], e["seq"]), e["kind"], e["track"], e["other"], [e["x"], e["y"], e["z"]], e["weight"])
         rules.objects.save()
         rules.tracks.save()
         self.following.update((rules.following,))
-        later = [k[0] for k, _ in waiting if k[0] > passed]
         if later:
             self._wait_for(min(later))
-        rows = [(key[0], i, *when, *rules.objects[i]) for i, when in sorted(rules.changed.items())]
-        if rows:
+        changed = sorted(rules.changed)
+        for i in range(0, len(changed), SLICE):
+            rows = [(key[0], k, *rules.changed[k], *rules.objects[k]) for k in changed[i : i + SLICE]]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in OBJECTS.split(", ")])
             yield out.astype({"redirect": "Int64", "n": "int64", "active": "bool"})
 

@@ -1,8 +1,9 @@
 """Keyed map state and late captions on streams: the same map for any order of arrival, restarts, compaction."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from loomap.streaming import live
@@ -120,3 +121,90 @@ def test_captions_of_a_stream(spark, tmp_path):
     run()
     got = sorted((x.object_idx, x.caption) for x in spark.read.schema(asked + ", answered timestamp, caption string").parquet(f"{tmp_path}/out").collect())
     assert [g for g in got if g[0] < 5] == [(1, "a chair"), (2, "a lamp"), (3, None), (4, None)]
+
+
+class _Map(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.pop(key)
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.maps, self.timers = [], set()
+
+    def getMapState(self, *a):
+        self.maps.append(_Map())
+        return self.maps[-1]
+
+    def getValueState(self, *a):
+        return _Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_waiting_events_are_no_calls_by_themselves():
+    """2,000 events of three tracks in four batches: the store is asked a few times, not for each event; the last to come of an event's versions counts."""
+    rows = [("a", i, START + timedelta(seconds=i), "seen", "pqr"[i % 3], None, 1.0 * i, 0.0, None, 1.0) for i in range(2000)]
+    random.Random(3).shuffle(rows)
+    batches = [pd.DataFrame(rows[i : i + 500], columns=[c.split()[0] for c in live.EVENTS.split(", ")]) for i in range(0, 2000, 500)]
+    batches.append(pd.DataFrame([("a", 0, START, "seen", "p", None, 600.0, 0.0, None, 1.0)], columns=batches[0].columns))
+    handle, machine = _Handle(), live.LiveMap()
+    machine.init(handle)
+    assert list(machine.handleInputRows(("a",), iter(batches), _Watermark(0))) == []
+    ms = lambda s: int((START + timedelta(seconds=s)).replace(tzinfo=UTC).timestamp() * 1000)
+    assert handle.timers == {ms(0)}
+    out = []
+    for at in (ms(999), ms(5000)):
+        handle.timers.clear()
+        out.append(pd.concat(machine.handleExpiredTimer(("a",), _Watermark(at), None)))
+    assert [o.n.tolist() for o in out] == [[334, 333, 333], [667, 667, 666]]
+    assert out[1].x.tolist() == pytest.approx([(sum(range(0, 2000, 3)) + 600) / 667, sum(range(1, 2000, 3)) / 667, sum(range(2, 2000, 3)) / 666])
+    assert sum(m.calls for m in handle.maps) < 100 and not handle.timers and not machine.waiting
