@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomap import catalog
-from loomap.operators import graph, order, spatial
+from loomap.operators import graph, nearest, order, spatial
 
 
 def plan(df):
@@ -74,3 +75,27 @@ def test_crowded_cell_is_shared_out(spark, rows):
     want = [(p[0], q[0]) for p in sound for q in sound if p[0] < q[0] and all(p[k] < q[k + 3] and q[k] < p[k + 3] for k in (1, 2, 3))]
     assert sorted((r.i, r.j) for r in found) == sorted(want) and (200, 201) in want
     assert rows > len(boxes) or len({r.task for r in found}) > 4
+
+
+@pytest.mark.parametrize("band_rows", [40, 1 << 20])
+def test_distance_ranks(spark, band_rows):
+    """Ranks from both ends as windows give them, in one band and in several: equal distances, places that aren't known, NaN."""
+    rng = random.Random(7)
+    rows = [(i, *[float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(180)] + [(300, None, 0.0, 0.0), (301, float("nan"), 0.0, 0.0), (302, float("nan"), 1.0, 0.0), (None, 0.0, 0.0, 0.0)]
+    o = spark.createDataFrame(rows, "object_idx long, x double, y double, z double")
+    a = o.where("object_idx % 50 = 0").select(*[F.col(c).alias(f"a_{c}") for c in o.columns])
+    x = o.join(a, F.col("object_idx") != F.col("a_object_idx")).withColumn("d", F.sqrt(sum((F.pow(F.col(c) - F.col(f"a_{c}"), 2) for c in "xyz"), F.lit(0.0))))
+    by = lambda d: F.row_number().over(Window.partitionBy("a_object_idx").orderBy(d, "object_idx")) - 1
+    want = x.select("object_idx", "a_object_idx", by(F.col("d")).alias("closest"), by(F.col("d").desc()).alias("farthest"))
+    got = nearest.distance_ranks(o, o.where("object_idx % 50 = 0"), band_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5 * 182
+
+
+def test_superlatives_shuffle_no_pairs(spark, tmp_path):
+    """Scores as rounded by Spark, and no window over the pairs."""
+    sf = embeddings(spark, tmp_path, [(i, [0.01 * (i % 7), 0.02 * (i % 11), 0.0], 1) for i in range(701)])
+    df = catalog.QUERIES["p11_p12_superlatives"](spark, sf)
+    assert "Window" not in plan(df)
+    want = spark.range(700).select(F.round(1 / (F.col("id") + 1), 6).alias("s")).collect()
+    assert sorted(r.closest for r in df.where("a_object_idx = 100").collect()) == sorted(r.s for r in want)
+    assert sorted(r.farthest for r in df.where("a_object_idx = 700").collect()) == sorted(r.s for r in want)
