@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from loomap.operators import aggregates, shared
+from loomap.operators import aggregates, graph, shared
 
 
 def test_counts(spark):
@@ -44,3 +44,16 @@ def test_cover_of_many_images_by_a_heap(spark):
             want.append((c, step, best, len(new)))
             left, step = {i: s - new for i, s in left.items()}, step + 1
     assert got == sorted(want)
+
+
+def test_hops_keep_no_distinct_edges(spark):
+    """Repeated edges lead where single ones do; the edges are dealt by their number and aren't made distinct first, which held a partition of them in memory."""
+    rows = [(i % 40, 1000 + i % 7) for i in range(300)]
+    edges, start = spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(1003,)], "node long")
+    df = graph.reachable(edges, start, 2)
+    want, hops = {1003: 0}, [1003]
+    for hop in (1, 2):
+        hops = {b for x in hops for p, q in rows for a, b in ((p, q), (q, p)) if a == x} - set(want)
+        want |= dict.fromkeys(hops, hop)
+    assert sorted((r.source, r.node, r.hop) for r in df.collect()) == sorted((1003, n, h) for n, h in want.items())
+    assert "keys=[a#" not in df._jdf.queryExecution().optimizedPlan().toString() and "Aggregate [a#" not in df._jdf.queryExecution().optimizedPlan().toString()
