@@ -94,6 +94,17 @@ def test_scores_against_a_plain_forward_pass():
     assert np.allclose(lm_score.score_ids(m, ids, first), want, rtol=1e-4)
 
 
+def test_later_windows_ask_for_scored_places_only(monkeypatch):
+    """Exponentials of pairs of places are made for the places that are scored, in blocks of windows alike."""
+    m, (ids, first) = model(), texts_of_ids()
+    places, hidden = [], lm_score.Model.hidden
+    monkeypatch.setattr(lm_score.Model, "hidden", lambda self, *args: (out := hidden(self, *args), places.append(out[1].shape))[0])
+    monkeypatch.setattr(lm_score, "BLOCK", 8)
+    lm_score.score_ids(m, ids, first)
+    assert sum(w for w, *_ in places) == len(lm_score.windows_of(first)[0])
+    assert any(n == lm_score.STEP for _, n, _ in places) and all(n in (lm_score.STEP, lm_score.WINDOW) for _, n, _ in places)
+
+
 def test_probabilities_sum_to_one():
     m = model()
     every = np.repeat(np.arange(lm_score.IDS)[:, None], lm_score.WINDOW, 1)

@@ -100,3 +100,15 @@ def test_small_automaton():
     ends = np.cumsum([len(w) for w in words])
     got = token_counts.Automaton(vocabulary).count(data, ends - [len(w) for w in words], ends)
     assert got.tolist() == [greedy(b" " + w, set(vocabulary)) for w in words]
+
+
+def test_new_units_are_encoded_together():
+    """Units that aren't known cost a few calls of the tokenizer in all, not one each."""
+    encoder, calls = Encoder(), []
+    encode = encoder.encode
+    encoder.encode = lambda text: (calls.append(text), encode(text))[1]
+    texts = [" ".join(f"w{i}x{k}" for i in range(500)) + " é x " for k in range(4)]
+    data = [t.encode() for t in texts]
+    ids, first = encoder.encode_texts(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    assert len(calls) < 20
+    assert all(ids[first[k] : first[k + 1]].tolist() == encode(t) for k, t in enumerate(texts))
