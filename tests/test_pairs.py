@@ -19,6 +19,16 @@ def embeddings(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", ["x08_distances", "x16_x24_relative_poses"])
+def test_pairs_are_shared_out(spark, tmp_path, name):
+    """Objects that lie in one file meet the query set in tasks of some 4,096."""
+    sf = str(tmp_path)
+    spark.range(9000).selectExpr("id as vec_id", "transform(sequence(1, 6), i -> cast(id % (i + 90) / 50 as float)) as embedding", "1 as label").coalesce(1).write.parquet(f"{sf}/embeddings.parquet")
+    df = catalog.QUERIES[name](spark, sf)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 90 * 9000 - 90 and len(sizes) == 3
+
+
 def test_between_is_not_dealt_by_cell(spark, tmp_path):
     """All objects lie in one cell: no task may hold it alone, and the score's code is short enough to be compiled."""
     sf = embeddings(spark, tmp_path, [(i, [0.001 * (i % 7), 0.0005 * (i % 11), 0.0, 0.1, 0.1, 0.1], 1) for i in range(301)] + [(901, None, 1), (902, [float("nan")] * 6, 1)])
