@@ -1,7 +1,9 @@
 """Pairs of all objects with the query set: how they are dealt, and what odd rows give."""
 
+import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -109,3 +111,27 @@ def test_superlatives_shuffle_no_pairs(spark, tmp_path):
     want = spark.range(700).select(F.round(1 / (F.col("id") + 1), 6).alias("s")).collect()
     assert sorted(r.closest for r in df.where("a_object_idx = 100").collect()) == sorted(r.s for r in want)
     assert sorted(r.farthest for r in df.where("a_object_idx = 700").collect()) == sorted(r.s for r in want)
+
+
+def test_rounded_and_far_distances(spark):
+    """A distance that is rounded to the radius reaches over a whole cell; cells of far places are no overflow; what isn't finite is near none."""
+    for radius, x, y in ((1.0, -1e-17, 1.0), (0.8, -1e-17, 0.8), (2.0, -1e-17, 2.0), (1.0, 1e20, 1e20), (1.0, -3e39, -3e39)):
+        df = spark.createDataFrame([(1, x, 0.0, 0.0), (2, y, 0.0, 0.0), (3, math.inf, 0.0, 0.0), (4, math.nan, 0.0, 0.0), (5, None, 0.0, 0.0)], "object_idx long, x double, y double, z double")
+        both = spatial.pairs_within(df, df.select(*[F.col(c).alias(f"a_{c}") for c in df.columns]), radius).where("object_idx < a_object_idx")
+        assert [(r.object_idx, r.a_object_idx) for r in both.collect()] == [(1, 2)]
+
+
+def test_candidates_further_than_a_metre(spark, tmp_path):
+    """Wide Gaussians meet at any distance: the reference has no bound on it, so there is none in code or SQL."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 0.4) for _ in range(3)] + [rng.choice([0.02, 0.5, 40.0]) * rng.random() for _ in range(3)] + [rng.gauss(0, 1)], rng.randrange(3)) for i in range(120)]
+    rows += [(200, [0.0] * 7, 1), (201, [0.0] * 7, 1), (202, rows[0][1], None), (203, None, 1), (204, [math.nan] * 7, 1), (205, [math.inf] * 7, 1), (206, [1e20] * 7, 1), (206, rows[1][1], 1), (207, rows[1][1], 2)]
+    sf = embeddings(spark, tmp_path, rows)
+    got = catalog.QUERIES["j02_j03_merge_candidates"](spark, sf).collect()
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select i, j, h2, merge from ({catalog.ORACLES['j02_j03_merge_candidates']})").fetchall()
+    plain = lambda rows: sorted(str((i, j, round(h, 6) + 0.0, g)) for i, j, h, g in rows)
+    assert plain((r.i, r.j, r.h2, r.merge) for r in got) == plain(want)
+    at = {i: v for i, v, _ in rows if v}
+    assert any(10 * math.dist(at[r.i][:3], at[r.j][:3]) > 5 for r in got) and (200, 201) in {(r.i, r.j) for r in got}
