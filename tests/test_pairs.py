@@ -135,3 +135,20 @@ def test_candidates_further_than_a_metre(spark, tmp_path):
     assert plain((r.i, r.j, r.h2, r.merge) for r in got) == plain(want)
     at = {i: v for i, v, _ in rows if v}
     assert any(10 * math.dist(at[r.i][:3], at[r.j][:3]) > 5 for r in got) and (200, 201) in {(r.i, r.j) for r in got}
+
+
+@pytest.mark.parametrize("size", [16, 60, 4096])
+def test_gaussians_meet_in_blocks(spark, size):
+    """The pairs of small blocks, of crowded ones (half of the objects are in one place) and of a single one are those of a plain loop."""
+    rng = random.Random(size)
+    rows = [(i, *([rng.gauss(0, 9) for _ in range(3)] if i % 2 else [1.0, 2.0, 3.0]), *[rng.choice([0.05, 1.0, 30.0]) * (rng.random() + 0.01) for _ in range(3)], i % 4, [1.0, float(i % 3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "object_idx long, x double, y double, z double, vx double, vy double, vz double, class_id int, feature array<double>")
+    want = {}
+    for p in rows:
+        for q in rows:
+            h2 = 1 - math.prod(math.sqrt(2 * math.sqrt(a * b) / (a + b)) for a, b in zip(p[4:7], q[4:7], strict=True)) * math.exp(-sum((a - b) ** 2 / (v + w) for a, b, v, w in zip(p[1:4], q[1:4], p[4:7], q[4:7], strict=True)) / 4)
+            if p[0] < q[0] and h2 < 0.8:
+                want[p[0], q[0]] = h2
+    found = spatial.overlapping_gaussians(df, 0.8, 0.65, size).collect()
+    assert len(found) == len(want) and all(r.h2 == pytest.approx(want[r.i, r.j], abs=1e-9) for r in found)
+    assert all(r.same == (r.i % 4 == r.j % 4) and (r.cos is not None) == (r.same and r.h2 < 0.65) for r in found)
