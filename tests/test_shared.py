@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import numpy as np
 
+from loomap import catalog
 from loomap.operators import aggregates, graph, shared
 
 
@@ -57,3 +59,20 @@ def test_hops_keep_no_distinct_edges(spark):
         want |= dict.fromkeys(hops, hop)
     assert sorted((r.source, r.node, r.hop) for r in df.collect()) == sorted((1003, n, h) for n, h in want.items())
     assert "keys=[a#" not in df._jdf.queryExecution().optimizedPlan().toString() and "Aggregate [a#" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_local_maps_send_no_lists_of_queries(spark, tmp_path):
+    """As in SQL, with repeated rows, nulls, negative keys and more than one word; a keyframe's queries are bits and no list that goes to each of its landmarks."""
+    rng = random.Random(6)
+    rows = [(rng.choice([rng.randrange(-300, 300), 100 * rng.randrange(-90, 90)]), rng.randrange(150)) for _ in range(900)]
+    rows += rows[:50] + [(100, None), (7, None), (None, 3), (None, None), (900000000000000000, 3), (12300, 999)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_partkey long").repartition(3)
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(f"select q, landmarks from ({catalog.ORACLES['j30_local_map']})").fetchall())
+    got = catalog.QUERIES["j30_local_map"](spark, str(tmp_path))
+    assert sorted((r.q, r.landmarks) for r in got.collect()) == want and len(want) > 64
+    few = graph.local_maps(df.toDF("kf", "lm"), 100, 200)  # the words go to the rows in several parts
+    assert sorted((r.q, r.landmarks) for r in few.collect()) == want
+    assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
