@@ -152,3 +152,15 @@ def test_gaussians_meet_in_blocks(spark, size):
     found = spatial.overlapping_gaussians(df, 0.8, 0.65, size).collect()
     assert len(found) == len(want) and all(r.h2 == pytest.approx(want[r.i, r.j], abs=1e-9) for r in found)
     assert all(r.same == (r.i % 4 == r.j % 4) and (r.cos is not None) == (r.same and r.h2 < 0.65) for r in found)
+
+
+def test_box_pairs_are_dealt_by_id(spark):
+    """A task's pairs have the j of one block, so that few different ids are written: ids lie at random in space, and are in neither the order of rows nor dense."""
+    rng = random.Random(9)
+    boxes = [(i * i, *(low := [rng.uniform(-0.5, 0.5) for _ in range(3)]), *[v + 0.8 for v in low]) for i in range(100)]
+    rng.shuffle(boxes)
+    df = spark.createDataFrame(boxes, "i long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double").repartition(5)
+    found = spatial.overlapping_boxes(df, 2.0, 20).withColumn("task", F.spark_partition_id())
+    assert sorted((r.i, r.j) for r in found.collect()) == sorted((p[0], q[0]) for p in boxes for q in boxes if p[0] < q[0] and all(p[k] < q[k + 3] and q[k] < p[k + 3] for k in (1, 2, 3)))
+    most = found.groupBy("task").agg(F.countDistinct("j").alias("n")).agg(F.max("n")).first()[0]
+    assert 10 < most <= 20
