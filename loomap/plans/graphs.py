@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomap.operators import relational
+from loomap.operators import relational, shared
 from loomap.plans.maps import r6
 from loomap.plans.retrieval import CAMERAS, NAMED, described
+from loomap.runtime import written
 from loomap.sources.scene import object_images, objects, redirects, table
 
 QUERIES, ORACLES = {}, {}
@@ -162,6 +163,6 @@ HOPS = """h0 AS (SELECT DISTINCT object_idx AS i, object_idx AS a FROM cand), h1
 @query(oracle(f"sim*CASE WHEN matched THEN 1 ELSE 0.3 END AS similarity, {PARTS}, sim*CASE WHEN matched THEN 1 ELSE 0.3 END*(0.5+0.5*coalesce(geo, 1)) AS score", links=LINKS, hops=HOPS))
 def q213_graphs_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors count within three hops of objects that were seen together twice."""
-    b = object_images(spark, sf_dir)
-    both = b.join(b.select(F.col("object").alias("j"), "image"), "image").where("object < j").groupBy(F.col("object").alias("a"), F.col("j").alias("b")).agg(F.count("*").alias("n"))
-    return run(spark, sf_dir, "covis3", links=both.where("n >= 2").select("a", "b"))
+    both = shared.pairs(object_images(spark, sf_dir), "object", "image").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # every hop reads the links, so they are written once
+    return run(spark, sf_dir, "covis3", links=written(both.where("n >= 2").select("a", "b")))

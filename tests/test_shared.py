@@ -1,12 +1,16 @@
 """Sets by what they share against plain loops."""
 
+import math
 import random
+from itertools import combinations
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomap import catalog
 from loomap.operators import aggregates, graph, shared
+from loomap.plans import graphs
 
 
 def test_counts(spark):
@@ -76,3 +80,36 @@ def test_local_maps_send_no_lists_of_queries(spark, tmp_path):
     few = graph.local_maps(df.toDF("kf", "lm"), 100, 200)  # the words go to the rows in several parts
     assert sorted((r.q, r.landmarks) for r in few.collect()) == want
     assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """All pairs of a word's sets with what goes along, nulls in none; tasks follow the pairs, before and after they are dealt, and nothing is summed up in between."""
+    rng = random.Random(9)
+    has = {(rng.choice([None, *range(-20, 20)]), rng.choice([None, *range(25)])) for _ in range(300)} | {(i, 99) for i in range(-20, 20)}  # a word that all have
+    rows = [(o, w, o * 7 if o is not None and o % 3 else None) for o, w in has]
+    got = shared.pairs(spark.createDataFrame(rows, "of long, word long, x long").repartition(3), "of", "word", F.col("word"), F.least("a_x", "b_x").alias("x"), each=50)
+    least = lambda *x: min((y for y in x if y is not None), default=None)
+    of = {w: sorted((o, x) for o, k, x in rows if k == w and o is not None) for w in {k for _, k, _ in rows} - {None}}
+    want = sorted(((i, j, w, least(x, y)) for w, found in of.items() for (i, x), (j, y) in combinations(found, 2)), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    n = math.ceil(len(want) / 50)
+    assert got.rdd.getNumPartitions() == n > 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {n}\n") == 3 and "Aggregate" not in plan
+    assert shared.pairs(spark.createDataFrame(rows, "of long, word long, x long").where("of is null"), "of", "word").count() == 0
+
+
+def test_links_are_made_once(spark, tmp_path, monkeypatch):
+    """What is seen together twice, as in SQL, with rows that are null or repeated; it is a table when the hops read it, several times."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(25)]), rng.choice([None, *range(12)])) for _ in range(200)]
+    df = spark.createDataFrame(rows + rows[:40], "l_partkey long, l_orderkey long").repartition(3)
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(f"with {graphs.LINKS[1:]} select i, j from e0").fetchall())
+    monkeypatch.setattr(graphs, "run", lambda *a, links: links)
+    got = catalog.QUERIES["q213_graphs_linked"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
